@@ -13,7 +13,7 @@ def escalation_rate(incidents: DataFrame, keys: list[str], min_total: int = fv.M
     """Brittleness: escalated / total per key, keys with enough incidents only."""
     known = incidents.filter(F.col(keys[0]) != "")
     g = known.groupBy(*keys).agg(F.count_if(F.col("status") == "escalated").alias("escalated"), F.count("*").alias("total"))
-    return g.filter(F.col("total") >= min_total).withColumn("score", F.round(F.col("escalated") / F.col("total"), 4))
+    return g.filter(F.col("total") >= min_total).withColumn("score", F.bround(F.col("escalated") / F.col("total"), 4))
 
 
 def success_rate(rewards: DataFrame, min_total: int = fv.MIN_GROUP_TOTAL) -> DataFrame:
@@ -23,7 +23,7 @@ def success_rate(rewards: DataFrame, min_total: int = fv.MIN_GROUP_TOTAL) -> Dat
         F.count_if(F.col("outcome") == "escalated").alias("escalated"),
     )
     total = F.col("resolved") + F.col("escalated")
-    return g.filter(total >= min_total).withColumn("rate", F.round(F.col("resolved") / total, 4))
+    return g.filter(total >= min_total).withColumn("rate", F.bround(F.col("resolved") / total, 4))
 
 
 def recurrence(incidents: DataFrame, keys: list[str], threshold: int = 3) -> DataFrame:

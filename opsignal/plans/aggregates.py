@@ -26,7 +26,7 @@ def patterns(t):
 @query(
     "brittleness",
     f"""WITH {INC} SELECT route, date_trunc('month', opened_at)::TIMESTAMP AS month, count(*) FILTER (status = 'escalated') AS escalated,
-        count(*) AS total, round(count(*) FILTER (status = 'escalated') / count(*), 4) AS score FROM inc WHERE route <> '' GROUP BY ALL HAVING count(*) >= 3""",
+        count(*) AS total, round_even(count(*) FILTER (status = 'escalated') / count(*), 4) AS score FROM inc WHERE route <> '' GROUP BY ALL HAVING count(*) >= 3""",
 )
 def _(t):
     month = F.date_trunc("month", "opened_at").cast("timestamp_ntz")
@@ -36,7 +36,7 @@ def _(t):
 @query(
     "rule_success_rate",
     f"""WITH {REW} SELECT rule_name, count(*) FILTER (outcome = 'resolved') AS resolved, count(*) FILTER (outcome = 'escalated') AS escalated,
-        round(count(*) FILTER (outcome = 'resolved') / count(*) FILTER (outcome IN ('resolved', 'escalated')), 4) AS rate
+        round_even(count(*) FILTER (outcome = 'resolved') / count(*) FILTER (outcome IN ('resolved', 'escalated')), 4) AS rate
         FROM rew GROUP BY rule_name HAVING count(*) FILTER (outcome IN ('resolved', 'escalated')) >= 3""",
 )
 def _(t):
