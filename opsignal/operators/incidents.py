@@ -1,9 +1,282 @@
-"""stub"""
-from pyspark.sql import DataFrame
+"""Incident assembly and lifecycle."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsignal import fixed_values as fv
+from opsignal.functions.text import any_of
+from opsignal.functions.timecells import SECOND, cell, epoch_us, seconds_between
+from opsignal.operators.joins import asof_join, interval_join
+
 
 def merge_arrays(df: DataFrame, keys: list[str], cols: list[str], out: str) -> DataFrame:
     """Distinct union of array columns over all rows of a key; partial aggregation keeps distinct items only."""
     items = df.select(*keys, F.explode(F.concat(*cols)).alias("_item"))
     return items.groupBy(*keys).agg(F.array_sort(F.collect_set("_item")).alias(out))
+
+
+# --- classification ------------------------------------------------------------------------------
+def domain_rank(domain: Column) -> Column:
+    return F.when(domain == "SOC", 2).when(domain == "SRE", 1).otherwise(0)
+
+
+def domain_name(rank: Column) -> Column:
+    return F.when(rank == 2, "SOC").when(rank == 1, "SRE").otherwise("MIXED")
+
+
+def merge_domain(df: DataFrame, keys: list[str], domain: str) -> DataFrame:
+    """SOC over SRE over MIXED; merging never downgrades."""
+    return df.groupBy(*keys).agg(domain_name(F.max(domain_rank(F.col(domain)))).alias(domain))
+
+
+def fast_classify(
+    df: DataFrame, rules: str, match_ids: str, patterns: str, anomalies: str, source: str
+) -> DataFrame:
+    """Domain and route from the signal arrays; patterns are structs with is_novel and security_correlated."""
+    critical = [r.lower() for r in fv.CRITICAL_RULES]
+    has_rule, has_match = F.size(rules) > 0, F.size(match_ids) > 0
+    critical_rule = F.exists(rules, lambda r: F.lower(r).isin(critical))
+    novel = F.exists(patterns, lambda p: p["is_novel"])
+    novel_near = F.exists(patterns, lambda p: p["is_novel"] & p["security_correlated"])
+    out = lambda d, r: F.struct(F.lit(d).alias("domain"), F.lit(r).alias("route"))
+    verdict = (
+        F.when(critical_rule, out("SOC", "known"))
+        .when(has_match, out("SOC", "structured"))
+        .when(novel_near, out("MIXED", "escalate"))
+        .when(novel & has_rule, out("SOC", "novel"))
+        .when(novel, out("MIXED", "novel"))
+        .when((F.size(anomalies) > 0) & ~has_rule, out("SRE", "structured"))
+        .when(has_rule, out("SOC", "structured"))
+        .otherwise(out("MIXED", "structured"))
+    )
+    rows = df.withColumn("_v", verdict)
+    # Infrastructure alerts without any security signal are reliability work, not noise.
+    promote = (
+        (F.col("_v.domain") == "MIXED") & (F.col("_v.route") == "structured") & ~has_rule & ~has_match
+        & F.coalesce(F.col(source).isin("sre", "observability"), F.lit(False))
+    )
+    return rows.withColumns(
+        {"domain": F.when(promote, "SRE").otherwise(F.col("_v.domain")), "route": F.col("_v.route")}
+    ).drop("_v")
+
+
+# --- sessions and assembly -----------------------------------------------------------------------
+def incident_sessions(alerts: DataFrame, ns: str = "ns", rule: str = "rule", ts: str = "ts", gap_s: int = fv.DEDUP_GAP_S) -> DataFrame:
+    """Alerts of a namespace and rule belong to one incident while less than the gap apart.
+
+    Alerts inside one cell as wide as the gap always share an incident, so alerts are reduced to one
+    row per (namespace, rule, cell) first; a hot key then has at most span/gap rows to order.
+    alerts(ns, rule, ts, alertname, source); a null rule is the rule-less stream of the namespace.
+    """
+    keys = ["ns", "rule"]
+    rows = alerts.select(
+        F.col(ns).alias("ns"), F.coalesce(F.col(rule), F.lit("")).alias("rule"), F.col(ts).alias("_ts"), "alertname", "source"
+    )
+    rank = F.when(F.col("rule") != "", 2).when(F.col("source").isin("sre", "observability"), 1).otherwise(0)
+    cells = rows.groupBy(*keys, cell("_ts", gap_s).alias("_c")).agg(
+        F.min("_ts").alias("lo"), F.max("_ts").alias("hi"), F.count("*").alias("n"), F.max(rank).alias("rank"),
+        F.min(F.struct("_ts", "alertname", "source")).alias("first"),
+    )
+    o = Window.partitionBy(*keys).orderBy("_c")
+    quiet = epoch_us("lo") - epoch_us(F.lag("hi").over(o)) >= gap_s * SECOND
+    cells = cells.withColumn("_new", F.when(quiet, 1).otherwise(0)).withColumn("_s", F.sum("_new").over(o))
+    out = cells.groupBy(*keys, "_s").agg(
+        F.min("lo").alias("opened_at"), F.max("hi").alias("window_end"), F.sum("n").alias("n_alerts"),
+        F.max("rank").alias("alert_rank"), F.min("first").alias("_f"),
+    )
+    ident = F.md5(F.concat_ws("|", "ns", "rule", epoch_us("opened_at").cast("string")))
+    return out.select(
+        ident.alias("incident_id"), *keys, "opened_at", "window_end", "n_alerts", "alert_rank",
+        F.col("_f.alertname").alias("alertname"), F.col("_f.source").alias("source"),
+    )
+
+
+def assemble_incidents(alerts: DataFrame, signals: DataFrame, window_s: int = fv.INCIDENT_WINDOW_S, spread: int = 4) -> DataFrame:
+    """One row per incident with the signals of the window before it opened, classified.
+
+    signals(ns, ts, kind in match|pattern|anomaly, name, weight, is_novel, security_correlated): all
+    kinds go through one interval join and one aggregation by (incident, kind, name), so the arrays
+    hold distinct names only.
+    """
+    sessions = incident_sessions(alerts)
+    opened = sessions.select("incident_id", "ns", "opened_at")
+    sig = signals.select("ns", F.col("ts").alias("signal_ts"), "kind", "name", "weight", "is_novel", "security_correlated")
+    pairs = interval_join(opened, sig, ["ns"], "opened_at", "signal_ts", -window_s, 0, spread)
+    named = pairs.groupBy("incident_id", "kind", "name").agg(
+        F.sum("weight").alias("total"), F.max("weight").alias("peak"), F.max("is_novel").alias("is_novel"),
+        F.max("security_correlated").alias("security_correlated"),
+    )
+    pattern = F.struct(
+        F.col("name").alias("template"), F.col("total").alias("samples_count"), "is_novel", "security_correlated"
+    )
+    anomaly = F.struct(F.col("name").alias("metric"), F.col("peak").alias("deviation_ratio"))
+    gathered = named.groupBy("incident_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "match", F.col("name")))).alias("match_ids"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "pattern", pattern))).alias("patterns"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "anomaly", anomaly))).alias("anomalies"),
+    )
+    rows = sessions.join(gathered, "incident_id", "left")
+    empty = {c: F.coalesce(c, F.array().cast(gathered.schema[c].dataType)) for c in ("match_ids", "patterns", "anomalies")}
+    rows = rows.withColumns(empty)
+    named_alert = F.array(F.struct(
+        F.col("alertname").alias("template"), F.lit(1.0).alias("samples_count"), F.lit(False).alias("is_novel"),
+        F.lit(False).alias("security_correlated"),
+    )).cast(gathered.schema["patterns"].dataType)
+    rows = rows.withColumns({
+        "patterns": F.when((F.size("patterns") == 0) & F.col("alertname").isNotNull(), named_alert).otherwise(F.col("patterns")),
+        "rules": F.when(F.col("rule") != "", F.array("rule")).otherwise(F.array().cast("array<string>")),
+    })
+    done = fast_classify(rows, "rules", "match_ids", "patterns", "anomalies", "source")
+    final = domain_name(F.greatest(domain_rank(F.col("domain")), F.col("alert_rank")))
+    return done.withColumn("domain", final).drop("alert_rank")
+
+
+# --- lifecycle -----------------------------------------------------------------------------------
+def close_incidents(incidents: DataFrame, resolved: DataFrame, ns: str, opened: str, ts: str) -> DataFrame:
+    """Close each incident at the next resolved alert of its namespace ('' closes those without one)."""
+    at = resolved.select(ns, ts).withColumn("closed_at", F.col(ts))
+    out = asof_join(incidents, at, [ns], opened, ts, ["closed_at"], direction="forward")
+    return out.withColumn("status", F.when(F.col("closed_at").isNotNull(), "resolved").otherwise("open"))
+
+
+def stale_incidents(incidents: DataFrame, as_of, max_age_s: int | None = None) -> DataFrame:
+    """Update rows for incidents stuck in work for longer than remediation and validation may take."""
+    age = max_age_s or fv.REMEDIATION_TIMEOUT_S + fv.VALIDATION_TIMEOUT_S + fv.STALE_GRACE_S
+    stuck = incidents.filter(
+        F.col("status").isin("in_progress", "validating") & (seconds_between("opened_at", F.lit(as_of)) > age)
+    )
+    return stuck.select(
+        "incident_id", F.lit("resolved").alias("status"), F.lit("auto-resolved").alias("outcome"),
+        F.lit(as_of).cast("timestamp_ntz").alias("closed_at"),
+    )
+
+
+def resume_open(incidents: DataFrame, as_of, max_age_s: int = fv.RESUME_MAX_AGE_S) -> DataFrame:
+    age = seconds_between("opened_at", F.lit(as_of))
+    return incidents.filter(
+        F.col("closed_at").isNull() & F.col("status").isin("validating", "remediating") & (age >= 0) & (age < max_age_s)
+    )
+
+
+def open_counts(incidents: DataFrame, keys: list[str]) -> DataFrame:
+    def n(cond):
+        return F.count_if(cond)
+
+    is_open = F.col("status").isin(fv.OPEN_STATUSES)
+    return incidents.groupBy(*keys).agg(
+        n(is_open).alias("open_total"), n(is_open & (F.col("domain") == "SOC")).alias("open_soc"),
+        n(is_open & (F.col("domain") == "SRE")).alias("open_sre"), n(is_open & (F.col("route") == "escalate")).alias("open_escalate"),
+        n(F.col("status") == "escalated").alias("escalated"),
+    )
+
+
+def clear_streaks(
+    incidents: DataFrame, signals: DataFrame, key: str, ns: str, start: str, ts: str, poll_s: int = fv.VALIDATION_POLL_S,
+    timeout_s: int = fv.VALIDATION_TIMEOUT_S, need: int = fv.CLEAR_STREAK, spread: int = 4,
+) -> DataFrame:
+    """Resolved at the first poll that ends `need` clean polls in a row, else escalated at the timeout.
+
+    A signal at s makes the poll dirty whose preceding interval holds it: poll ceil((s - start) / poll).
+    Only the dirty poll numbers are kept, at most timeout/poll per incident.
+    """
+    last = timeout_s // poll_s
+    # signals in (start, start + timeout]
+    one = 1 / SECOND
+    pairs = interval_join(incidents.select(key, ns, start), signals.select(ns, ts), [ns], start, ts, one, timeout_s + one, spread)
+    number = F.ceil((epoch_us(ts) - epoch_us(start)) / F.lit(poll_s * SECOND)).cast("int")
+    dirty = pairs.groupBy(key).agg(F.collect_set(number).alias("_dirty"))
+    rows = incidents.join(dirty, key, "left")
+    spoiled = F.coalesce("_dirty", F.array().cast("array<int>"))
+    ends = F.filter(
+        F.sequence(F.lit(need), F.lit(last)), lambda i: ~F.exists(spoiled, lambda d: (d > i - need) & (d <= i))
+    )
+    poll = F.try_element_at(ends, F.lit(1))
+    return rows.withColumn("_poll", poll).select(
+        *incidents.columns,
+        F.when(F.col("_poll").isNotNull(), "resolved").otherwise("escalated").alias("outcome"),
+        F.coalesce("_poll", F.lit(last)).alias("polls"),
+        F.size(spoiled).alias("dirty_polls"),
+    )
+
+
+def heartbeat_gaps(df: DataFrame, keys: list[str], ts: str, gap_s: int = 900) -> DataFrame:
+    """Silences longer than the gap. Beats inside one cell as wide as the gap have none between them,
+    so only the first and last beat of each cell are ordered."""
+    cells = df.groupBy(*keys, cell(ts, gap_s).alias("_c")).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    o = Window.partitionBy(*keys).orderBy("_c")
+    rows = cells.select(*keys, F.lag("_hi").over(o).alias("last_seen"), F.col("_lo").alias("next_seen"))
+    silent = seconds_between("last_seen", "next_seen")
+    return rows.filter(silent > gap_s).withColumn("silent_s", F.floor(silent).cast("bigint"))
+
+
+def freshness(tables: dict[str, tuple[DataFrame, str, int]], as_of) -> DataFrame:
+    """Newest row of each (frame, time column, allowed lag) against the allowed lag."""
+    parts = [
+        df.agg(F.max(ts).alias("newest")).select(F.lit(name).alias("source_table"), "newest", F.lit(lag).alias("allowed_s"))
+        for name, (df, ts, lag) in tables.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    lag_s = F.floor(seconds_between("newest", F.lit(as_of))).cast("bigint")
+    return out.withColumn("lag_s", lag_s).withColumn("is_stale", F.col("newest").isNull() | (F.col("lag_s") > F.col("allowed_s")))
+
+
+def breaker_open(failures: DataFrame, keys: list[str], ts: str, unique: str, more_than: int = 3, within_s: int = 3600) -> DataFrame:
+    """Failures at which more than `more_than` failures lie in the trailing interval.
+
+    True where the failure `more_than` places back is recent enough. Rows are ordered per (key, chunk
+    of time); each row is also copied to the next chunk, as its look-back.
+    """
+    own = cell(ts, within_s)
+    rows = failures.select(*keys, unique, ts, own.alias("_own"), F.explode(F.sequence(own, own + 1)).alias("_chunk"))
+    o = Window.partitionBy(*keys, "_chunk").orderBy(ts, unique)
+    back = F.lag(ts, more_than).over(o)
+    rows = rows.withColumn("_back", back).filter((F.col("_own") == F.col("_chunk")) & F.col("_back").isNotNull())
+    return rows.filter(epoch_us(ts) - epoch_us("_back") < within_s * SECOND).select(*keys, unique, ts)
+
+
+# --- decision ------------------------------------------------------------------------------------
+def select_rule(
+    incidents: DataFrame, deploys: DataFrame, runbooks: DataFrame, rates: DataFrame, recent_s: int = 1800
+) -> DataFrame:
+    """Which response rule fits an incident; a decision only, nothing is executed.
+
+    incidents(incident_id, ns, domain, opened_at, rules, templates, replicas), deploys(ns, deployed_at),
+    runbooks(domain, template, created_at), rates(rule_name, rate).
+    """
+    t, r = F.col("templates"), F.col("rules")
+
+    def text(*needles: str, lower: bool = False) -> Column:
+        return F.exists(t, lambda x: any_of([(F.lower(x) if lower else x).contains(n) for n in needles]))
+
+    deployed = deploys.select("ns", "deployed_at").withColumn("last_deploy", F.col("deployed_at"))
+    rows = asof_join(incidents, deployed, ["ns"], "opened_at", "deployed_at", ["last_deploy"], inclusive=True, max_age_s=recent_s)
+    after_deploy = text("CrashLoop", "ImagePullBackOff", "OOMKill") | text("probe", lower=True)
+    chosen = (
+        F.when(after_deploy & F.col("last_deploy").isNotNull(), "flux_rollback")
+        .when(F.exists(r, lambda x: F.lower(x).contains("probe") | F.lower(x).contains("timeout")), "probe_timeout")
+        .when(text("OOMKill"), F.when(F.col("replicas") <= 1, "upsize").otherwise("oom_killed"))
+        .when(text("CrashLoop"), "crashloop_config")
+        .when(text("ImagePullBackOff"), "image_pull_backoff")
+        .when(text("probe", "timeout", lower=True), "probe_timeout")
+        .when(
+            text("cnpg", lower=True)
+            | F.exists(t, lambda x: F.lower(x).contains("postgres") & F.lower(x).contains("not ready")),
+            "cnpg_failover",
+        )
+        .when(text("sentinel", lower=True), "redis_sentinel_heal")
+    )
+    rows = rows.withColumn("rule_name", chosen).withColumn("_template", F.try_element_at(t, F.lit(1)))
+    # A learned runbook for the same domain and first template wins over a chosen rule.
+    learned = runbooks.groupBy("domain", F.col("template").alias("_template")).agg(F.min("created_at").alias("_since"))
+    rows = rows.join(learned, ["domain", "_template"], "left")
+    has_runbook = F.col("_since").isNotNull() & (F.col("_since") <= F.col("opened_at"))
+    rows = rows.withColumn("rule_name", F.when(F.col("rule_name").isNotNull() & has_runbook, fv.LEARNED_RULE).otherwise(F.col("rule_name")))
+    rows = rows.join(rates.select("rule_name", "rate"), "rule_name", "left")
+    low = F.coalesce(F.col("rate") < fv.LOW_SUCCESS_RATE, F.lit(False))
+    return rows.select(
+        *incidents.columns, F.when(low, fv.DEFAULT_RULE).otherwise(F.col("rule_name")).alias("selected_rule")
+    )

@@ -250,7 +250,7 @@ MASK = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[0
         v AS (SELECT ns, n, head, pos FROM e GROUP BY ALL HAVING count(DISTINCT token) > 5 AND count(DISTINCT token) > 0.4 * count(*)),
         o AS (SELECT ns, n, head, list(pos) AS open FROM v GROUP BY ALL),
         t AS (SELECT g.ns, cnt, first_seen, array_to_string(CASE WHEN open IS NULL THEN tok
-                ELSE list_transform(list_zip(tok, range(1, n + 1)), x -> CASE WHEN list_contains(open, x[2]) THEN '<*>' ELSE x[1] END) END, ' ') AS template
+                ELSE list_transform(tok, lambda x, i: CASE WHEN list_contains(open, i) THEN '<*>' ELSE x END) END, ' ') AS template
               FROM g LEFT JOIN o ON o.ns = g.ns AND o.n = g.n AND o.head = g.head)
         SELECT ns, template, CAST(sum(cnt) AS BIGINT) AS samples_count, min(first_seen) AS first_seen, left(md5(concat(ns, ':', template)), 16) AS pattern_id FROM t GROUP BY ALL""",
 )
