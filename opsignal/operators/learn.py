@@ -93,3 +93,38 @@ def budgeted_top_k(cases: DataFrame, scores: DataFrame, key: str, order: list[Co
     """The first cases of each type, as many as its share of the budget."""
     first = top_k_per_group(cases, [key], order, fv.REPLAY_MAX, unique)
     return first.join(budgets(scores, key), key).filter(F.col("rank") <= F.col("budget"))
+
+
+def rule_context_reward(rewards: DataFrame, context: list[str]) -> DataFrame:
+    """Mean reward (1 = resolved) per rule and context."""
+    return rewards.groupBy("rule_name", *context).agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("outcome") == "resolved", 1.0).otherwise(0.0)).alias("mean_reward")
+    )
+
+
+def worst_cases(incidents: DataFrame, scores: DataFrame, key: str, types: int, per_type: int, unique: str) -> DataFrame:
+    """Newest open questions of the most brittle types: top-k inside the top-k types."""
+    worst = scores.orderBy(F.col("score").desc(), F.col(key)).limit(types).select(key, "score")
+    order = [F.col("opened_at").desc(), F.col(unique)]
+    return top_k_per_group(incidents.join(worst, key), [key], order, per_type, unique)
+
+
+def runbook_rows(incidents: DataFrame, actions: DataFrame, prior: DataFrame) -> DataFrame:
+    """Runbook drafts of resolved incidents as rows.
+
+    incidents(incident_id, domain, route, services, rule_name, opened_at, status), actions(incident_id,
+    step, command, output), prior(rule_name, times_resolved). Steps per incident are few.
+    """
+    line = F.concat(F.col("step").cast("string"), F.lit(". `"), F.col("command"), F.lit("` -> "), F.trim("output"))
+    steps = actions.groupBy("incident_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "command", line.alias("line")))), lambda s: s["line"]), "\n").alias("steps")
+    )
+    solved = incidents.filter(F.col("status") == "resolved").join(prior, "rule_name", "left").join(steps, "incident_id", "left")
+    title = F.coalesce(
+        F.nullif("rule_name", F.lit("")), F.concat(F.col("domain"), F.lit(" incident in "), F.array_join("services", ", "))
+    )
+    return solved.select(
+        "incident_id", title.alias("title"), F.date_format("opened_at", "yyyy-MM-dd").alias("first_seen"),
+        F.coalesce("times_resolved", F.lit(1)).cast("bigint").alias("times_resolved"), "domain", "route",
+        F.coalesce("steps", F.lit("_No automated actions recorded._")).alias("steps"),
+    )
