@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
 from opsignal.functions.timecells import SECOND, cell, epoch_us
-from opsignal.operators.joins import asof_join, interval_join
+from opsignal.operators.joins import exists_between, interval_join
 
 
 def lagged_pearson(
@@ -92,9 +92,8 @@ def indicator_fire(live: DataFrame, indicators: DataFrame, keys: list[str], min_
 
 def confirm_predictions(fired: DataFrame, incidents: DataFrame, keys: list[str], at: str, opened: str, within_s: float) -> DataFrame:
     """Mark each prediction by whether an incident of its key opened within the look-ahead."""
-    found = incidents.select(*keys, opened).withColumn("_opened", F.col(opened))
-    out = asof_join(fired, found, keys, at, "_opened", ["_opened"], direction="forward", max_age_s=within_s)
-    return out.withColumn("confirmed", F.col("_opened").isNotNull()).drop("_opened")
+    # after the prediction, so the range starts one microsecond later
+    return exists_between(fired, incidents, keys, at, opened, 1 / SECOND, within_s, "confirmed")
 
 
 def best_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opsignal import fixed_values as fv
 from opsignal.functions.text import any_of
 from opsignal.functions.timecells import SECOND, cell, epoch_us, seconds_between
-from opsignal.operators.joins import asof_join, interval_join
+from opsignal.operators.joins import asof_join, exists_between, interval_join
 
 
 def merge_arrays(df: DataFrame, keys: list[str], cols: list[str], out: str) -> DataFrame:
@@ -252,11 +252,10 @@ def select_rule(
     def text(*needles: str, lower: bool = False) -> Column:
         return F.exists(t, lambda x: any_of([(F.lower(x) if lower else x).contains(n) for n in needles]))
 
-    deployed = deploys.select("ns", "deployed_at").withColumn("last_deploy", F.col("deployed_at"))
-    rows = asof_join(incidents, deployed, ["ns"], "opened_at", "deployed_at", ["last_deploy"], inclusive=True, max_age_s=recent_s)
+    rows = exists_between(incidents, deploys, ["ns"], "opened_at", "deployed_at", -recent_s, 0, "_deployed")
     after_deploy = text("CrashLoop", "ImagePullBackOff", "OOMKill") | text("probe", lower=True)
     chosen = (
-        F.when(after_deploy & F.col("last_deploy").isNotNull(), "flux_rollback")
+        F.when(after_deploy & F.col("_deployed"), "flux_rollback")
         .when(F.exists(r, lambda x: F.lower(x).contains("probe") | F.lower(x).contains("timeout")), "probe_timeout")
         .when(text("OOMKill"), F.when(F.col("replicas") <= 1, "upsize").otherwise("oom_killed"))
         .when(text("CrashLoop"), "crashloop_config")

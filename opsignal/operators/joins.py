@@ -53,18 +53,20 @@ def asof_join(
     direction: str = "backward",
     inclusive: bool = False,
     max_age_s: float | None = None,
-    chunk_s: int = 86400,
-    shift_s: float = 0.0,
+    chunk_s: int = 3600,
+    spread: int = 1,
 ) -> DataFrame:
-    """Each left row with the nearest right row of its key before (or after) t_left + shift.
+    """Each left row with the nearest right row of its key before (or after) t_left.
 
     One ordered pass over both sides, never all pairs. The pass runs per (key, chunk of time), so a
     hot key is split; what the chunk starts with is carried from the last earlier chunk that has
-    right rows (one row per key and chunk, found by a partial aggregate). Ties on time take the
-    greatest row of `take`. Left rows without a match keep nulls.
+    right rows (one row per key and chunk, found by a partial aggregate). With `spread` > 1 the left
+    rows of a chunk are scattered over that many tasks and the right rows copied to each: use it when
+    the left side is the crowded one. Ties on time take the greatest row of `take`. Left rows without
+    a match keep nulls.
     """
     sign = 1 if direction == "backward" else -1
-    probe = (epoch_us(t_left) + int(shift_s * SECOND)) * sign
+    probe = epoch_us(t_left) * sign
     stamp = epoch_us(t_right) * sign
     chunk = F.lit(chunk_s * SECOND)
     match = F.struct(stamp.alias("s"), F.struct(*take).alias("row"))
@@ -80,14 +82,16 @@ def asof_join(
 
     # Order inside a chunk: carried row, then right rows before (inclusive) or after equal left rows.
     side_right = 0 if inclusive else 2
-    rows = (
-        lrows.withColumn("_side", F.lit(1))
-        .unionByName(rrows.withColumn("_side", F.lit(side_right)), allowMissingColumns=True)
-        .unionByName(
-            carried.withColumn("_t", F.col("_chunk") * chunk).withColumn("_side", F.lit(-1)), allowMissingColumns=True
-        )
+    right_all = rrows.withColumn("_side", F.lit(side_right)).unionByName(
+        carried.withColumn("_t", F.col("_chunk") * chunk).withColumn("_side", F.lit(-1))
     )
-    order = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_side", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    parts = [*keys, "_chunk"]
+    if spread > 1:
+        parts.append("_salt")
+        lrows = lrows.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int"))
+        right_all = right_all.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    rows = lrows.withColumn("_side", F.lit(1)).unionByName(right_all, allowMissingColumns=True)
+    order = Window.partitionBy(*parts).orderBy("_t", "_side", "_m").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("_m", F.last("_m", ignorenulls=True).over(order)).filter(F.col("_side") == 1)
     if max_age_s is not None:
         fresh = F.col("_t") - F.col("_m.s") <= int(max_age_s * SECOND)
@@ -95,15 +99,40 @@ def asof_join(
     return found.select(*left.columns, *[F.col(f"_m.row.{c}").alias(c) for c in take])
 
 
+def exists_between(
+    left: DataFrame, right: DataFrame, keys: list[str], t_left: str, t_right: str, lo_s: float, hi_s: float, flag: str
+) -> DataFrame:
+    """True where a right row of the key lies in [t_left + lo, t_left + hi], both ends included.
+
+    With cells as wide as the range, a range starts in one cell and ends in the next, never inside the
+    same one. So the first and last right time of the start cell and the first of the next cell decide
+    the answer: the right side shrinks to one row per (key, cell) before a single equi join, and no
+    pairs are formed.
+    """
+    lo, hi = int(lo_s * SECOND), int(hi_s * SECOND)
+    width = F.lit(max(hi - lo, 1))
+    tr = epoch_us(t_right)
+    own = F.floor(tr / width)
+    none = F.lit(None).cast("bigint")
+    sides = F.array(
+        F.struct(own.alias("c"), tr.alias("lo"), tr.alias("hi"), none.alias("next")),
+        F.struct((own - 1).alias("c"), none.alias("lo"), none.alias("hi"), tr.alias("next")),
+    )
+    cells = right.select(*keys, F.explode(sides).alias("_e")).groupBy(*keys, F.col("_e.c").alias("_cell")).agg(
+        F.min("_e.lo").alias("_lo"), F.max("_e.hi").alias("_hi"), F.min("_e.next").alias("_next")
+    )
+    start = epoch_us(t_left) + lo
+    rows = left.withColumn("_a", start).withColumn("_cell", F.floor(F.col("_a") / width)).join(cells, [*keys, "_cell"], "left")
+    end = F.col("_a") + (hi - lo)
+    hit = ((F.col("_hi") >= F.col("_a")) & (F.col("_lo") <= end)) | F.coalesce(F.col("_next") <= end, F.lit(False))
+    return rows.select(*left.columns, F.coalesce(hit, F.lit(False)).alias(flag))
+
+
 def near_event_flag(
     left: DataFrame, right: DataFrame, keys: list[str], t_left: str, t_right: str, radius_s: float, flag: str
 ) -> DataFrame:
-    """True where a right row of the key lies within +-radius of the left row (both ends included)."""
-    seen = right.select(*keys, t_right).withColumn("_seen", F.col(t_right))
-    found = asof_join(
-        left, seen, keys, t_left, "_seen", ["_seen"], inclusive=True, max_age_s=2 * radius_s, shift_s=radius_s
-    )
-    return found.withColumn(flag, F.col("_seen").isNotNull()).drop("_seen")
+    """True where a right row of the key lies within +-radius of the left row."""
+    return exists_between(left, right, keys, t_left, t_right, -radius_s, radius_s, flag)
 
 
 def either_key(df: DataFrame, first: str, second: str, key: str) -> DataFrame:

@@ -59,14 +59,13 @@ def route_feedback(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 def synthesis_gate(scores: DataFrame, recurring: DataFrame, last_run: DataFrame, as_of) -> DataFrame:
     """One row: should synthesis run? last_run(last_run TIMESTAMP) has at most one row."""
-    s = scores.agg(F.max("score").alias("max_score"), F.count("*").alias("n_scores"))
-    r = recurring.agg(F.count("*").alias("n_recurring"))
-    l = last_run.agg(F.max("last_run").alias("last_run"))
-    one = s.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").join(l.withColumn("_k", F.lit(1)), "_k")
-    overdue = F.col("last_run").isNull() | (F.date_diff(F.lit(as_of), "last_run") >= fv.SYNTHESIS_MAX_DAYS)
-    run = (F.col("n_recurring") > 0) | (
-        (F.col("n_scores") > 0) & ((F.col("max_score") >= fv.SYNTHESIS_SCORE) | overdue)
+    recurring_n = recurring.agg(F.count("*")).scalar()
+    last = last_run.agg(F.max("last_run")).scalar()
+    one = scores.agg(F.max("score").alias("max_score"), F.count("*").alias("_n")).withColumns(
+        {"n_recurring": recurring_n, "_last": last}
     )
+    overdue = F.col("_last").isNull() | (F.date_diff(F.lit(as_of), "_last") >= fv.SYNTHESIS_MAX_DAYS)
+    run = (F.col("n_recurring") > 0) | ((F.col("_n") > 0) & ((F.col("max_score") >= fv.SYNTHESIS_SCORE) | overdue))
     return one.select("max_score", "n_recurring", run.alias("run_synthesis"))
 
 

@@ -40,30 +40,32 @@ def over_time(
 
 
 def counter_increase(
-    df: DataFrame, keys: list[str], ts: str, value: str, step_s: int, range_s: int, tiebreak: str
+    df: DataFrame, keys: list[str], ts: str, value: str, step_s: int, range_s: int, tiebreak: str, sample_s: int = 15
 ) -> DataFrame:
     """increase() and rate() of a counter with resets, at every step that saw a sample.
 
     No extrapolation: the increase is the sum of the steps up between samples inside the range; after
-    a reset the new value itself counts. Inside a step the samples are ordered per (series, step);
-    across steps only the first and last value of each step are needed.
+    a reset the new value itself counts. Samples are ordered only inside short cells (about one scrape
+    interval); across cells their first and last values are enough. sample_s must divide step_s.
     """
     jump = lambda prev, v: F.when(v < prev, v).otherwise(v - prev)
-    inside = Window.partitionBy(*keys, "step").orderBy(ts, tiebreak)
-    v = F.col(value).cast("double")
-    rows = df.select(*keys, ts, tiebreak, v.alias("_v"), eval_cell(ts, step_s).alias("step"))
+    cell = eval_cell(ts, sample_s).alias("_c")
+    inside = Window.partitionBy(*keys, "_c").orderBy(ts, tiebreak)
+    rows = df.select(*keys, ts, tiebreak, F.col(value).cast("double").alias("_v"), cell)
     rows = rows.withColumn("_d", jump(F.lag("_v").over(inside), F.col("_v")))
     at = F.struct(ts, tiebreak)
-    steps = rows.groupBy(*keys, "step").agg(
+    cells = rows.groupBy(*keys, "_c").agg(
         F.coalesce(F.sum("_d"), F.lit(0.0)).alias("_within"),
         F.min_by("_v", at).alias("_first"),
         F.max_by("_v", at).alias("_last"),
     )
-    by_step = Window.partitionBy(*keys).orderBy("step")
-    edge = F.coalesce(jump(F.lag("_last").over(by_step), F.col("_first")), F.lit(0.0))
-    steps = steps.withColumn("_edge", edge)
+    edge = jump(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_c")), F.col("_first"))
+    cells = cells.withColumn("_edge", F.coalesce(edge, F.lit(0.0)))
+    steps = cells.groupBy(*keys, F.ceil(F.col("_c") / (step_s // sample_s)).alias("step")).agg(
+        F.sum(F.col("_within") + F.col("_edge")).alias("_up"), F.min_by("_edge", "_c").alias("_edge")
+    )
     w = trailing(keys, range_s // step_s)
-    inc = F.sum(F.col("_within") + F.col("_edge")).over(w) - F.first("_edge").over(w)
+    inc = F.sum("_up").over(w) - F.first("_edge").over(w)
     return steps.select(
         *keys, cell_time("step", step_s).alias("t"), inc.alias("increase"), (inc / range_s).alias("rate")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsignal.functions.timecells import seconds_between
-from opsignal.operators.joins import asof_join
+from opsignal.operators.joins import exists_between
 
 
 def pattern_rollup(patterns: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,18 +62,11 @@ def availability(heartbeats: DataFrame, ts: str, start, end, window: str = "5 mi
 def change_failure_rate(
     deploys: DataFrame, incidents: DataFrame, keys: list[str], t_deploy: str, t_incident: str, within_s: float
 ) -> DataFrame:
-    """Deploys per key and week, and the share followed by an incident within the given time.
-
-    The next incident after each deploy is found by an as-of pass, not by pairing all of them.
-    """
-    opened = incidents.select(*keys, t_incident).withColumn("_next", F.col(t_incident))
-    followed = asof_join(
-        deploys, opened, keys, t_deploy, "_next", ["_next"], direction="forward", inclusive=True, max_age_s=within_s
-    )
+    """Deploys per key and week, and the share followed by an incident within the given time."""
+    followed = exists_between(deploys, incidents, keys, t_deploy, t_incident, 0, within_s, "_failed")
     week = F.date_trunc("week", t_deploy).cast("timestamp_ntz").alias("week")
     return followed.groupBy(*keys, week).agg(
-        F.count("*").alias("deploys"),
-        F.round(F.count("_next") / F.count("*"), 6).alias("failure_rate"),
+        F.count("*").alias("deploys"), F.round(F.count_if("_failed") / F.count("*"), 6).alias("failure_rate")
     )
 
 

@@ -39,24 +39,80 @@ def _distances(vectors: pd.Series, pivots: np.ndarray) -> tuple[np.ndarray, np.n
     return x, np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
 
 
+def _id_type(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
+
+
+def _neighbour_schema(q: DataFrame, c: DataFrame) -> str:
+    return f"query_id {_id_type(q)}, neighbour_id {_id_type(c)}, distance double"
+
+
+def _nearest(qs: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray | None, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest of a block of corpus vectors for each of a block of queries."""
+    empty = pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []})
+    if not len(qs) or vectors is None or not len(ids):
+        return empty
+    dist = 1.0 - np.stack(qs["v"].to_numpy()) @ vectors.T
+    if exclude_self:
+        dist[qs["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+    asked, found, far = [], [], []
+    for qid, row in zip(qs["id"].to_numpy(), dist):
+        # keep every row tied with the k-th, then order by (distance, id)
+        limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+        cand = np.flatnonzero((row <= limit) & np.isfinite(row))
+        cand = cand[np.lexsort((ids[cand], row[cand]))][:k]
+        asked.append(np.repeat(qid, len(cand)))
+        found.append(ids[cand])
+        far.append(row[cand])
+    return pd.DataFrame({"query_id": np.concatenate(asked), "neighbour_id": np.concatenate(found), "distance": np.concatenate(far)})
+
+
+def _small_corpus(c: DataFrame, small_bytes: int) -> pd.DataFrame | None:
+    """The corpus if it fits into small_bytes; reads at most one row more than that."""
+    head = c.limit(1).collect() if small_bytes else []
+    if not head:
+        return None
+    fits = small_bytes // (8 * len(head[0]["v"]))
+    rows = c.limit(fits + 1).toPandas()
+    return rows if len(rows) <= fits else None
+
+
+def _knn_small(q: DataFrame, c: DataFrame, small: pd.DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
+    shipped = q.sparkSession.sparkContext.broadcast((small["id"].to_numpy(), np.stack(small["v"].to_numpy())))
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = shipped.value
+        for pdf in parts:
+            best = [_nearest(pdf, ids[i:i + block], vectors[i:i + block], k, exclude_self) for i in range(0, len(ids), block)]
+            rows = pd.concat(best).sort_values(["query_id", "distance", "neighbour_id"], kind="stable")
+            rank = rows.groupby("query_id").cumcount() + 1
+            yield rows.assign(rank=rank.astype("int32"))[rank <= k]
+
+    return q.mapInPandas(search, _neighbour_schema(q, c) + ", rank int")
+
+
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int = fv.KNN_CANDIDATES, key: str = "id", vec: str = "embedding",
-    exclude_self: bool = True, pivots: int = 16, block: int = 4096,
+    exclude_self: bool = True, pivots: int = 16, block: int = 4096, small_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k corpus rows nearest to each query by cosine distance.
 
-    Ties go to the smaller id. With exclude_self a query never meets the corpus row of its own id.
+    Ties go to the smaller id. With exclude_self a query never meets the corpus row of its own id. A
+    corpus that is checked to fit into small_bytes is shipped to the query tasks instead of being
+    cut into cells.
     """
     q, c = _unit(queries, key, vec), _unit(corpus, key, vec)
+    small = _small_corpus(c, small_bytes)
+    if small is not None:
+        return _knn_small(q, c, small, k, exclude_self, block)
     # A fixed number of pivots; they only shape the cells, never the result.
     first = c.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    out_schema = f"query_id {q.schema['id'].dataType.simpleString()}, neighbour_id {c.schema['id'].dataType.simpleString()}, distance double"
+    out_schema = _neighbour_schema(q, c)
     if not first:
         return queries.sparkSession.createDataFrame([], out_schema + ", rank int")
     p = np.array([r["v"] for r in first])
     n_cells = len(first)
     pivot_gap = np.sqrt(np.maximum(2.0 - 2.0 * (p @ p.T), 0.0))
-    id_type = lambda d: d.schema["id"].dataType.simpleString()
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -64,7 +120,7 @@ def knn(
                 _, d = _distances(pdf["v"], p)
                 yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), d=d.min(axis=1))
 
-    cells = c.mapInPandas(assign, f"id {id_type(c)}, v array<double>, cell int, d double")
+    cells = c.mapInPandas(assign, f"id {_id_type(c)}, v array<double>, cell int, d double")
     need = k + 1 if exclude_self else k
     extent = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
     nearest = Window.partitionBy("cell").orderBy("d", "id")
@@ -93,7 +149,7 @@ def knn(
             hit = pdf.iloc[rows]
             yield pd.DataFrame({"id": hit["id"].to_numpy(), "v": hit["v"].to_numpy(), "cell": cols.astype("int32")})
 
-    routed = q.mapInPandas(targets, f"id {id_type(q)}, v array<double>, cell int")
+    routed = q.mapInPandas(targets, f"id {_id_type(q)}, v array<double>, cell int")
     # Few numbers: how many query blocks each cell needs.
     asked = {r["cell"]: r["n"] for r in q.mapInPandas(
         lambda parts: (x[["cell"]] for x in targets(parts)), "cell int"
@@ -109,21 +165,7 @@ def knn(
     )
 
     def nearest_in_block(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []})
-        if not len(qs) or not len(cs):
-            return empty
-        ids = cs["id"].to_numpy()
-        dist = 1.0 - np.stack(qs["v"].to_numpy()) @ np.stack(cs["v"].to_numpy()).T
-        if exclude_self:
-            dist[qs["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        out = []
-        for qid, row in zip(qs["id"].to_numpy(), dist):
-            # keep every row tied with the k-th, then order by (distance, id)
-            limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            cand = np.flatnonzero((row <= limit) & np.isfinite(row))
-            cand = cand[np.lexsort((ids[cand], row[cand]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "neighbour_id": ids[cand], "distance": row[cand]}))
-        return pd.concat(out) if out else empty
+        return _nearest(qs, cs["id"].to_numpy(), np.stack(cs["v"].to_numpy()) if len(cs) else None, k, exclude_self)
 
     on = ["cell", "cb", "qb"]
     local = qb.groupBy(*on).cogroup(cb.groupBy(*on)).applyInPandas(nearest_in_block, out_schema)
@@ -170,16 +212,16 @@ def tfidf(df: DataFrame, key: str, text: str, spread: int = 16) -> DataFrame:
     """
     words = df.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("term")).filter(F.col("term") != "")
     tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    docs = df.agg(F.count("*").alias("_docs"))
-    freq = tf.groupBy("term").agg(F.count("*").alias("df"))
-    one = F.lit(1)
-    idf = freq.withColumn("_k", one).join(docs.withColumn("_k", one), "_k").select(
-        "term", F.log((F.col("_docs") + 1) / (F.col("df") + 1)).alias("idf")
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    n_docs = df.agg(F.count("*")).scalar()
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt")
+    )
     salted = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
     weighted = salted.join(idf, ["term", "_salt"]).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    return weighted.join(length.filter(F.col("_len") > 0), key).select(key, "term", (F.col("w") / F.col("_len")).alias("weight"))
+    # one document's distinct terms at a time
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    rows = weighted.withColumn("_len", length).filter(F.col("_len") > 0)
+    return rows.select(key, "term", (F.col("w") / F.col("_len")).alias("weight"))
 
 
 def stale_vectors(df: DataFrame, vec: str, text: str, marker: str = fv.STALE_TEXT_MARKER) -> DataFrame:
