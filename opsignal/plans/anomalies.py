@@ -183,10 +183,12 @@ def _(t):
     return correlate.lagged_pearson(signals(t), ["ns"], "event_type", "ts", "value", 3600, 86400)
 
 
+# one day of lead-up on a five-minute grid: at most 288 points per incident and metric
 LOOK = 24 * 3600
+STEP = 300
 OPENED = f"""{SIG}, inc AS (SELECT event_id AS incident_id, CASE WHEN k < 50 THEN 'crash' ELSE 'probe' END AS incident_type, ns, ts AS opened_at
     FROM sig WHERE event_type = 'error'),
-  g AS (SELECT ns, event_type AS metric, make_timestamp(CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) * 60000000) AS gt, avg(value) AS value FROM sig
+  g AS (SELECT ns, event_type AS metric, make_timestamp(CAST(floor(epoch_us(ts) / 300000000) AS BIGINT) * 300000000) AS gt, avg(value) AS value FROM sig
         WHERE event_type <> 'error' GROUP BY ALL),
   f AS (SELECT incident_id, incident_type, inc.ns, metric, count(*) AS n, coalesce(regr_slope(value, epoch(gt) - epoch(opened_at)), 0) AS slope,
           CASE WHEN stddev_samp(value) > 1e-9 THEN greatest(max(value) - avg(value), avg(value) - min(value)) / stddev_samp(value) END AS z
@@ -204,7 +206,7 @@ def _opened(t):
 
 def _features(t):
     samples = signals(t).filter("event_type <> 'error'").withColumnRenamed("event_type", "metric")
-    return correlate.lead_up_features(_opened(t), samples, ["ns"], "opened_at", "ts", LOOK, 60, 60)
+    return correlate.lead_up_features(_opened(t), samples, ["ns"], "opened_at", "ts", LOOK, 60, STEP)
 
 
 @query("leading_indicators", f"WITH {OPENED} SELECT * FROM ind")

@@ -48,8 +48,8 @@ REW = """rew AS (SELECT l_orderkey AS incident_id, l_linenumber, concat('rule-',
 
 
 # --- Spark -------------------------------------------------------------------------------------
-def signals(t: Tables) -> DataFrame:
-    return t.events.select(
+def signals(t: Tables, events: DataFrame | None = None) -> DataFrame:
+    return (t.events if events is None else events).select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.concat(F.lit("ns-"), (F.col("user_id") % 10).cast("string")).alias("ns"),
         F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("pod"),
@@ -58,7 +58,7 @@ def signals(t: Tables) -> DataFrame:
 
 
 def logs(t: Tables) -> DataFrame:
-    s = signals(t)
+    s = signals(t, t.wide("events"))
     return s.select(
         "*",
         F.expr(LINE).alias("line"),

@@ -183,8 +183,8 @@ def _signature_sql() -> str:
 
 @query("signature_scan", _signature_sql())
 def _(t):
-    content = t.documents.select(F.col("doc_id").alias("id"), F.lit("document").alias("origin"), F.col("text").alias("body")).union(
-        t.pages.select(F.col("page_id").alias("id"), F.lit("page").alias("origin"), F.col("html").alias("body"))
+    content = t.wide("documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("origin"), F.col("text").alias("body")).union(
+        t.wide("pages").select(F.col("page_id").alias("id"), F.lit("page").alias("origin"), F.col("html").alias("body"))
     )
     return detect.scan_signatures(content, "body", ["id", "origin"], {**fv.SIGNATURES, **EXTRA_SIGNATURES})
 
@@ -256,7 +256,7 @@ MASK = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[0
 )
 def _(t):
     seen = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("doc_id").cast("decimal(18,6)"))
-    lines = t.documents.select(F.col("source").alias("ns"), F.explode(F.split("text", "\n")).alias("line"), seen.alias("ts"))
+    lines = t.wide("documents").select(F.col("source").alias("ns"), F.explode(F.split("text", "\n")).alias("line"), seen.alias("ts"))
     return templates.mine_templates(lines, ["ns"], "line", "ts")
 
 

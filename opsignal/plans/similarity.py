@@ -99,7 +99,7 @@ def _(t):
         SELECT doc_id, term, round(w / len, 6) AS weight FROM x JOIN l USING (doc_id) WHERE len > 0""",
 )
 def _(t):
-    return similar.tfidf(t.documents, "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return similar.tfidf(t.wide("documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query(

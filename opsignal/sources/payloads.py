@@ -41,43 +41,37 @@ def explode_alerts(bodies: DataFrame, body: str = "alert_body") -> DataFrame:
 
 
 def _shaped_deploys(payloads: DataFrame, body: str) -> DataFrame:
-    p = F.from_json(body, DEPLOY_SCHEMA)
-    d = payloads.withColumn("_p", p)
-    reconciler = F.col("_p.involvedObject").isNotNull()
-    push = F.col("_p.object_kind") == "push"
-    merge = F.col("_p.object_kind") == "merge_request"
+    # inline() parses each body once; selecting fields of from_json would parse once per field
+    d = payloads.select("*", F.inline(F.array(F.from_json(body, DEPLOY_SCHEMA))))
+    reconciler = F.col("involvedObject").isNotNull()
+    push = F.col("object_kind") == "push"
+    merge = F.col("object_kind") == "merge_request"
     none = F.lit("")
 
     def pick(a, b, c):
         return F.when(reconciler, F.coalesce(a, none)).when(push, F.coalesce(b, none)).when(merge, F.coalesce(c, none))
 
-    commit = F.try_element_at("_p.commits", F.lit(1))
-    branch = F.replace(F.coalesce("_p.ref", none), F.lit("refs/heads/"), none)
-    kind = F.lower(F.coalesce("_p.involvedObject.kind", none))
-    repo = F.col("_p.repository.name")
+    commit = F.try_element_at("commits", F.lit(1))
+    branch = F.replace(F.coalesce("ref", none), F.lit("refs/heads/"), none)
+    kind = F.lower(F.coalesce("involvedObject.kind", none))
+    repo = F.col("repository.name")
     return d.select(
         *payloads.columns,
         F.when(reconciler, "flux").when(push | merge, "gitlab").alias("source"),
         pick(F.when(kind != "", kind).otherwise("flux"), F.lit("push"), F.lit("merge_request")).alias("event_type"),
-        pick(F.col("_p.involvedObject.namespace"), none, none).alias("namespace"),
-        pick(F.col("_p.involvedObject.name"), repo, repo).alias("resource_name"),
+        pick(F.col("involvedObject.namespace"), none, none).alias("namespace"),
+        pick(F.col("involvedObject.name"), repo, repo).alias("resource_name"),
         pick(
-            F.col("_p.metadata.revision"),
-            F.left(commit["id"], F.lit(12)),
-            F.left("_p.object_attributes.last_commit.id", F.lit(12)),
+            F.col("metadata.revision"), F.left(commit["id"], F.lit(12)), F.left("object_attributes.last_commit.id", F.lit(12))
         ).alias("revision"),
         pick(
-            F.when(F.col("_p.severity") == "error", "failed").otherwise("succeeded"),
-            F.lit("pushed"),
-            F.col("_p.object_attributes.state"),
+            F.when(F.col("severity") == "error", "failed").otherwise("succeeded"), F.lit("pushed"), F.col("object_attributes.state")
         ).alias("status"),
+        pick(F.coalesce("reportingController", F.lit("flux")), F.col("user_name"), F.col("user.name")).alias("actor"),
         pick(
-            F.coalesce("_p.reportingController", F.lit("flux")), F.col("_p.user_name"), F.col("_p.user.name")
-        ).alias("actor"),
-        pick(
-            F.col("_p.message"),
+            F.col("message"),
             F.concat(F.lit("branch="), branch, F.lit(" "), F.coalesce(commit["message"], none)),
-            F.col("_p.object_attributes.title"),
+            F.col("object_attributes.title"),
         ).alias("message"),
     )
 
