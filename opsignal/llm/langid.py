@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDECIDED = "und"
+LEAST = 512
+OTHER = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -21,10 +24,10 @@ class Params:
     larger than the smallest by more than this share; languages: most languages a model may have.
     """
 
-    dictionary_bytes: int = 64 * 1024
-    candidates: int = 100
-    level: int = 3
-    margin: float = 0.004
+    dictionary_bytes: int = 32 * 1024
+    candidates: int = 150
+    level: int = 6
+    margin: float = 0.01
     languages: int = 300
 
 
@@ -55,12 +58,11 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     )
     if ids.select("of").distinct().count() > params.languages:
         raise ValueError(f"more than {params.languages} languages")
-    part = F.substring(F.col("text").cast("binary"), 1, params.dictionary_bytes)
+    part = F.substring("text", 1, params.dictionary_bytes)
     texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["id"]) & (rows["lang"] == ids["of"])).select("of", "at", part.alias("part"))
     parts: dict[str, list[bytes]] = {}
     for r in sorted(texts.collect()):
-        parts.setdefault(r["of"], []).append(bytes(r["part"]))
-    # zstandard finds what is near the end of a dictionary first, and the end of a text cut there is of no use
+        parts.setdefault(r["of"], []).append(plain(r["part"]))
     return Model(params, {lang: b"\n".join(p)[: params.dictionary_bytes] for lang, p in sorted(parts.items())})
 
 
@@ -68,6 +70,11 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def plain(text: str) -> bytes:
+    """What is compressed: the text's distinct words (letters only, in lower case) in the order they come."""
+    return " ".join(dict.fromkeys(OTHER.split(text.lower()))).encode("utf-8", "surrogatepass")
+
+
 class Judge:
     """The compressors of a model, made once per task."""
 
@@ -85,7 +92,9 @@ class Judge:
         """Language, score, rejected."""
         if text is None or not self.langs or not has_letter(text):
             return UNDECIDED, 0.0, True
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = plain(text)
+        if len(raw) < LEAST:  # a very short frame is stored as it is, whatever the dictionary
+            raw *= LEAST // len(raw) + 1
         sizes = [len(c(raw)) for c in self.compress]
         best = int(np.argmin(sizes))
         if len(sizes) == 1:

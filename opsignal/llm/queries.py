@@ -101,15 +101,15 @@ def _chat_sql() -> str:
     # each state of the template's machine is named as the role that leads to it, so the role before is the state
     return f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                     UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-        o AS (SELECT *, row_number() OVER w - 1 AS at, coalesce(lag(role) OVER w, '{t.start}') AS before FROM r
+        o AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(lag(role) OVER w, '{t.start}') AS before FROM r
               WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
         f AS (SELECT *, length({_sql_escape('text')}) + CASE {marks} ELSE {other} + length({_sql_escape('role')}) END AS wide,
                      NOT ({moves}) AS bad FROM o)
-        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
                CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY at)) AS loss_sha256,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos)) AS loss_sha256,
                CAST(sum(wide) + count(*) - 1 AS BIGINT) AS formatted_chars,
-               NOT bool_or(bad) AND max_by(role, at) IN ({final}) AS valid, min(CASE WHEN bad THEN at END) AS bad_turn
+               NOT bool_or(bad) AND max_by(role, pos) IN ({final}) AS valid, min(CASE WHEN bad THEN pos END) AS bad_turn
         FROM f GROUP BY conv_id"""
 
 

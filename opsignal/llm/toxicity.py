@@ -1,7 +1,7 @@
-"""Toxicity: cumulative-link ordinal regression on which words a text has.
+"""Toxicity: cumulative-link ordinal regression on which words and word beginnings a text has.
 
-P(grade > k) = sigmoid(w.x - t_k): one weight per word for all thresholds t_1 <= t_2 <= ..., so severity is one
-axis. Absolute-value shrinkage leaves few words with a weight.
+P(grade > k) = sigmoid(w.x - t_k): one weight per feature for all thresholds t_1 <= t_2 <= ..., so severity is one
+axis. Only features that a likelihood-ratio test ties to the grades get a weight.
 """
 
 from __future__ import annotations
@@ -21,42 +21,68 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """sample: most labelled documents that the fit reads; least: documents a word must be in to get a weight;
-    shrink: the absolute-value penalty; rounds and step: of the descent."""
+    """sample: most labelled documents that the fit reads; least: documents of the sample that a feature must be in;
+    tied: least likelihood ratio (G) of a feature; beginnings: lengths of the word beginnings; shrink: the absolute-value
+    penalty; rounds and step: of the descent; split: with two grades only, whether the upper one is split in two at the
+    median of its scores, so that severity has a scale."""
 
     sample: int = 10_000
     least: int = 5
-    shrink: float = 5e-4
-    rounds: int = 200
-    step: float = 0.3
+    tied: float = 20.0
+    beginnings: tuple[int, int] = (3, 8)
+    shrink: float = 1e-5
+    rounds: int = 600
+    step: float = 0.5
+    split: bool = True
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights: by the word's hash; thresholds: of each grade above the lowest that the sample has; grades: all of them."""
+    """weights: by feature; thresholds: of each grade above the lowest that the sample has; grades: all of them."""
 
-    weights: dict[int, float]
+    params: Params
+    weights: dict[str, float]
     thresholds: tuple[float, ...]
     grades: tuple[int, ...]
 
 
-def features(text: str | None) -> set[int]:
-    """Signed 64-bit hashes of the distinct words (letters only, in lower case) of a whole text."""
-    distinct = set(WORD.findall((text or "").lower()))
-    return {h - (1 << 64) if h >> 63 else h for h in map(partial(xxh64_intdigest, seed=0), distinct)}
+def _hash(feature: str) -> int:
+    h = xxh64_intdigest(feature, seed=0)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _sample(docs: DataFrame, grades: DataFrame, size: int) -> pa.Table:
+def features(text: str | None, p: Params = Params()) -> set[str]:
+    """Distinct words (letters only, in lower case) of a whole text, beginnings of longer ones, and the text's length class."""
+    words = set(WORD.findall((text or "").lower()))
+    low, high = p.beginnings
+    out = {w[:k] + "-" for w in words for k in range(low, min(high, len(w) - 1) + 1)}
+    return out | words | {f"#{len(words).bit_length()}"}
+
+
+def _sample(docs: DataFrame, grades: DataFrame, p: Params) -> DataFrame:
     ids = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select(F.col("doc_id").alias("id"), "grade")
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample).select(F.col("doc_id").alias("id"), "grade")
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("grade", "text")
+
 
+def _hashed(sample: DataFrame, p: Params) -> pa.Table:
     def run(batches):
         for b in batches:
-            words = [list(features(t)) for t in b.column(1).to_pylist()]
+            words = [list(map(_hash, features(t, p))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], names=["grade", "words"])
 
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("grade", "text")
-    return rows.mapInArrow(run, "grade int, words array<long>").toArrow()
+    return sample.mapInArrow(run, "grade int, words array<long>").toArrow()
+
+
+def _names(sample: DataFrame, p: Params, hashes: set[int]) -> dict[int, str]:
+    """The features of the sample that have these hashes."""
+
+    def run(batches):
+        for b in batches:
+            found = sorted({f for t in b.column(1).to_pylist() for f in features(t, p) if _hash(f) in hashes})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["name"])
+
+    return {_hash(r["name"]): r["name"] for r in sample.mapInArrow(run, "name string").distinct().collect()}
 
 
 def descend(rows: list[np.ndarray], level: np.ndarray, steps: int, p: Params, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,22 +129,61 @@ def fit(docs: DataFrame, grades: DataFrame, params: Params = Params()) -> Model:
 
     docs: doc_id, text; grades: doc_id, grade (int, 0 lowest; null grades are left out, of several the highest counts).
     Only grades that the sample has get thresholds. With fewer than two grades the model has none and gives every text
-    the one grade, or 0. The driver gets the words' hashes of the sample, nothing that grows with the input.
+    the one grade, or 0. The driver gets the hashes of the sample's features, nothing that grows with the input.
     """
-    got = _sample(docs, grades, params.sample)
+    sample = _sample(docs, grades, params)
+    got = _hashed(sample, params)
     grade = got["grade"].to_numpy().astype(np.int64)
     kinds = np.unique(grade)
     if len(kinds) < 2:
-        return Model({}, (), tuple(int(k) for k in kinds) or (0,))
+        return Model(params, {}, (), tuple(int(k) for k in kinds) or (0,))
     words = got["words"].combine_chunks()
-    flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
-    known, number, count = np.unique(flat[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
-    new = np.where(count >= params.least, np.cumsum(count >= params.least) - 1, -1)
-    cols = new[number]
-    rows = [c[c >= 0] for c in np.split(cols, (ends - ends[0])[1:-1])]
-    kept = known[count >= params.least]
-    w, limits = descend(rows, np.searchsorted(kinds, grade), len(kinds) - 1, params, len(kept))
-    return Model({int(k): float(x) for k, x in zip(kept, w, strict=True) if x}, tuple(map(float, limits)), tuple(map(int, kinds)))
+    ends = words.offsets.to_numpy()
+    flat, ends = words.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
+    known, number = np.unique(flat, return_inverse=True)
+    lengths = np.isin(known, np.array([_hash(f"#{k}") for k in range(64)]))
+    tie = tied(number, np.repeat(grade > kinds[0], np.diff(ends)), len(known), (grade > kinds[0]).mean(), len(grade))
+    kept = lengths | ((np.bincount(number, minlength=len(known)) >= params.least) & (tie >= params.tied))
+    cols = np.where(kept, np.cumsum(kept) - 1, -1)[number]
+    rows = [c[c >= 0] for c in np.split(cols, ends[1:-1])]
+    level = np.searchsorted(kinds, grade)
+    w, limits = descend(rows, level, len(kinds) - 1, params, kept.sum())
+    kinds = [int(k) for k in kinds]
+    if params.split and len(kinds) == 2:
+        z = np.array([w[r].sum() for r in rows])
+        upper = z > np.median(z[level == 1])
+        if (upper & (level == 1)).any():
+            kinds.append(kinds[-1] + 1)
+            w, limits = descend(rows, level + (upper & (level == 1)), 2, params, kept.sum())
+    names = _names(sample, params, set(known[kept][w != 0].tolist()))
+    weights = {names[int(k)]: float(x) for k, x in zip(known[kept], w, strict=True) if x}
+    return Model(params, weights, tuple(map(float, limits)), tuple(kinds))
+
+
+def tied(number: np.ndarray, upper: np.ndarray, features: int, share: float, n: int) -> np.ndarray:
+    """G of the two-by-two table of each feature and being above the lowest grade. number, upper: of each occurrence."""
+    have = np.bincount(number, minlength=features).astype(float)
+    up = np.bincount(number, weights=upper, minlength=features)
+    total = np.zeros(features)
+    for seen, expected in ((up, have * share), (have - up, have * (1 - share)), (n * share - up, (n - have) * share), (n - have - (n * share - up), (n - have) * (1 - share))):
+        total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    return total
+
+
+class Scorer:
+    """Sums of a model's weights. Only words that start as some weighted feature does are looked at closely."""
+
+    def __init__(self, model: Model):
+        self.weights, (self.low, self.high) = model.weights, model.params.beginnings
+        self.starts = {f[: self.low] for f in model.weights}
+
+    def __call__(self, text: str | None) -> float:
+        words = set(WORD.findall((text or "").lower()))
+        low, high, starts, weights = self.low, self.high, self.starts, self.weights
+        maybe = [w for w in words if w[:low] in starts]
+        own = {w[:k] + "-" for w in maybe for k in range(low, min(high, len(w) - 1) + 1)} | set(maybe)
+        own.add(f"#{len(words).bit_length()}")
+        return sum(weights[f] for f in sorted(own & weights.keys()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -131,10 +196,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = "doc_id long, toxic boolean, severity int, expected_severity double, p_toxic double"
 
     def run(batches):
-        weights, keys = model.weights, model.weights.keys()
+        scorer = Scorer(model)
         limits, grades = np.array(model.thresholds), np.array(model.grades, dtype=float)
         for b in batches:
-            z = np.array([sum(weights[h] for h in features(t) & keys) for t in b.column(1).to_pylist()])
+            z = np.array([scorer(t) for t in b.column(1).to_pylist()])
             up = 1 / (1 + np.exp(-np.clip(z[:, None] - limits, -40, 40)))
             mass = np.concatenate([np.ones((len(z), 1)), up], axis=1) - np.concatenate([up, np.zeros((len(z), 1))], axis=1)
             p = up[:, 0] if len(limits) else np.full(len(z), float(grades[0] > 0))
@@ -147,5 +212,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """doc_id, grade from labels (doc_id, quality, toxic): 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    return labels.select("doc_id", (F.col("toxic") * (1 + F.when(F.col("quality") == 0, 1).otherwise(0))).cast("int").alias("grade"))
+    """doc_id, grade from labels (doc_id, toxic): 0 not toxic, 1 toxic; the fit splits the toxic ones by severity."""
+    return labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))
