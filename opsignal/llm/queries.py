@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, decontam, exact, langid, pieces, simhash, toxicity, urls
+from opsignal.llm import chat, decontam, exact, langid, lm, pieces, simhash, toxicity, urls
 from opsignal.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,12 @@ def piece_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("op5_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add-one and interpolated log10 probability of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op7_exact",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
