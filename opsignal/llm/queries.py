@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, decontam, exact, langid, lm, pieces, simhash, toxicity, urls
+from opsignal.llm import chat, decontam, exact, langid, lm, pieces, simhash, suffix, toxicity, urls
 from opsignal.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+@query("op6_suffix")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a passage of an earlier document repeats."""
+    return suffix.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query(
     "op7_exact",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
