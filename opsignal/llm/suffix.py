@@ -1,13 +1,15 @@
 """Repeated passages by the sorted suffixes of a collection, built column by column.
 
 A byte goes if a string of `least` bytes over it also starts in a document with a smaller doc_id. Finding those strings
-takes three questions, each asked by blocks of documents and answered by hash parts, as packed arrays:
+takes four questions, each asked by blocks of documents and answered by hash parts, as packed arrays:
 
-1. Anchors. Of each window of `least` bytes the `gram`-byte string with the smallest hash is an anchor, so equal windows
+1. Anchors. Of each window of `least` bytes the `gram`-byte string with the smallest hash is its anchor, so equal windows
    have equal anchors. Only anchors that come up more than once go on.
-2. Segments. All windows that an anchor stands for lie in the segment around it. An anchor whose whole segment is in a
-   smaller document is done: the segment goes. The first document of a segment whose anchor has other segments sends it on.
-3. Suffixes. The segments of a part's anchors are a collection of short documents. Their suffixes are sorted by inserting
+2. Segments. The windows that have an anchor make up a segment. A segment that a smaller document has too goes. The
+   first document of a segment whose anchor has other segments goes on with it.
+3. Windows. Those of these segments whose (shortened) hash comes up once can't be repeated; the rest of each segment is a
+   short string.
+4. Suffixes. The strings of a part's anchors are a collection of short documents. Their suffixes are sorted by inserting
    one symbol of each document a round, from the last to the first, into the collection's Burrows-Wheeler transform, with
    the common prefixes of neighbours; both are sequential files in the task's temporary folder. Neighbours that share
    `least` bytes are equal windows, and the smallest doc_id among them decides.
@@ -48,14 +50,14 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Params:
     """least: bytes of a repeated string; gram: bytes of an anchor; block_bytes: text of a block; part_keys: entries of a
-    hash part; part_strings: shared anchors per collection of segments; hot: segments of an anchor beyond which its
+    hash part; part_strings: most strings of a collection, about; hot: segments of an anchor beyond which its
     windows are sent one by one; chunk: records that the sequential files are read by."""
 
     least: int = 50
     gram: int = 20
     block_bytes: int = 8 << 20
     part_keys: int = 2_000_000
-    part_strings: int = 100_000
+    part_strings: int = 20_000
     hot: int = 5_000
     chunk: int = 1 << 18
 
@@ -113,11 +115,21 @@ def anchors(text: np.ndarray, ends: np.ndarray, p: Params, step: int = 1 << 20)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
 
 
-def around(text: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Symbols from `before` ahead of each place to `after` behind it, one row a place."""
-    places = at[:, None] + np.arange(-before, after)
-    inside = (places >= begins[:, None]) & (places < ends[:, None])
-    return np.where(inside, text[np.clip(places, 0, max(len(text) - 1, 0))], OUTSIDE) if len(at) else np.zeros((0, before + after), dtype=np.int64)
+def stretches(text: np.ndarray, places: np.ndarray, before: int, after: int, step: int = 1 << 20) -> Iterator[tuple[slice, int, np.ndarray]]:
+    """Places (sorted) by stretches of text: which, the first byte of the stretch, its bytes from `before` to `after`."""
+    for a in range(0, len(text), step):
+        i, j = np.searchsorted(places, [a, a + step])
+        if i < j:
+            first = max(0, a - before)
+            yield slice(i, j), first, text[first : a + step + after]
+
+
+def hashes_at(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` bytes from each place on; places are sorted and have so many bytes."""
+    out = np.empty(len(places), dtype=np.uint64)
+    for s, first, part in stretches(text, places, 0, size):
+        out[s] = rolled(SYMBOL[part], size)[places[s] - first]
+    return out
 
 
 def row_hash(rows: np.ndarray) -> np.ndarray:
@@ -204,8 +216,7 @@ class Block:
         self.of = np.searchsorted(self.ends, self.at, side="right")
         ids = np.array([i if i is not None else 0 for i in self.ids], dtype=np.int64)
         self.doc = ids[self.of] if len(self.at) else np.zeros(0, dtype=np.int64)
-        grams = around(self.text, self.at, self.at, self.at + p.gram, 0, p.gram)
-        self.keys = row_hash(grams)
+        self.keys = hashes_at(self.text, self.at, p.gram)
 
     def ask(self, keys: np.ndarray, docs: np.ndarray, parts: int) -> Iterator[dict]:
         """One row for each part: distinct keys, how often each comes up, its smallest document."""
@@ -227,43 +238,80 @@ class Block:
         counts = _joined(rows, "counts")[which] if len(known) else np.zeros(0)
         shared = counts > 1
         self.at, self.of, self.doc, self.keys, self.count = self.at[shared], self.of[shared], self.doc[shared], self.keys[shared], counts[shared]
-        p = self.p
-        self.segments = around(self.text, self.at, self.begins[self.of], self.ends[self.of], p.span - 1, p.least)
+        p, n = self.p, len(self.at)
+        self.first, self.last, self.segment_keys = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.uint64)
+        for s, base, part in stretches(self.text, self.at, p.span, p.least + p.span, 1 << 18):
+            self._segments(s, base, part)
+
+    def _segments(self, s: slice, base: int, part: np.ndarray) -> None:
+        """First and last window of each anchor in a stretch of text, and a hash of the bytes from one to the other."""
+        p, at, begin, end = self.p, self.at[s], self.begins[self.of[s]], self.ends[self.of[s]]
+        grams, wide = rolled(SYMBOL[part], p.gram), p.span - 1
+        places = at[:, None] + np.arange(-wide, p.span)
+        inside = (places >= begin[:, None]) & (places + p.gram <= end[:, None])
+        near = np.where(inside, grams[np.clip(places - base, 0, len(grams) - 1)], np.uint64(2**64 - 1)) >= grams[at - base][:, None]
+        left, right = near[:, wide - 1 :: -1], near[:, wide + 1 :]
+        left = np.where(left.all(axis=1), wide, left.argmin(axis=1))
+        right = np.where(right.all(axis=1), wide, right.argmin(axis=1))
+        first = np.maximum(at - left, begin)
+        last = np.minimum(np.minimum(at, at + right - wide), end - p.least)
+        places = at[:, None] + np.arange(-wide, p.least)
+        inside = (places >= first[:, None]) & (places < last[:, None] + p.least)
+        content = row_hash(np.where(inside, part[np.clip(places - base, 0, len(part) - 1)], OUTSIDE))
+        self.first[s], self.last[s] = first, last
         with np.errstate(over="ignore"):
-            self.segment_keys = _mixed(self.keys * FACTOR + row_hash(self.segments))
+            self.segment_keys[s] = _mixed(self.keys[s] * FACTOR + content)
 
-    def learn_segments(self, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """Which shared anchors' segments go, and which are sent on."""
+    def learn_segments(self, rows: list[dict]) -> None:
+        """Which shared anchors' segments go, and the windows of those that go on: anchor and first byte of each."""
         known, which = np.unique(self.segment_keys, return_inverse=True)
-        if not len(known):
-            return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-        self.segment_count, low = _joined(rows, "counts")[which], _joined(rows, "least")[which].astype(np.int64)
-        gone = (self.segment_count > 1) & (low < self.doc)
-        return gone, ~gone & (self.segment_count < self.count)
+        if len(known):
+            self.segment_count, low = _joined(rows, "counts")[which], _joined(rows, "least")[which].astype(np.int64)
+        else:
+            self.segment_count, low = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.gone = (self.segment_count > 1) & (low < self.doc)
+        on = np.flatnonzero(~self.gone & (self.segment_count < self.count))
+        n = (self.last - self.first + 1)[on]
+        self.anchor = np.repeat(on, n)
+        self.window = np.repeat(self.first[on], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(self.window, kind="stable")
+        self.window_keys = np.empty(len(order), dtype=np.uint64)
+        self.window_keys[order] = hashes_at(self.text, self.window[order], self.p.least)
+
+    def ask_windows(self, parts: int, bits: int) -> Iterator[dict]:
+        """One row for each part: distinct hashes, shortened to their first bits, and how often each comes up."""
+        known, counts = np.unique(self.window_keys >> np.uint64(64 - bits), return_counts=True)
+        cuts = np.searchsorted(_part(known << np.uint64(64 - bits), parts), np.arange(parts + 1))
+        for k in range(parts):
+            s = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                yield {"block": self.id, "part": k, "keys": pack_sorted(known[s]), "counts": pack(np.minimum(counts[s], 2)), "base": 0, "least": None}
 
-    def outgoing(self, sent: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    def learn_windows(self, rows: list[dict], bits: int) -> None:
+        """Keeps the windows that may be repeated."""
+        known, which = np.unique(self.window_keys >> np.uint64(64 - bits), return_inverse=True)
+        often = _joined(rows, "counts")[which] > 1 if len(known) else np.zeros(0, dtype=bool)
+        self.anchor, self.window, self.window_keys = self.anchor[often], self.window[often], self.window_keys[often]
+
+    def outgoing(self, parts: int) -> tuple[np.ndarray, ...]:
         """What is sent on, in the order of its parts: part, first byte, length, document of each string.
 
-        A segment goes to its anchor's part; of a hot anchor each window goes to its own hash's part.
+        The windows of an anchor go as one string to the anchor's part; of a hot one each goes to its own hash's part.
         """
-        p, at, of = self.p, self.at[sent], self.of[sent]
-        start, stop = np.maximum(at - p.span + 1, self.begins[of]), np.minimum(at + p.least, self.ends[of])
-        hot = (self.count - self.segment_count)[sent] > p.hot
-        part = _part(self.keys[sent], parts)
-        n = (stop - start - p.least + 1)[hot]
-        each = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc = np.repeat(self.doc[sent][hot], n)
-        alike = row_hash(around(self.text, each, each, each + p.least, 0, p.least)) if len(each) else np.zeros(0, dtype=np.uint64)
-        # equal windows of one document are one entry; of several documents each asks for itself
-        part = np.concatenate([part[~hot], _part(alike, parts)])
-        start = np.concatenate([start[~hot], each])
-        size = np.concatenate([(stop[~hot] - start[: (~hot).sum()]), np.full(len(each), p.least)])
-        doc = np.concatenate([self.doc[sent][~hot], doc])
+        p = self.p
+        hot = ((self.count - self.segment_count) > p.hot)[self.anchor] if len(self.anchor) else np.zeros(0, dtype=bool)
+        whole, at = self.anchor[~hot], self.window[~hot]
+        head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, dtype=np.int64)
+        tail = np.append(head[1:], len(whole)) - 1 if len(whole) else head
+        part = np.concatenate([_part(self.keys[whole[head]], parts), _part(self.window_keys[hot], parts)])
+        start = np.concatenate([at[head], self.window[hot]])
+        size = np.concatenate([at[tail] - at[head], np.zeros(hot.sum(), dtype=np.int64)]) + p.least
+        doc = self.doc[np.concatenate([whole[head], self.anchor[hot]])]
         order = np.argsort(part, kind="stable")
         return part[order], start[order], size[order], doc[order]
 
-    def send(self, sent: np.ndarray, parts: int) -> Iterator[dict]:
-        part, start, size, doc = self.outgoing(sent, parts)
+    def send(self, parts: int) -> Iterator[dict]:
+        part, start, size, doc = self.outgoing(parts)
         raw = self.text.tobytes()
         cuts = np.searchsorted(part, np.arange(parts + 1))
         for k in np.unique(part).tolist():
@@ -271,23 +319,23 @@ class Block:
             strings = b"".join([raw[a : a + n] for a, n in zip(start[s].tolist(), size[s].tolist(), strict=True)])
             yield {"block": self.id, "part": k, "strings": zstandard.ZstdCompressor(level=3).compress(strings), "lengths": pack(size[s]), "docs": pack(doc[s].view(np.uint64))}
 
-    def result(self, gone: np.ndarray, sent: np.ndarray, masks: np.ndarray, parts: int) -> pa.Table:
+    def result(self, masks: np.ndarray, parts: int) -> pa.Table:
         p, change = self.p, np.zeros(len(self.text) + 1, dtype=np.int32)
-        at, of = self.at[gone], self.of[gone]
-        np.add.at(change, np.maximum(at - p.span + 1, self.begins[of]), 1)
-        np.add.at(change, np.minimum(at + p.least, self.ends[of]), -1)
+        np.add.at(change, self.first[self.gone], 1)
+        np.add.at(change, self.last[self.gone] + p.least, -1)
         if len(masks):
-            _, start, _, _ = self.outgoing(sent, parts)
+            _, start, _, _ = self.outgoing(parts)
             for k in range(p.span):
                 hit = start[(masks >> np.uint64(k)) & np.uint64(1) == 1] + k
                 np.add.at(change, hit, 1)
                 np.add.at(change, hit + p.least, -1)
         removed = np.cumsum(change[:-1]) > 0
+        full = self.lengths > 0
         edge = np.diff(removed.astype(np.int8), prepend=0)
-        edge[self.begins[self.lengths > 0]] = removed[self.begins[self.lengths > 0]]  # no run crosses documents
+        edge[self.begins[full]] = removed[self.begins[full]]  # no run crosses documents
         starts = np.flatnonzero(edge == 1)
         last = np.concatenate([removed[1:] < removed[:-1], [True]]) if len(removed) else removed
-        last[self.ends[self.lengths > 0] - 1] = True
+        last[self.ends[full] - 1] = True
         stops = np.flatnonzero(removed & last) + 1
         owner = np.searchsorted(self.ends, starts, side="right")
         offsets = np.searchsorted(owner, np.arange(len(self.ids) + 1))
@@ -315,13 +363,15 @@ def answer(asked: DataFrame, step: int) -> DataFrame:
         which = np.empty(len(whole), dtype=np.int64)
         which[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(whole)))
         counts = np.concatenate([unpack(r["counts"]) for r in rows])[order]
-        low = np.concatenate([unpack(r["least"]).view(np.int64) + r["base"] for r in rows])[order]
-        total, least = np.add.reduceat(counts, first), np.minimum.reduceat(low, first)
-        least[total == 1] = 0  # nobody needs it
+        total = np.add.reduceat(counts, first)
+        if named := rows[0]["least"] is not None:
+            low = np.concatenate([unpack(r["least"]).view(np.int64) + r["base"] for r in rows])[order]
+            least = np.minimum.reduceat(low, first)
+            least[total == 1] = 0  # nobody needs it
         out, at = [], 0
         for r, k in zip(rows, keys, strict=True):
             w = which[at : at + len(k)]
-            out.append({"block": r["block"], "step": step, "part": r["part"], "counts": pack(total[w]), "least": pack(least[w].view(np.uint64)), "n": int((total[w] > 1).sum())})
+            out.append({"block": r["block"], "step": step, "part": r["part"], "counts": pack(total[w]), "least": pack(least[w].view(np.uint64)) if named else None, "n": int((total[w] > 1).sum())})
             at += len(k)
         return pa.Table.from_pylist(out, schema=_ANSWER)
 
@@ -487,7 +537,7 @@ def compare(sent: DataFrame, p: Params) -> DataFrame:
             docs.append(unpack(r["docs"]).view(np.int64))
             sizes.append(len(lengths))
         masks = np.split(windows_elsewhere(strings, np.concatenate(docs), p), np.cumsum(sizes)[:-1])
-        out = [{"block": r["block"], "step": 3, "part": r["part"], "counts": pack(m), "least": None, "n": len(m)} for r, m in zip(rows, masks, strict=True)]
+        out = [{"block": r["block"], "step": 4, "part": r["part"], "counts": pack(m), "least": None, "n": len(m)} for r, m in zip(rows, masks, strict=True)]
         return pa.Table.from_pylist(out, schema=_ANSWER)
 
     return sent.groupBy("part").applyInArrow(run, ANSWER)
@@ -513,34 +563,41 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     first = written(answer(coded.mapInArrow(ask_anchors, ASKED), 1), "anchors")
     shared = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    some, many = max(1, math.ceil(shared / p.part_keys)), max(1, math.ceil(shared / p.part_strings))
+    some = max(1, math.ceil(shared / p.part_keys))
+    windows = max(1, math.ceil(shared * p.span / p.part_keys / 2))
+    bits = min(64, max(16, (shared * p.span).bit_length() + 6))
 
-    def told(block: pa.Table, answers: pa.Table) -> Iterator[tuple[Block, dict]]:
+    def told(block: pa.Table, answers: pa.Table, last: int) -> Iterator[tuple[Block, list[dict]]]:
+        """Blocks that know the answers up to one, and the rows of the next."""
         rows = answers.to_pylist()
         for row in block.to_pylist():
-            own = Block(row, p)
-            own.learn_anchors([r for r in rows if r["step"] == 1])
-            yield own, {k: [r for r in rows if r["step"] == k] for k in (2, 3)}
+            own, got = Block(row, p), {k: [r for r in rows if r["step"] == k] for k in range(1, 5)}
+            own.learn_anchors(got[1])
+            if last > 1:
+                own.learn_segments(got[2])
+            if last > 2:
+                own.learn_windows(got[3], bits)
+            yield own, got.get(last + 1, [])
 
     def ask_segments(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [r for own, _ in told(block, answers) for r in own.ask(own.segment_keys, own.doc, some)]
-        return pa.Table.from_pylist(out, schema=_ASKED)
+        return pa.Table.from_pylist([r for own, _ in told(block, answers, 1) for r in own.ask(own.segment_keys, own.doc, some)], schema=_ASKED)
+
+    def ask_windows(block: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([r for own, _ in told(block, answers, 2) for r in own.ask_windows(windows, bits)], schema=_ASKED)
+
+    def with_blocks(answers: DataFrame, what, schema: str) -> DataFrame:
+        return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(what, schema)
+
+    known = first.unionByName(written(answer(with_blocks(first, ask_segments, ASKED), 2), "segments"))
+    known = known.unionByName(written(answer(with_blocks(known, ask_windows, ASKED), 3), "windows"))
+    many = max(1, math.ceil(shared / 3 / p.part_strings))
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [r for own, got in told(block, answers) for r in own.send(own.learn_segments(got[2])[1], many)]
-        return pa.Table.from_pylist(out, schema=_SENT)
+        return pa.Table.from_pylist([r for own, _ in told(block, answers, 3) for r in own.send(many)], schema=_SENT)
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for own, got in told(block, answers):
-            gone, sent = own.learn_segments(got[2])
-            out.append(own.result(gone, sent, _joined(got[3], "counts") if got[3] else np.zeros(0, dtype=np.uint64), many))
+        out = [own.result(_joined(got, "counts") if got else np.zeros(0, dtype=np.uint64), many) for own, got in told(block, answers, 3)]
         return pa.concat_tables(out) if out else pa.Table.from_pylist([], schema=_RESULT)
 
-    def with_blocks(answers: DataFrame, what, schema: str) -> DataFrame:
-        return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(what, schema)
-
-    second = written(answer(with_blocks(first, ask_segments, ASKED), 2), "segments")
-    known = first.unionByName(second)
-    third = written(compare(with_blocks(known, send, SENT), p), "suffixes")
-    return with_blocks(known.unionByName(third), finish, RESULT)
+    masks = written(compare(with_blocks(known, send, SENT), p), "suffixes")
+    return with_blocks(known.unionByName(masks), finish, RESULT)
