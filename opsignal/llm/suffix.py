@@ -41,6 +41,7 @@ ANSWER = "block long, step int, part int, counts binary, least binary, n long"
 SENT = "block long, part int, strings binary, lengths binary, docs binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
 OUTSIDE = 256  # symbol of places beyond a document's ends
+SHIFT, LENGTH = np.uint32(7), np.uint32(127)  # a suffix as one number: its owner, then its length
 
 _rng = np.random.RandomState(11)
 SYMBOL = _rng.randint(1, 1 << 62, size=257).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,8 +56,8 @@ class Params:
 
     least: int = 50
     gram: int = 20
-    block_bytes: int = 8 << 20
-    part_keys: int = 2_000_000
+    block_bytes: int = 6 << 20
+    part_keys: int = 500_000
     part_strings: int = 20_000
     hot: int = 5_000
     chunk: int = 1 << 18
@@ -404,9 +405,15 @@ class Collection:
     def __init__(self, rows: np.ndarray, lengths: np.ndarray, cap: int, chunk: int):
         self.rows, self.lengths, self.cap, self.chunk = rows, lengths, cap, chunk
         self.count, self.width = rows.shape
-        self.symbols, self.owners, self.prefixes = _File(np.uint16), _File(np.uint64), _File(np.uint8)
+        self.step = self.width + cap + 8  # rows end in so many zeros that 8 bytes can be read from any place
+        padded = np.zeros(self.count * self.step + 8, dtype=np.uint8)
+        padded[: self.count * self.step].reshape(self.count, -1)[:, : self.width] = rows
+        self.words = np.zeros(self.count * self.step, dtype=np.uint64)  # the 8 bytes from each place on
+        for k in range(8):
+            self.words |= padded[k : k + len(self.words)].astype(np.uint64) << np.uint64(8 * k)
+        self.symbols, self.owners, self.prefixes = _File(np.uint8), _File(np.uint32), _File(np.uint8)
         self.symbols.write(np.zeros(self.count))
-        self.owners.write(np.arange(self.count, dtype=np.uint64) << np.uint64(16))  # owner, then the suffix's length
+        self.owners.write(np.arange(self.count, dtype=np.uint32) << SHIFT)  # owner, then the suffix's length
         self.prefixes.write(np.zeros(self.count))
         place = np.arange(self.count)
         for j in range(1, self.width + 1):
@@ -424,17 +431,16 @@ class Collection:
         """Puts the symbols at their places in the transform; place of each new suffix in the merged order."""
         order = np.argsort(place)
         place, symbol = place[order], symbol[order]
-        total, rank, base, fresh = np.zeros(258, dtype=np.int64), np.empty(len(place), dtype=np.int64), 0, _File(np.uint16)
+        total, rank, base, fresh = np.zeros(256, dtype=np.int64), np.empty(len(place), dtype=np.int64), 0, _File(np.uint8)
         for part in self.symbols.chunks(self.chunk):
             a, b = np.searchsorted(place, [base, base + len(part)])
             at = place[a:b] - base
             part[at] = symbol[a:b]
             fresh.write(part)
-            sizes = np.bincount(part, minlength=258)
-            sorted_at = np.argsort(part, kind="stable")
-            within = np.empty(len(part), dtype=np.int64)
-            within[sorted_at] = np.arange(len(part)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rank[a:b] = total[symbol[a:b]] + within[at]
+            sizes = np.bincount(part, minlength=256)
+            within = np.empty(len(part), dtype=np.int32)
+            within[np.argsort(part, kind="stable")] = np.arange(len(part), dtype=np.int32)
+            rank[a:b] = (total - np.cumsum(sizes) + sizes)[symbol[a:b]] + within[at]
             total += sizes
             base += len(part)
         self.symbols = fresh
@@ -445,44 +451,38 @@ class Collection:
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, at most cap."""
-        out, rest, done, width = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), 0, 8
-        low = np.uint64(0xFFFF)
+        out, rest, done = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), 0
+        owner_a, owner_b = (a >> SHIFT).astype(np.int64) * self.step, (b >> SHIFT).astype(np.int64) * self.step
+        size_a, size_b = (a & LENGTH).astype(np.int64), (b & LENGTH).astype(np.int64)
+        at_a, at_b, most = owner_a + self.width - size_a, owner_b + self.width - size_b, np.minimum(np.minimum(size_a, size_b), self.cap)
         while len(rest) and done < self.cap:
-            width = min(width, self.cap - done)
-            x, y = a[rest], b[rest]
-            n = np.minimum(x & low, y & low).astype(np.int64) - done
-            k = np.arange(done, done + width)
-            at_x = self.width - (x & low).astype(np.int64)[:, None] + k
-            at_y = self.width - (y & low).astype(np.int64)[:, None] + k
-            top = self.width - 1
-            same = self.rows[(x >> np.uint64(16)).astype(np.int64)[:, None], np.minimum(at_x, top)] == self.rows[(y >> np.uint64(16)).astype(np.int64)[:, None], np.minimum(at_y, top)]
-            same &= np.arange(width) < n[:, None]
-            run = np.where(same.all(axis=1), width, same.argmin(axis=1))
-            out[rest] += run
-            rest = rest[run == width]
-            done += width
-            width *= 2
-        return out
+            other = self.words[at_a[rest] + done] ^ self.words[at_b[rest] + done]
+            same = np.bitwise_count((other & -other) - np.uint64(1)).astype(np.int64) >> 3  # 8 if all are
+            out[rest] = done + same
+            done += 8
+            rest = rest[(same == 8) & (most[rest] > done)]
+        return np.minimum(out, most)
 
     def _merge(self, place: np.ndarray, owner: np.ndarray, length: int) -> None:
         order = np.argsort(place)
         place, owner = place[order], owner[order]
         before = place - np.arange(len(place))  # old records ahead of each new one
-        record = (owner.astype(np.uint64) << np.uint64(16)) | np.uint64(length)
-        symbols, owners, prefixes = _File(np.uint16), _File(np.uint64), _File(np.uint8)
+        record = (owner.astype(np.uint32) << SHIFT) | np.uint32(length)
+        symbols, owners, prefixes = _File(np.uint8), _File(np.uint32), _File(np.uint8)
         base, a, ahead, late = 0, 0, None, False
         old = zip(self.symbols.chunks(self.chunk), self.owners.chunks(self.chunk), self.prefixes.chunks(self.chunk), strict=True)
-        total = self.owners.file.seek(0, 2) // 8
+        total = self.owners.file.seek(0, 2) // 4
         for sym, own, pre in old:
             end = base + len(own)
             b = np.searchsorted(before, end, side="left") if end < total else len(before)
             at = before[a:b] - base
             sym, own, pre = np.insert(sym, at, 0), np.insert(own, at, record[a:b]), np.insert(pre, at, 0)
             fresh = at + np.arange(b - a)
-            redo = np.union1d(fresh, fresh[fresh + 1 < len(own)] + 1)
-            if late:
-                redo = np.union1d(redo, [0])
-            left = np.concatenate([[ahead if ahead is not None else np.uint64(0)], own[:-1]])
+            redo = np.zeros(len(own) + 1, dtype=bool)  # the new ones and their next neighbours
+            redo[fresh] = redo[fresh + 1] = True
+            redo[0] |= late
+            redo = np.flatnonzero(redo[:-1])
+            left = np.concatenate([[ahead if ahead is not None else np.uint32(0)], own[:-1]])
             pre[redo] = self._common(left[redo], own[redo])
             if ahead is None:
                 pre[0] = 0
@@ -495,12 +495,12 @@ class Collection:
 
     def equal(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner, length and group of the suffixes of `least` or more symbols; a group shares its first `least` ones."""
-        out, group, low = [], 0, np.uint64(0xFFFF)
+        out, group, low = [], 0, LENGTH
         for own, pre in zip(self.owners.chunks(self.chunk), self.prefixes.chunks(self.chunk), strict=True):
             number = group + np.cumsum(pre < least)
             group = int(number[-1])
-            long = (own & low) >= np.uint64(least)
-            out.append(np.stack([(own[long] >> np.uint64(16)).astype(np.int64), (own[long] & low).astype(np.int64), number[long]]))
+            long = (own & low) >= np.uint32(least)
+            out.append(np.stack([(own[long] >> SHIFT).astype(np.int64), (own[long] & low).astype(np.int64), number[long]]))
         return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, dtype=np.int64),) * 3
 
 
