@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-WORD = re.compile(r"\w+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "doc_id long, item_id long, similarity double, hamming int, start_word int, windows int"
 
@@ -20,30 +19,19 @@ FOUND = "doc_id long, item_id long, similarity double, hamming int, start_word i
 @dataclass(frozen=True)
 class Params:
     """size: words of a shingle; similarity: least of a contaminated window; radius: most differing bits of 64; blocks:
-    of the index; item_bytes: text of items that one pass over the documents holds; memo: words whose hash is kept."""
+    of the index; item_bytes: text of items that one pass over the documents holds; text_bytes: text of documents that is
+    hashed at once."""
 
     size: int = 5
     similarity: float = 0.8
     radius: int = 19
     blocks: int = 4
     item_bytes: int = 8 << 20
-    memo: int = 400_000
+    text_bytes: int = 2 << 20
 
 
-class _Words(dict):
-    """Hashes of words, the most recent `most` of them."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=0)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+#: Bytes of words: ASCII letters, digits and underscores, and all of characters beyond ASCII.
+IN_WORD = np.array([c >= 128 or chr(c).isalnum() or chr(c) == "_" for c in range(256)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -52,6 +40,49 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2 to the 64; as many as were needed so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def grown(self, n: int) -> "_Powers":
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            for name, base in (("up", int(FACTOR)), ("down", pow(int(FACTOR), -1, 1 << 64))):
+                steps = np.full(size, base, dtype=np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self
+
+
+POWERS = _Powers()
+
+
+def word_hashes(raw: bytes, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, from about `step` bytes at a time, never cut inside a word."""
+    out, at, whole = [], 0, np.frombuffer(raw, dtype=np.uint8)
+    while at < len(whole):
+        stop, reach = len(whole), step
+        while at + reach < len(whole):
+            gaps = np.flatnonzero(~IN_WORD[whole[at : at + reach]])
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+                break
+            reach *= 2
+        part = whole[at:stop]
+        inside = IN_WORD[part]
+        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+        start, end = edge[::2], edge[1::2]
+        p = POWERS.grown(len(part) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p.up[: len(part)], dtype=np.uint64, out=sums[1:])
+            out.append((_mixed((sums[end] - sums[start]) * p.down[start]), start + at))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` word hashes; of the whole sequence if it is shorter; none of no words."""
     if not len(words):
@@ -106,7 +137,7 @@ class Items:
     """A block of benchmark items, ready to be searched for. items: (item_id, text); those without words never match."""
 
     def __init__(self, items: list[tuple[int, str | None]], p: Params):
-        self.p, self.word = p, _Words(p.memo)
+        self.p = p
         self.ids, self.shingles = [], []
         for i, text in items:
             h = self.hashes(text)
@@ -134,8 +165,8 @@ class Items:
             self.by_size[n] = members, HammingIndex(fps, p.radius, p.blocks)
 
     def hashes(self, text: str | None) -> np.ndarray:
-        found = WORD.findall((text or "").lower())
-        return shingle_hashes(np.fromiter(map(self.word.__getitem__, found), dtype=np.uint64, count=len(found)), self.p.size)
+        words, _ = word_hashes((text or "").lower().encode("utf-8", "surrogatepass"), self.p.text_bytes)
+        return shingle_hashes(words, self.p.size)
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard of the shingles, a shingle's weight being how often it occurs."""
@@ -143,14 +174,44 @@ class Items:
         both = sum(min(c, b[h]) for h, c in a.items() if h in b)
         return both / (len(window) + len(self.shingles[item]) - both)
 
-    def search(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item_id, similarity, hamming, start_word, windows) of each item that a window of the whole text contains.
+    def known_among(self, h: np.ndarray) -> np.ndarray:
+        """Places of the shingles that some item has."""
+        maybe = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
+        return maybe[np.isin(h[maybe], self.known)] if len(maybe) else maybe
+
+    def search_all(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple]]]:
+        """Number of each text that contains items, and what search() gives for it."""
+        group, size = [], 0
+        for n, text in enumerate(texts):
+            raw = (text or "").lower().encode("utf-8", "surrogatepass")
+            group.append((n, raw))
+            size += len(raw) + 1
+            if size >= self.p.text_bytes or n == len(texts) - 1:
+                yield from self._search_group(group)
+                group, size = [], 0
+
+    def _search_group(self, group: list[tuple[int, bytes]]) -> Iterator[tuple[int, list[tuple]]]:
+        words, at = word_hashes(b"\n".join(raw for _, raw in group), self.p.text_bytes)
+        cuts = np.searchsorted(at, np.cumsum([0] + [len(raw) + 1 for _, raw in group]))
+        begin, count = cuts[:-1], np.diff(cuts)
+        for k in np.flatnonzero((count > 0) & (count < self.p.size)).tolist():  # the whole sequence is their shingle
+            yield from ((group[k][0], found) for found in [self.search(shingle_hashes(words[begin[k] : cuts[k + 1]], self.p.size))] if found)
+        if len(words) < self.p.size:
+            return
+        h = shingle_hashes(words, self.p.size)
+        hits = self.known_among(h)
+        owner = np.searchsorted(cuts, hits, side="right") - 1
+        hits, owner = (x[hits + self.p.size <= cuts[owner + 1]] for x in (hits, owner))
+        for k in np.unique(owner).tolist():
+            if found := self.search(h[begin[k] : cuts[k + 1] - self.p.size + 1]):
+                yield group[k][0], found
+
+    def search(self, h: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """(item_id, similarity, hamming, start_word, windows) of each item that a window of a text's shingles contains.
 
         Only windows that share a shingle with an item of their size are fingerprinted: no other can be similar.
         """
-        h = self.hashes(text)
-        maybe = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
-        hits = maybe[np.isin(h[maybe], self.known)] if len(maybe) else maybe
+        hits = self.known_among(h)
         at: dict[int, list[int]] = defaultdict(list)
         for pos in hits.tolist():
             for n in {len(self.shingles[i]) for i in self.owners[int(h[pos])]}:
@@ -188,8 +249,8 @@ def _stretches(positions: list[int], width: int, total: int, most: int = 1 << 14
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, item_id, similarity, hamming, start_word, windows: one row per row of docs and item that it contains.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs of letters, digits and
-    underscores in lower case; shingles have params.size words, in a text with fewer they are the whole sequence.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs of letters, digits,
+    underscores and characters beyond ASCII, in lower case; shingles have params.size words, in a text with fewer they are the whole sequence.
     A window has as many shingles as the item (all of a shorter text); it is contaminated if its fingerprint is within the
     radius and its weighted Jaccard similarity is params.similarity or more. similarity, hamming and start_word are of
     the most similar window (ties: nearer fingerprint, then earlier); windows: how many there are. Null and empty
@@ -211,7 +272,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
         def run(batches, sent=sent):
             items = Items(sent.value, params)
             for b in batches:
-                found = [(i, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in items.search(t)]
+                ids = b.column(0).to_pylist()
+                found = [(ids[n], *f) for n, own in items.search_all(b.column(1).to_pylist()) for f in own]
                 if found:
                     columns = zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc_id", "item_id", "similarity", "hamming", "start_word", "windows"])
