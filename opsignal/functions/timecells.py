@@ -7,6 +7,8 @@ aggregation, so the ordered pass sees at most span/width rows per key however ho
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,9 +50,21 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
     return (epoch_us(end) - epoch_us(start)) / F.lit(float(SECOND))
 
 
-def timespan_seconds(text: str | None) -> int:
-    """'15m' -> 900; units s, m, h, d; missing text means five minutes."""
-    units = {"s": 1, "m": MINUTE, "h": HOUR, "d": DAY}
-    if not text or len(text) < 2:
-        return 300
-    return int(text[:-1]) * units.get(text[-1], MINUTE)
+SPAN_UNITS = {"s": SECOND, "m": MINUTE * SECOND, "h": HOUR * SECOND, "d": DAY * SECOND}
+SPAN = re.compile(r"\s*([1-9][0-9]*)\s*([smhd])\s*")
+
+
+def timespan_seconds(text: str) -> int:
+    """'15m' -> 900: a whole number and one of the units s, m, h, d. Anything else is an error."""
+    parsed = SPAN.fullmatch(text)
+    if parsed is None:
+        raise ValueError(f"not a time span: {text!r}")
+    number, unit = parsed.groups()
+    return int(number) * SPAN_UNITS[unit] // SECOND
+
+
+def whole_cells(range_s: int, cell_s: int) -> int:
+    """How many cells make up a range; a range that they don't make up exactly is an error."""
+    if range_s <= 0 or cell_s <= 0 or range_s % cell_s:
+        raise ValueError(f"a range of {range_s} s is not a whole number of cells of {cell_s} s")
+    return range_s // cell_s

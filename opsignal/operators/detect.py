@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,14 +98,26 @@ _OPS = {
 
 
 def _condition(col: Column, condition: dict) -> Column:
-    op, n = next((k, condition[k]) for k in _OPS if k in condition)
-    return _OPS[op](col, F.lit(int(n)))
+    ops = [op for op in _OPS if op in condition]
+    if len(ops) != 1:
+        raise ValueError(f"a correlation needs exactly one of {', '.join(_OPS)}: {condition}")
+    return _OPS[ops[0]](col, F.lit(int(condition[ops[0]])))
+
+
+def _fine(span_s: int, cycle_s: int) -> int:
+    """Width of the cells that both scan ends and scan starts fall on."""
+    return math.gcd(span_s, cycle_s)
 
 
 def _scan_windows(cells: DataFrame, span_s: int, cycle_s: int) -> DataFrame:
-    """Copy each cell row to the scan windows (scan end - span, scan end] that contain it."""
-    n = span_s // cycle_s
-    return cells.withColumn("_w", F.explode(F.sequence(F.col("_c") + 1, F.col("_c") + n)))
+    """Copy each fine cell's row to the scans whose window [scan end - span, scan end) holds the whole cell.
+
+    A span shorter than the cycle leaves cells that no scan sees.
+    """
+    fine = _fine(span_s, cycle_s)
+    first = F.ceil((F.col("_c") + 1) * F.lit(fine) / F.lit(cycle_s)).cast("bigint")
+    last = F.floor((F.col("_c") * F.lit(fine) + F.lit(span_s)) / F.lit(cycle_s)).cast("bigint")
+    return cells.withColumn("_w", F.explode(F.when(first <= last, F.sequence(first, last))))
 
 
 def _referenced(matches: DataFrame, rules: list[str]) -> DataFrame:
@@ -115,8 +129,8 @@ def event_count(matches: DataFrame, corr: dict, cycle_s: int = 300) -> DataFrame
 
     Matches are counted per scan cycle first; only the counts are copied to the overlapping spans.
     """
-    keys, span = corr.get("group_by", []), timespan_seconds(corr.get("timespan"))
-    cells = _referenced(matches, corr["rules"]).groupBy("rule_id", *keys, cell("ts", cycle_s).alias("_c")).agg(
+    keys, span = corr.get("group_by", []), timespan_seconds(corr.get("timespan", fv.CORRELATION_TIMESPAN))
+    cells = _referenced(matches, corr["rules"]).groupBy("rule_id", *keys, cell("ts", _fine(span, cycle_s)).alias("_c")).agg(
         F.count("*").alias("_n"), F.min("ts").alias("_lo"), F.max("ts").alias("_hi")
     )
     out = _scan_windows(cells, span, cycle_s).groupBy("rule_id", *keys, "_w").agg(
@@ -127,9 +141,9 @@ def event_count(matches: DataFrame, corr: dict, cycle_s: int = 300) -> DataFrame
 
 def value_count(matches: DataFrame, corr: dict, cycle_s: int = 300) -> DataFrame:
     """Distinct values of a field per rule and group inside the time span, at every scan."""
-    keys, span = corr.get("group_by", []), timespan_seconds(corr.get("timespan"))
+    keys, span = corr.get("group_by", []), timespan_seconds(corr.get("timespan", fv.CORRELATION_TIMESPAN))
     field = corr["condition"].get("field", "log_string")
-    cells = _referenced(matches, corr["rules"]).groupBy("rule_id", *keys, F.col(field).alias("_v"), cell("ts", cycle_s).alias("_c")).agg(
+    cells = _referenced(matches, corr["rules"]).groupBy("rule_id", *keys, F.col(field).alias("_v"), cell("ts", _fine(span, cycle_s)).alias("_c")).agg(
         F.min("ts").alias("_lo"), F.max("ts").alias("_hi")
     )
     per_value = _scan_windows(cells, span, cycle_s).groupBy("rule_id", *keys, "_w", "_v").agg(
@@ -143,8 +157,8 @@ def value_count(matches: DataFrame, corr: dict, cycle_s: int = 300) -> DataFrame
 
 def temporal(matches: DataFrame, corr: dict, cycle_s: int = 300) -> DataFrame:
     """Groups in which all the referenced rules were seen inside the time span."""
-    keys, span = corr.get("group_by", []), timespan_seconds(corr.get("timespan"))
-    cells = _referenced(matches, corr["rules"]).groupBy("rule_id", *keys, cell("ts", cycle_s).alias("_c")).agg(
+    keys, span = corr.get("group_by", []), timespan_seconds(corr.get("timespan", fv.CORRELATION_TIMESPAN))
+    cells = _referenced(matches, corr["rules"]).groupBy("rule_id", *keys, cell("ts", _fine(span, cycle_s)).alias("_c")).agg(
         F.min("ts").alias("_lo"), F.max("ts").alias("_hi")
     )
     per_rule = _scan_windows(cells, span, cycle_s).groupBy(*keys, "_w", "rule_id").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))

@@ -74,9 +74,9 @@ def incident_sessions(alerts: DataFrame, ns: str = "ns", rule: str = "rule", ts:
     rows = alerts.select(
         F.col(ns).alias("ns"), F.coalesce(F.col(rule), F.lit("")).alias("rule"), F.col(ts).alias("_ts"), "alertname", "source"
     )
-    rank = F.when(F.col("rule") != "", 2).when(F.col("source").isin("sre", "observability"), 1).otherwise(0)
+    infra = F.col("source").isin("sre", "observability")
     cells = rows.groupBy(*keys, cell("_ts", gap_s).alias("_c")).agg(
-        F.min("_ts").alias("lo"), F.max("_ts").alias("hi"), F.count("*").alias("n"), F.max(rank).alias("rank"),
+        F.min("_ts").alias("lo"), F.max("_ts").alias("hi"), F.count("*").alias("n"), F.count_if(infra).alias("infra"),
         F.min(F.struct("_ts", "alertname", "source")).alias("first"),
     )
     o = Window.partitionBy(*keys).orderBy("_c")
@@ -84,8 +84,12 @@ def incident_sessions(alerts: DataFrame, ns: str = "ns", rule: str = "rule", ts:
     cells = cells.withColumn("_new", F.when(quiet, 1).otherwise(0)).withColumn("_s", F.sum("_new").over(o))
     out = cells.groupBy(*keys, "_s").agg(
         F.min("lo").alias("opened_at"), F.max("hi").alias("window_end"), F.sum("n").alias("n_alerts"),
-        F.max("rank").alias("alert_rank"), F.min("first").alias("_f"),
+        F.sum("infra").alias("_infra"), F.min("first").alias("_f"),
     )
+    # only alerts that are merged into an open incident upgrade it, the first one doesn't
+    first_infra = F.coalesce(F.col("_f.source").isin("sre", "observability"), F.lit(False)).cast("int")
+    merged = F.when((F.col("rule") != "") & (F.col("n_alerts") > 1), 2).when((F.col("rule") == "") & (F.col("_infra") > first_infra), 1).otherwise(0)
+    out = out.withColumn("alert_rank", merged)
     ident = F.md5(F.concat_ws("|", "ns", "rule", epoch_us("opened_at").cast("string")))
     return out.select(
         ident.alias("incident_id"), *keys, "opened_at", "window_end", "n_alerts", "alert_rank",

@@ -83,7 +83,7 @@ def weighted_brittleness(incidents: DataFrame, keys: list[str], similarity: str)
 
 def budgets(scores: DataFrame, key: str, budget: int = fv.REPLAY_BUDGET, most: int = fv.REPLAY_MAX) -> DataFrame:
     """Split a budget in proportion to score; each share is clamped to 1..most. scores is one row per type."""
-    total = F.sum("score").over(Window.partitionBy(F.lit(1)))
+    total = scores.agg(F.sum("score")).scalar()
     share = F.bround(F.lit(budget) * F.col("score") / F.when(total == 0, 1.0).otherwise(total))
     return scores.select(key, F.least(F.lit(most), F.greatest(F.lit(1), share.cast("int"))).alias("budget"))
 

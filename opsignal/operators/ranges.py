@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsignal.functions.timecells import SECOND, cell_time, epoch_us, eval_cell, timespan_seconds
+from opsignal.functions.timecells import SECOND, cell_time, epoch_us, eval_cell, timespan_seconds, whole_cells
 
 
 def step_reduce(df: DataFrame, keys: list[str], ts: str, step_s: int, aggs: list[Column]) -> DataFrame:
@@ -31,7 +31,7 @@ def over_time(
         df, keys, ts, step_s,
         [F.count(value).alias("_n"), F.sum(value).alias("_s"), F.max(value).alias("_m")],
     )
-    w = trailing(keys, range_s // step_s)
+    w = trailing(keys, whole_cells(range_s, step_s))
     n, s = F.sum("_n").over(w), F.sum("_s").over(w)
     return base.select(
         *keys, cell_time("step", step_s).alias("t"), n.alias("count_over_time"), s.alias("sum_over_time"),
@@ -61,10 +61,10 @@ def counter_increase(
     )
     edge = jump(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_c")), F.col("_first"))
     cells = cells.withColumn("_edge", F.coalesce(edge, F.lit(0.0)))
-    steps = cells.groupBy(*keys, F.ceil(F.col("_c") / (step_s // sample_s)).alias("step")).agg(
+    steps = cells.groupBy(*keys, F.ceil(F.col("_c") / (whole_cells(step_s, sample_s))).alias("step")).agg(
         F.sum(F.col("_within") + F.col("_edge")).alias("_up"), F.min_by("_edge", "_c").alias("_edge")
     )
-    w = trailing(keys, range_s // step_s)
+    w = trailing(keys, whole_cells(range_s, step_s))
     inc = F.sum("_up").over(w) - F.first("_edge").over(w)
     return steps.select(
         *keys, cell_time("step", step_s).alias("t"), inc.alias("increase"), (inc / range_s).alias("rate")
@@ -76,8 +76,8 @@ def offset_compare(
 ) -> DataFrame:
     """Count over a range against the count over another range shifted back by an offset."""
     base = step_reduce(df, keys, ts, step_s, [F.count("*").alias("_n")])
-    now = F.sum("_n").over(trailing(keys, range_s // step_s))
-    past = F.coalesce(F.sum("_n").over(trailing(keys, past_range_s // step_s, offset_s // step_s)), F.lit(0))
+    now = F.sum("_n").over(trailing(keys, whole_cells(range_s, step_s)))
+    past = F.coalesce(F.sum("_n").over(trailing(keys, whole_cells(past_range_s, step_s), whole_cells(offset_s, step_s))), F.lit(0))
     return base.select(
         *keys, cell_time("step", step_s).alias("t"), now.alias("recent"), past.alias("past"), (now - past).alias("diff")
     )
@@ -141,7 +141,7 @@ def range_sums(
     enter = [
         F.struct(F.lit(w).alias("win"), (F.col("step") + shift).alias("at"), F.lit(sign).alias("sign"))
         for w in windows
-        for shift, sign in ((0, 1), (timespan_seconds(w) // step_s, -1))
+        for shift, sign in ((0, 1), (whole_cells(timespan_seconds(w), step_s), -1))
     ]
     moves = steps.select(*keys, *measures, F.explode(F.array(*enter)).alias("_e"))
     net = moves.groupBy(*keys, F.col("_e.win").alias("win"), F.col("_e.at").alias("step")).agg(

@@ -25,8 +25,7 @@ def pattern_baseline(patterns: DataFrame, keys: list[str], bucket: str, before)
 def share_of_total(df: DataFrame, keys: list[str]) -> DataFrame:
     """Row count and share per key. The total is taken over the grouped (small) result."""
     g = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return g.withColumn("share", F.round(F.col("n") / total, 6))
+    return g.withColumn("share", F.round(F.col("n") / df.agg(F.count("*")).scalar(), 6))
 
 
 def prior_resolutions(incidents: DataFrame, rules: str) -> DataFrame:

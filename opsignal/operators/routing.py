@@ -7,45 +7,49 @@ from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
 from opsignal.functions.text import all_of, any_of, label, label_matches
-from opsignal.functions.timecells import SECOND, as_col, eval_cell, from_epoch_us
+from opsignal.functions.timecells import SECOND, as_col, epoch_us, from_epoch_us
 
 
-def route_alerts(df: DataFrame, labels: str, ts: str, policies=fv.ROUTING_POLICIES, default: str = fv.DEFAULT_RECEIVER) -> DataFrame:
-    """One row per receiver of each alert: the first matching policy, and those before it that continue.
+def route_alerts(df: DataFrame, labels: str, ts: str, policies=fv.ROUTING_POLICIES, root=fv.ROOT_POLICY) -> DataFrame:
+    """One row per receiver of each alert: the first matching policy and those before it that continue.
 
-    Policies are compiled into one array expression. Adds receiver, group_key, repeat_s and muted.
+    An alert that no policy matches goes to the root policy. Policies are compiled into one array expression. Adds
+    receiver, group_key, wait_s, interval_s, repeat_s and muted.
     """
     lab = F.col(labels)
     clock = F.date_format(ts, "HH:mm")
-    stopped: Column = F.lit(False)
+
+    def route(p: dict) -> Column:
+        open_now = any_of([(clock >= a) & (clock < b) for a, b in p["open_times"]]) if "open_times" in p else F.lit(True)
+        key = F.concat_ws("|", *[label(lab, g) for g in p["group_by"]])
+        times = [F.lit(p[n]).alias(n) for n in ("wait_s", "interval_s", "repeat_s")]
+        return F.struct(F.lit(p["receiver"]).alias("receiver"), key.alias("group_key"), *times, (~open_now).alias("muted"))
+
+    stopped = matched = F.lit(False)
     out = []
     for p in policies:
         hit = all_of([label_matches(label(lab, n), op, v) for n, op, v in p["match"]])
-        open_now = any_of([(clock >= a) & (clock < b) for a, b in p["open_times"]]) if "open_times" in p else F.lit(True)
-        key = F.concat_ws("|", *[label(lab, g) for g in p["group_by"]])
-        out.append(F.when(hit & ~stopped, F.struct(
-            F.lit(p["receiver"]).alias("receiver"), key.alias("group_key"), F.lit(p["repeat_s"]).alias("repeat_s"), (~open_now).alias("muted")
-        )))
+        out.append(F.when(hit & ~stopped, route(p)))
+        matched = matched | hit
         if not p.get("continue"):
             stopped = stopped | hit
-    fallback = F.when(~stopped, F.struct(
-        F.lit(default).alias("receiver"), label(lab, "alertname").alias("group_key"), F.lit(14400).alias("repeat_s"), F.lit(False).alias("muted")
-    ))
-    routed = F.array_compact(F.array(*out, fallback))
+    routed = F.array_compact(F.array(*out, F.when(~matched, route(root))))
     return df.withColumn("_p", F.explode(routed)).select(*df.columns, "_p.*")
 
 
-def repeat_suppress(df: DataFrame, group: list[str], ts: str, repeat: Column | str, tick_s: int = 300) -> DataFrame:
+def repeat_suppress(df: DataFrame, group: list[str], ts: str, repeat: Column | str, interval: Column | str) -> DataFrame:
     """Notification times of each group: the first alert, then whenever the repeat interval has passed.
 
-    Groups are flushed at ticks, as group_interval says, so alerts are first reduced to distinct ticks.
-    Which tick sends depends on the one sent before it: a fold over the ordered ticks of a group, at
-    most span/tick numbers however many alerts the group has.
+    Groups are flushed at multiples of their interval (seconds, one value per group), so alerts are first reduced to
+    distinct ticks. Which tick sends depends on the one sent before it: a fold over the ordered ticks of a group, at
+    most time span / interval numbers however many alerts the group has.
     """
-    ticks = df.groupBy(*group).agg(
-        F.array_sort(F.collect_set(eval_cell(ts, tick_s))).alias("_ticks"), F.max(as_col(repeat)).alias("_repeat")
+    width = as_col(interval).cast("bigint") * F.lit(SECOND)
+    rows = df.select(*group, as_col(repeat).alias("_repeat"), as_col(interval).cast("bigint").alias("_interval"), F.ceil(epoch_us(ts) / width).cast("bigint").alias("_tick"))
+    ticks = rows.groupBy(*group).agg(
+        F.array_sort(F.collect_set("_tick")).alias("_ticks"), F.max("_repeat").alias("_repeat"), F.max("_interval").alias("_interval")
     )
-    wait = F.ceil(F.col("_repeat") / tick_s)
+    wait = F.ceil(F.col("_repeat") / F.col("_interval"))
     none = F.array().cast("array<bigint>")
 
     def step(sent: Column, tick: Column) -> Column:
@@ -53,6 +57,6 @@ def repeat_suppress(df: DataFrame, group: list[str], ts: str, repeat: Column | s
         return F.when(due, F.concat(sent, F.array(tick))).otherwise(sent)
 
     sent = F.aggregate("_ticks", none, step)
-    return ticks.select(*group, F.explode(sent).alias("_t")).select(
-        *group, from_epoch_us(F.col("_t") * F.lit(tick_s * SECOND)).alias("sent_at")
+    return ticks.select(*group, "_interval", F.explode(sent).alias("_t")).select(
+        *group, from_epoch_us(F.col("_t") * F.col("_interval") * F.lit(SECOND)).alias("sent_at")
     )

@@ -91,7 +91,7 @@ def extract_technique(c: Column | str) -> Column:
 
 def fold_severity(c: Column | str) -> Column:
     col = as_col(c)
-    return last_match([(full_match(col, f"(?i){p}"), v) for p, v in fv.SEVERITY_FOLDS], col)
+    return last_match([(full_match(col, p), v) for p, v in fv.SEVERITY_FOLDS], col)
 
 
 def infer_platform(signals: Column, patterns: Column, rules: Column, services: Column) -> Column:

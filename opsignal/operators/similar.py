@@ -67,44 +67,17 @@ def _nearest(qs: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray | None, k: i
     return pd.DataFrame({"query_id": np.concatenate(asked), "neighbour_id": np.concatenate(found), "distance": np.concatenate(far)})
 
 
-def _small_corpus(c: DataFrame, small_bytes: int) -> pd.DataFrame | None:
-    """The corpus if it fits into small_bytes; reads at most one row more than that."""
-    head = c.limit(1).collect() if small_bytes else []
-    if not head:
-        return None
-    fits = small_bytes // (8 * len(head[0]["v"]))
-    rows = c.limit(fits + 1).toPandas()
-    return rows if len(rows) <= fits else None
-
-
-def _knn_small(q: DataFrame, c: DataFrame, small: pd.DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
-    shipped = q.sparkSession.sparkContext.broadcast((small["id"].to_numpy(), np.stack(small["v"].to_numpy())))
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = shipped.value
-        for pdf in parts:
-            best = [_nearest(pdf, ids[i:i + block], vectors[i:i + block], k, exclude_self) for i in range(0, len(ids), block)]
-            rows = pd.concat(best).sort_values(["query_id", "distance", "neighbour_id"], kind="stable")
-            rank = rows.groupby("query_id").cumcount() + 1
-            yield rows.assign(rank=rank.astype("int32"))[rank <= k]
-
-    return q.mapInPandas(search, _neighbour_schema(q, c) + ", rank int")
-
-
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int = fv.KNN_CANDIDATES, key: str = "id", vec: str = "embedding",
-    exclude_self: bool = True, pivots: int = 16, block: int = 4096, small_bytes: int = 32 << 20,
+    exclude_self: bool = True, pivots: int = 16, block: int = 4096,
 ) -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k corpus rows nearest to each query by cosine distance.
 
-    Ties go to the smaller id. With exclude_self a query never meets the corpus row of its own id. A
-    corpus that is checked to fit into small_bytes is shipped to the query tasks instead of being
-    cut into cells.
+    Ties go to the smaller id. With exclude_self a query never meets the corpus row of its own id. The
+    queries are the new incidents, the corpus all earlier ones; both are cut into blocks, and a block of
+    queries meets only the cells of the corpus that can hold a neighbour.
     """
     q, c = _unit(queries, key, vec), _unit(corpus, key, vec)
-    small = _small_corpus(c, small_bytes)
-    if small is not None:
-        return _knn_small(q, c, small, k, exclude_self, block)
     # A fixed number of pivots; they only shape the cells, never the result.
     first = c.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     out_schema = _neighbour_schema(q, c)

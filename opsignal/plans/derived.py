@@ -58,7 +58,7 @@ def signals(t: Tables, events: DataFrame | None = None) -> DataFrame:
 
 
 def logs(t: Tables) -> DataFrame:
-    s = signals(t, t.wide("events"))
+    s = signals(t)
     return s.select(
         "*",
         F.expr(LINE).alias("line"),

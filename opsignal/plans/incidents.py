@@ -20,9 +20,10 @@ ALERTS = f"""{SIG}, alerts AS (SELECT event_id, ns, ts, coalesce({ALERT_RULE}, '
     FROM sig WHERE event_type = 'error'),
   flagged AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY ns, rule ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM alerts),
   numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY ns, rule ORDER BY ts) AS s FROM flagged),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY ns, rule, s ORDER BY ts, alertname, source) AS place FROM numbered),
   sessions AS (SELECT md5(concat(ns, '|', rule, '|', epoch_us(min(ts)))) AS incident_id, ns, rule, min(ts) AS opened_at, max(ts) AS window_end, count(*) AS n_alerts,
      arg_min(alertname, ts) AS alertname, arg_min(source, ts) AS source,
-     max(CASE WHEN rule <> '' THEN 2 WHEN source IN ('sre', 'observability') THEN 1 ELSE 0 END) AS alert_rank FROM numbered GROUP BY ns, rule, s)"""
+     max(CASE WHEN place = 1 THEN 0 WHEN rule <> '' THEN 2 WHEN source IN ('sre', 'observability') THEN 1 ELSE 0 END) AS alert_rank FROM placed GROUP BY ns, rule, s)"""
 
 
 def alerts(t):
@@ -266,19 +267,21 @@ def _(t):
 ROUTE_SOURCE = "CASE WHEN event_type = 'error' THEN 'security' ELSE 'other' END"
 ROUTED = f"""{SIG}, a AS (SELECT event_id, ts, ns, concat(CASE k % 3 WHEN 0 THEN 'Blackbox' WHEN 1 THEN 'SLO' ELSE 'Pod' END, k % 5) AS alertname,
      CASE WHEN k % 4 = 0 THEN 'critical' ELSE 'warning' END AS severity, CASE WHEN event_type = 'error' THEN 'security' ELSE '' END AS source,
-     CASE WHEN event_type = 'view' THEN 'sre' ELSE '' END AS team, CASE WHEN event_type = 'click' THEN concat('slo-', k % 2) ELSE '' END AS slo,
+     CASE WHEN event_type = 'view' THEN 'sre' WHEN event_type = 'signup' AND k < 20 THEN 'noc' ELSE '' END AS team, CASE WHEN event_type = 'click' THEN concat('slo-', k % 2) ELSE '' END AS slo,
      CASE WHEN event_type = 'purchase' AND k < 30 THEN 'cve-digest' WHEN event_type = 'purchase' AND k < 50 THEN 'cve-new' ELSE '' END AS alert_class FROM sig),
    m AS (SELECT *, severity = 'critical' AND NOT regexp_full_match(alertname, 'Blackbox.*|SLO.*') AS mail FROM a),
    routed AS (
-     SELECT event_id, ts, 'SOC CVE Digest' AS receiver, alertname AS group_key, 82800 AS repeat_s, NOT (strftime(ts, '%H:%M') >= '05:44' AND strftime(ts, '%H:%M') < '05:52') AS muted FROM m WHERE alert_class = 'cve-digest'
-     UNION ALL SELECT event_id, ts, 'SOC CVE New', alertname, 86400, false FROM m WHERE alert_class = 'cve-new'
-     UNION ALL SELECT event_id, ts, 'SOC Alerts', concat(alertname, '||'), 14400, false FROM m WHERE source = 'security' AND severity = 'critical'
-     UNION ALL SELECT event_id, ts, 'SOC Alerts', concat(alertname, '||'), 3600, false FROM m WHERE source = 'security' AND severity <> 'critical'
-     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', ns), 14400, false FROM m WHERE team = 'sre' AND severity = 'critical'
-     UNION ALL SELECT event_id, ts, 'email-critical', concat(alertname, '|', severity), 1800, false FROM m WHERE mail AND source = '' AND alert_class = ''
-     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', slo), 3600, false FROM m WHERE slo <> '' AND severity = 'critical' AND NOT mail
-     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', slo), 28800, false FROM m WHERE slo <> '' AND severity = 'warning'
-     UNION ALL SELECT event_id, ts, 'SRE Alerts', alertname, 14400, false FROM m WHERE alert_class = '' AND source = '' AND slo = '' AND NOT mail)"""
+     SELECT event_id, ts, 'NOC Alerts' AS receiver, alertname AS group_key, 10 AS wait_s, 300 AS interval_s, 1800 AS repeat_s, false AS muted FROM m WHERE team = 'noc'
+     UNION ALL SELECT event_id, ts, 'SOC CVE Digest', alertname, 60, 82800, 82800, NOT (strftime(ts, '%H:%M') >= '05:44' AND strftime(ts, '%H:%M') < '05:52') FROM m WHERE alert_class = 'cve-digest'
+     UNION ALL SELECT event_id, ts, 'SOC CVE New', alertname, 10, 3600, 86400, false FROM m WHERE alert_class = 'cve-new'
+     UNION ALL SELECT event_id, ts, 'SOC Alerts', concat(alertname, '||'), 10, 300, 14400, false FROM m WHERE source = 'security' AND severity = 'critical'
+     UNION ALL SELECT event_id, ts, 'SOC Alerts', concat(alertname, '||'), 10, 300, 3600, false FROM m WHERE source = 'security' AND severity <> 'critical'
+     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', ns), 30, 300, 14400, false FROM m WHERE team = 'sre' AND severity = 'critical'
+     UNION ALL SELECT event_id, ts, 'email-critical', concat(alertname, '|', severity), 10, 3600, 1800, false FROM m WHERE mail AND source = '' AND alert_class = '' AND team <> 'noc'
+     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', slo), 10, 300, 3600, false FROM m WHERE slo <> '' AND severity = 'critical' AND NOT mail
+     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', slo), 300, 1800, 28800, false FROM m WHERE slo <> '' AND severity = 'warning'
+     UNION ALL SELECT event_id, ts, 'SRE Alerts', concat(alertname, '|', ns), 30, 300, 14400, false FROM m
+       WHERE alert_class = '' AND source = '' AND slo = '' AND NOT mail AND team <> 'noc' AND NOT (team = 'sre' AND severity = 'critical'))"""
 
 
 def routed(t):
@@ -287,7 +290,7 @@ def routed(t):
     labels = F.map_filter(
         F.create_map(
             F.lit("alertname"), name, F.lit("namespace"), F.col("ns"), F.lit("severity"), F.when(k % 4 == 0, "critical").otherwise("warning"),
-            F.lit("source"), F.when(kind == "error", "security"), F.lit("team"), F.when(kind == "view", "sre"),
+            F.lit("source"), F.when(kind == "error", "security"), F.lit("team"), F.when(kind == "view", "sre").when((kind == "signup") & (k < 20), "noc"),
             F.lit("slo"), F.when(kind == "click", F.concat(F.lit("slo-"), (k % 2).cast("string"))),
             F.lit("alert_class"), F.when((kind == "purchase") & (k < 30), "cve-digest").when((kind == "purchase") & (k < 50), "cve-new"),
         ),
@@ -297,19 +300,19 @@ def routed(t):
     return routing.route_alerts(rows, "labels", "ts", fv.ROUTING_POLICIES).drop("labels")
 
 
-@query("route_alerts", f"WITH {ROUTED} SELECT event_id, ts, receiver, group_key, repeat_s, muted FROM routed")
+@query("route_alerts", f"WITH {ROUTED} SELECT event_id, ts, receiver, group_key, wait_s, interval_s, repeat_s, muted FROM routed")
 def _(t):
     return routed(t)
 
 
 @query(
     "repeat_suppress",
-    f"""WITH RECURSIVE {ROUTED}, tk AS (SELECT DISTINCT receiver, group_key, repeat_s, CAST(ceil(epoch_us(ts) / 300000000) AS BIGINT) AS tick FROM routed WHERE NOT muted),
-        o AS (SELECT *, row_number() OVER (PARTITION BY receiver, group_key, repeat_s ORDER BY tick) AS i FROM tk),
-        s AS (SELECT receiver, group_key, repeat_s, i, tick, tick AS last_sent, true AS sends FROM o WHERE i = 1
-          UNION ALL SELECT o.receiver, o.group_key, o.repeat_s, o.i, o.tick, CASE WHEN (o.tick - s.last_sent) * 300 >= o.repeat_s THEN o.tick ELSE s.last_sent END,
-            (o.tick - s.last_sent) * 300 >= o.repeat_s FROM s JOIN o ON o.receiver = s.receiver AND o.group_key = s.group_key AND o.repeat_s = s.repeat_s AND o.i = s.i + 1)
-        SELECT receiver, group_key, repeat_s, make_timestamp(tick * 300000000) AS sent_at FROM s WHERE sends""",
+    f"""WITH RECURSIVE {ROUTED}, tk AS (SELECT DISTINCT receiver, group_key, interval_s, repeat_s, CAST(ceil(epoch_us(ts) / (interval_s::BIGINT * 1000000)) AS BIGINT) AS tick FROM routed WHERE NOT muted),
+        o AS (SELECT *, row_number() OVER (PARTITION BY receiver, group_key, interval_s, repeat_s ORDER BY tick) AS i FROM tk),
+        s AS (SELECT receiver, group_key, interval_s, repeat_s, i, tick, tick AS last_sent, true AS sends FROM o WHERE i = 1
+          UNION ALL SELECT o.receiver, o.group_key, o.interval_s, o.repeat_s, o.i, o.tick, CASE WHEN (o.tick - s.last_sent) * o.interval_s >= o.repeat_s THEN o.tick ELSE s.last_sent END,
+            (o.tick - s.last_sent) * o.interval_s >= o.repeat_s FROM s JOIN o ON o.receiver = s.receiver AND o.group_key = s.group_key AND o.interval_s = s.interval_s AND o.repeat_s = s.repeat_s AND o.i = s.i + 1)
+        SELECT receiver, group_key, interval_s, repeat_s, make_timestamp(tick * interval_s::BIGINT * 1000000) AS sent_at FROM s WHERE sends""",
 )
 def _(t):
-    return routing.repeat_suppress(routed(t).filter("NOT muted"), ["receiver", "group_key", "repeat_s"], "ts", "repeat_s")
+    return routing.repeat_suppress(routed(t).filter("NOT muted"), ["receiver", "group_key", "interval_s", "repeat_s"], "ts", "repeat_s", "interval_s")

@@ -59,13 +59,13 @@ def _(t):
 
 @query(
     "synthesis_gate",
-    f"""WITH {SCORES}, r AS (SELECT count(*) AS n FROM (SELECT route, ns FROM inc WHERE status IN ('resolved', 'escalated') GROUP BY ALL HAVING count(*) >= 100000000)),
+    f"""WITH {SCORES}, r AS (SELECT count(*) AS n FROM (SELECT route, ns FROM inc WHERE status IN ('resolved', 'escalated') GROUP BY ALL HAVING count(*) >= 3)),
         l AS (SELECT max(l_shipdate) AS last_run FROM lineitem)
         SELECT (SELECT max(score) FROM scores) AS max_score, n AS n_recurring,
           n > 0 OR (SELECT max(score) FROM scores) >= 0.3 OR date_diff('day', last_run, TIMESTAMP '2001-11-06') >= 7 AS run_synthesis FROM r, l""",
 )
 def _(t):
-    recurring = learn.recurrence(incidents(t), ["route", "ns"], 100_000_000)
+    recurring = learn.recurrence(incidents(t), ["route", "ns"])
     last = t.lineitem.select(F.col("l_shipdate").alias("last_run"))
     return learn.synthesis_gate(_scores(t), recurring, last, dt.datetime(2001, 11, 6))
 

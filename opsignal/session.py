@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -23,14 +21,6 @@ def build_session(app: str = "opsignal", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
-def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach; the cluster names it in spark.checkpoint.dir.
-
-    Only a local master may fall back to a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="opsignal-checkpoint-")
+def use_utc(spark: SparkSession) -> None:
+    """Timestamps in the tables carry no zone; all epoch arithmetic assumes UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")

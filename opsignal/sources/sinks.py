@@ -24,10 +24,10 @@ def append_monthly(df: DataFrame, path: str, ts: str, sort: list[str]) -> None:
     )
 
 
-def read_months(spark: SparkSession, path: str, start: dt.datetime, end: dt.datetime, ts: str) -> DataFrame:
-    """Rows in [start, end) reading only the month folders that can hold them."""
+def read_months(spark: SparkSession, path: str, schema: str, start: dt.datetime, end: dt.datetime, ts: str) -> DataFrame:
+    """Rows in [start, end) reading only the month folders that can hold them. schema: of the rows, without month."""
     lo, hi = start.strftime("%Y-%m"), end.strftime("%Y-%m")
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    df = spark.read.schema(f"{schema}, month string").parquet(path)
     return df.filter(F.col("month").between(lo, hi) & (F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
 
 

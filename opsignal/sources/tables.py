@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opsignal.session import use_utc
+
 
 class Tables:
     """`Tables(spark, folder).events` reads `folder/events.parquet`."""
@@ -11,17 +13,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        # Timestamps in the tables carry no zone; all epoch arithmetic assumes UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-    def wide(self, name: str) -> DataFrame:
-        """The table, spread over all cores if its files give fewer splits than there are cores.
-
-        For CPU-heavy work on text. A table with enough splits is read as it is, without a shuffle.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        use_utc(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
