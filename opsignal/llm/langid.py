@@ -59,7 +59,8 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     if ids.select("of").distinct().count() > params.languages:
         raise ValueError(f"more than {params.languages} languages")
     part = F.substring("text", 1, params.dictionary_bytes)
-    texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["id"]) & (rows["lang"] == ids["of"])).select("of", "at", part.alias("part"))
+    # at most languages * candidates ids go to all tasks; the number of languages has been checked
+    texts = rows.join(F.broadcast(ids), rows["doc_id"].eqNullSafe(ids["id"]) & (rows["lang"] == ids["of"])).select("of", "at", part.alias("part"))
     parts: dict[str, list[bytes]] = {}
     for r in sorted(texts.collect()):
         parts.setdefault(r["of"], []).append(plain(r["part"]))
