@@ -6,6 +6,7 @@ ordered windows below are bounded by time and not by raw volume.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,19 +138,33 @@ def rsi(base: DataFrame, keys: list[str], n: int = 14) -> DataFrame:
     return rows.withColumn("rsi", F.when(both > 0, 100 * F.col("_g") / F.when(both > 0, both)).otherwise(50.0)).drop("_d", "_g", "_l", "_n")
 
 
+def _smoothed(x: np.ndarray, span: int) -> np.ndarray:
+    """Exponential mean: each value moves the level by 2 / (span + 1) of the way to itself; the first one is the first level."""
+    out, share = np.empty(len(x)), 2.0 / (span + 1)
+    for i, y in enumerate(x):
+        level = y if i == 0 else level + share * (y - level)
+        out[i] = level
+    return out
+
+
 def macd(base: DataFrame, keys: list[str], fast: int = 6, slow: int = 13, signal: int = 5) -> DataFrame:
-    """MACD of the differences and upward crossings; exponential means are recursive, so one series per task group."""
+    """MACD of the hourly differences and its upward crossings, from the second hour of each series on.
+
+    Exponential means are recursive, so a series, one row an hour, is one group.
+    """
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
     schema = f"{key_schema}, hour_bucket timestamp_ntz, macd double, macd_signal double, crossed boolean"
 
     def per_series(pdf):
         pdf = pdf.sort_values("hour_bucket")
-        d = pdf["value"].diff().fillna(0.0)
-        ema = lambda x, span: x.ewm(span=span, adjust=False).mean()
-        line = ema(d, fast) - ema(d, slow)
-        sig = ema(line, signal)
-        crossed = (line > sig) & (line.shift(1) <= sig.shift(1))
-        return pdf[[*keys, "hour_bucket"]].assign(macd=line, macd_signal=sig, crossed=crossed)
+        steps = np.diff(pdf["value"].to_numpy())
+        line = _smoothed(steps, fast) - _smoothed(steps, slow)
+        mean = _smoothed(line, signal)
+        above = line > mean
+        crossed = above.copy()
+        crossed[1:] &= ~above[:-1]
+        crossed[:1] = False
+        return pdf.iloc[1:][[*keys, "hour_bucket"]].assign(macd=line, macd_signal=mean, crossed=crossed)
 
     return base.select(*keys, "hour_bucket", "value").groupBy(*keys).applyInPandas(per_series, schema)
 

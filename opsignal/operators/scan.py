@@ -32,7 +32,8 @@ def label_values(df: DataFrame, *cols: str) -> DataFrame:
 
 def label_index(df: DataFrame, stream: str, labels: str) -> DataFrame:
     """Inverted index: one row per (stream, label key, label value)."""
-    return df.select(stream, F.explode(labels).alias("label_key", "label_value")).distinct()
+    streams = df.select(stream, F.map_entries(labels).alias("_l")).distinct()  # few streams, many rows
+    return streams.select(stream, F.explode("_l").alias("_e")).select(stream, F.col("_e.key").alias("label_key"), F.col("_e.value").alias("label_value")).distinct()
 
 
 def streams_with(index: DataFrame, stream: str, wanted: dict[str, str]) -> DataFrame:

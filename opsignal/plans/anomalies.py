@@ -139,9 +139,9 @@ def _(t):
 
 @query(
     "macd",
-    f"""WITH RECURSIVE {BASE}, d AS (SELECT metric, hour_bucket, row_number() OVER o AS i, coalesce(value - lag(value) OVER o, 0) AS dv FROM base
+    f"""WITH RECURSIVE {BASE}, d AS (SELECT metric, hour_bucket, row_number() OVER o AS i, value - lag(value) OVER o AS dv FROM base
           WINDOW o AS (PARTITION BY metric ORDER BY hour_bucket)),
-        e AS (SELECT metric, hour_bucket, i, dv AS f, dv AS s, 0.0::DOUBLE AS m, 0.0::DOUBLE AS g FROM d WHERE i = 1
+        e AS (SELECT metric, hour_bucket, i, dv AS f, dv AS s, 0.0::DOUBLE AS m, 0.0::DOUBLE AS g FROM d WHERE i = 2
           UNION ALL
           SELECT d.metric, d.hour_bucket, d.i, d.dv * 2.0 / 7 + e.f * 5.0 / 7, d.dv * 2.0 / 14 + e.s * 12.0 / 14,
                  (d.dv * 2.0 / 7 + e.f * 5.0 / 7) - (d.dv * 2.0 / 14 + e.s * 12.0 / 14),

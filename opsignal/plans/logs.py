@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
-from opsignal.functions.text import first_technique_tag, label, message_text
+from opsignal.functions.text import first_technique_tag, label, message_text, namespace_of
 from opsignal.operators import scan, shape
 from opsignal.plans.derived import INC, LOGS, PRIORITY, REW, RULE_NAME, SIG, incidents, logs, rewards, signals
 from opsignal.plans.registry import query
@@ -36,8 +36,7 @@ def _(t):
 )
 def _(t):
     rows = logs(t)
-    index = scan.label_index(rows, "stream_id", "labels")
-    streams = index.filter((F.col("label_key") == "job") & (F.col("label_value") == "runtime")).select("stream_id")
+    streams = rows.filter(F.col("labels")["job"] == "runtime").select("stream_id").distinct()
     hits = shape.filter_lines(rows.select("event_id", "ns", "line", "stream_id"), "line", contains=["rport=444"])
     return hits.join(streams, "stream_id", "left_semi").select("event_id", "ns", "line")
 
@@ -246,6 +245,36 @@ def _(t):
     return hits.groupBy("ns", "verb").agg(F.count("*").alias("n"))
 
 
+@query(
+    "json_field_present",
+    f"""WITH {LOGS}, p AS (SELECT ns, CASE WHEN line LIKE '{{%' THEN CAST(line AS JSON) END AS j FROM logs)
+        SELECT ns, count(*) AS n FROM p WHERE coalesce(json_extract_string(j, '$.verb'), '') <> '' OR coalesce(json_extract_string(j, '$.resource'), '') <> '' GROUP BY ns""",
+)
+def _(t):
+    rows = logs(t)
+    present = [F.coalesce(shape.json_field("line", key), F.lit("")) != "" for key in ("verb", "resource")]
+    return rows.filter(present[0] | present[1]).groupBy("ns").agg(F.count("*").alias("n"))
+
+
+@query("namespace_from_service", f"WITH {SIG} SELECT split_part(concat(ns, '/', event_type), '/', 1) AS service_ns, count(*) AS n FROM sig GROUP BY ALL")
+def _(t):
+    service = F.concat_ws("/", "ns", "event_type")
+    return signals(t).groupBy(namespace_of(service).alias("service_ns")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "resolved_with_runbook",
+    f"""WITH {INC}, r AS (SELECT *, CASE WHEN route IN ('known', 'structured') THEN concat('runbook-', ns) WHEN route = 'novel' THEN '' END AS runbook_ref FROM inc)
+        SELECT incident_id, domain, runbook_ref, opened_at FROM r WHERE status = 'resolved' AND coalesce(runbook_ref, '') <> ''
+        QUALIFY row_number() OVER (PARTITION BY domain ORDER BY opened_at DESC, incident_id) <= 5""",
+)
+def _(t):
+    ref = F.when(F.col("route").isin("known", "structured"), F.concat(F.lit("runbook-"), "ns")).when(F.col("route") == "novel", "")
+    rows = incidents(t).withColumn("runbook_ref", ref).filter((F.col("status") == "resolved") & (F.coalesce("runbook_ref", F.lit("")) != ""))
+    newest = [F.col("opened_at").desc(), F.col("incident_id")]
+    return scan.top_k_per_group(rows.select("incident_id", "domain", "runbook_ref", "opened_at"), ["domain"], newest, 5, "incident_id").drop("rank")
+
+
 @query(
     "multi_like",
     f"""WITH {LOGS} SELECT event_id, line FROM logs WHERE event_class IN ('application', 'auth')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsignal import fixed_values as fv
 from opsignal.operators import similar
 from opsignal.plans.derived import INC, REW, SIG, incidents, rewards, signals
 from opsignal.plans.registry import query
@@ -124,6 +125,6 @@ def _(t):
     answer = v.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("resolution"))
     score = F.round(similar.alignment_score("embedding", "resolution"), 6)
     rows = v.join(answer, "id").select(F.col("id").alias("incident_id"), score.alias("score"))
-    return rows.withColumn("reward", F.when(F.col("score") < 0.5, "negative_ml_judge"))
+    return rows.withColumn("reward", F.when(F.col("score") < fv.POOR_ALIGNMENT, "negative_ml_judge"))
 
 

@@ -81,18 +81,14 @@ def normalize_deploys(payloads: DataFrame, body: str = "body") -> DataFrame:
     return _shaped_deploys(payloads, body).filter(F.col("source").isNotNull()).drop(body)
 
 
-def unknown_deploys(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Payloads no shape recognises, for a quarantine table."""
-    return _shaped_deploys(payloads, body).filter(F.col("source").isNull()).select(*payloads.columns)
-
-
 def normalize_logs(raw: DataFrame, line: str = "raw", conn_host: str = "conn_host") -> DataFrame:
     """Container, Windows-channel, audit and syslog lines in one schema with a log_source column."""
     c = F.col(line)
     is_json = F.ltrim(c).startswith("{")
+    raw, columns = raw.withColumn("_json", F.when(is_json, F.try_parse_json(c))), raw.columns  # parsed once
 
     def get(path: str):
-        return F.when(is_json, F.get_json_object(c, path))
+        return F.try_variant_get("_json", path, "string")
 
     windows = get("$.Channel").isNotNull()
     audit = get("$.verb").isNotNull()
@@ -100,7 +96,7 @@ def normalize_logs(raw: DataFrame, line: str = "raw", conn_host: str = "conn_hos
     app = F.when(~is_json, F.nullif(F.regexp_extract(c, fv.SYSLOG_APP_PATTERN, 1), F.lit("")))
     text = F.when(~is_json, F.nullif(F.regexp_extract(c, fv.SYSLOG_APP_PATTERN, 2), F.lit("")))
     host = F.coalesce(F.nullif(get("$.Computer"), F.lit("")), F.nullif(get("$.hostname"), F.lit("")), F.col(conn_host))
-    keep = [x for x in raw.columns if x not in (line, conn_host)]
+    keep = [x for x in columns if x not in (line, conn_host)]
     return raw.select(
         *keep,
         F.when(windows, "windows").when(audit, "k8s-audit").when(container, "container")
