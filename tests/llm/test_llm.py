@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, components, decontam, exact, langid, lm, pieces, queries, simhash, suffix, toxicity, urls
+from opsignal.llm import chat, components, decontam, exact, langid, lm, near, pieces, queries, simhash, suffix, toxicity, urls
 from opsignal.llm.common import with_ids
 
 EDGES = [
@@ -109,6 +109,69 @@ def test_simhash_empty(documents):
     assert simhash.groups(documents([])).count() == 0
 
 
+# --- near copies ---------------------------------------------------------------------------------
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+
+def near_groups(texts):
+    sets, parent = [shingle_set(t) for _, t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 10 * both >= 8 * len(sets[a] | sets[b]):
+                parent = [parent[b] if x == parent[a] else x for x in parent]
+    ids = collections.defaultdict(list)
+    for k, (i, _) in enumerate(texts):
+        if i is not None:
+            ids[parent[k]].append(i)
+    return sorted(((i, min(ids[parent[k]], default=None)) for k, (i, _) in enumerate(texts)), key=str)
+
+
+def planted_copies():
+    """Texts with copies at 0.7 to 0.99, a crowd around one text, and a passage that many texts have."""
+    rng = random.Random(14)
+    text = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(3000)) for _ in range(n)]
+    common, out = text(30), []
+    for i in range(40):
+        body = text(rng.randint(20, 300)) + common * (i % 2)
+        out.append(body)
+        for _ in range(i % 3):
+            copy = list(body)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.randint(1, 6) // 200)):
+                copy[at] = "other"
+            out.append(copy)
+    base = text(200)
+    for k in range(30):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{k}"
+        for at in rng.sample(range(200), k % 4):
+            copy[at] = f"y{k}"
+        out.append(copy)
+    rng.shuffle(out)
+    return [(k * 7 % 211, " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("p", [near.Params(), near.Params(crowd=2, stars=1, part_keys=100, cell_bits=8, pairs_at_once=10)])
+def test_near_copies_lose_no_pair(documents, p):
+    texts = planted_copies()
+    assert rows(near.groups(documents(texts), p)) == near_groups(texts)
+
+
+def test_near_copies_edges(edges, documents):
+    assert rows(near.groups(edges)) == near_groups(EDGES)
+    assert near.groups(documents([])).count() == 0
+
+
+def test_pipeline_removes_near_copies_at_point_eight(spark, documents):
+    import corpus_pipeline as cp
+
+    texts = planted_copies()
+    kept = {r["doc_id"] for r in cp.near_copies(spark, documents(texts), "").collect()}
+    assert kept == {i for i, c in near_groups(texts) if i == c}
+
+
 # --- pieces --------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
