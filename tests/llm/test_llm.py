@@ -351,6 +351,20 @@ def test_language_edges(edges, documents):
     assert langid.predict(documents([]), model).count() == 0
 
 
+def test_long_texts_of_one_language_are_clear(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null and lang is not null")
+    judge = langid.Judge(langid.fit(docs.filter(~langid.is_held_out(F.col("doc_id")))))
+    texts = collections.defaultdict(str)
+    for r in docs.orderBy("doc_id").select("lang", "text").toLocalIterator():
+        if len(texts[r["lang"]]) < 10 << 20:
+            texts[r["lang"]] += " " + r["text"]
+    assert len(texts) > 1
+    for lang, whole in texts.items():
+        for text in (whole[: 1 << 20], whole, whole * -(-(10 << 20) // len(whole))):
+            got, _, rejected = judge(text)
+            assert (got, rejected) == (lang, False)
+
+
 def test_toxicity(spark, documents):
     rng = random.Random(11)
     calm, bad = [f"word{i}" for i in range(60)], ["idiotic", "awfulness", "scummy"]
