@@ -14,7 +14,7 @@ takes four questions, each asked by blocks of documents and answered by hash par
    the common prefixes of neighbours; both are sequential files in the task's temporary folder. Neighbours that share
    `least` bytes are equal windows, and the smallest doc_id among them decides.
 
-An anchor with very many segments sends its windows one by one instead, dealt by their own hash, so no group grows with a
+An anchor that comes up very often sends its windows one by one instead, dealt by their own hash, so no group grows with a
 hot passage: equal windows and equal segments of a block are one entry.
 """
 
@@ -51,7 +51,7 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Params:
     """least: bytes of a repeated string; gram: bytes of an anchor; block_bytes: text of a block; part_keys: entries of a
-    hash part; part_strings: most strings of a collection, about; hot: segments of an anchor beyond which its
+    hash part; part_strings: most strings of a collection, about; hot: places of an anchor beyond which its
     windows are sent one by one; chunk: records that the sequential files are read by."""
 
     least: int = 50
@@ -298,9 +298,10 @@ class Block:
         """What is sent on, in the order of its parts: part, first byte, length, document of each string.
 
         The windows of an anchor go as one string to the anchor's part; of a hot one each goes to its own hash's part.
+        Whether an anchor is hot depends on its count in all blocks alone, so that all its segments take the same way.
         """
         p = self.p
-        hot = ((self.count - self.segment_count) > p.hot)[self.anchor] if len(self.anchor) else np.zeros(0, dtype=bool)
+        hot = (self.count > p.hot)[self.anchor] if len(self.anchor) else np.zeros(0, dtype=bool)
         whole, at = self.anchor[~hot], self.window[~hot]
         head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, dtype=np.int64)
         tail = np.append(head[1:], len(whole)) - 1 if len(whole) else head

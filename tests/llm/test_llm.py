@@ -277,6 +277,18 @@ def test_suffix_passages(documents, hot):
     checked(documents(texts), texts, suffix.Params(hot=hot, block_bytes=3000, part_keys=500, part_strings=50, chunk=400))
 
 
+@pytest.mark.parametrize("cut", [-1, 1000])
+def test_suffix_hot_anchor_takes_one_way(documents, cut):
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = text(75)
+    around = text(60) + passage + text(60)
+    texts = [(i, around) for i in range(30)] + [(cut, text(60) + passage + text(60))] + [(2000 + i, text(200)) for i in range(3)]
+    checked(documents(texts), texts, suffix.Params(hot=2, block_bytes=600, part_keys=50, part_strings=2))
+    texts = [(i, around) for i in range(30)] + [(cut, text(60) + passage), (cut + 1000, passage[10:] + text(70))]
+    checked(documents(texts), texts, suffix.Params(hot=30, block_bytes=600, part_keys=50, part_strings=2))
+
+
 def test_collection_sorts_suffixes():
     rng = random.Random(7)
     strings = [bytes(rng.choices(b"ab", k=rng.randint(1, 12))) for _ in range(40)]
