@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "opsignal", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "opsignal", master: str | None = None, shuffle_partitions: int | None = None, options: dict[str, str] | None = None
+) -> SparkSession:
+    """options: further settings, such as spark.driver.memory; they hold if no session exists yet."""
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -18,6 +21,8 @@ def build_session(app: str = "opsignal", master: str | None = None, shuffle_part
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (options or {}).items():
+        b = b.config(name, value)
     return b.getOrCreate()
 
 
