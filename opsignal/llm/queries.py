@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, decontam, exact, langid, lm, pieces, simhash, suffix, toxicity, urls
+from opsignal.llm import chat, decontam, exact, langid, lm, pieces, simhash, suffix, toxicity, trie, urls
 from opsignal.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def crc32_sql(source: str) -> str:
+    """Two further tables of a WITH RECURSIVE: crc(s, step, v), bit by bit, and crc_of(s, crc) of the strings `source` names as s."""
+    return f"""crc AS (SELECT s, 0 AS step, 4294967295::BIGINT AS v FROM ({source})
+        UNION ALL SELECT s, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+        FROM (SELECT s, step, CASE WHEN step % 8 = 0 THEN xor(v, ascii(s[step // 8 + 1])::BIGINT) ELSE v END AS x FROM crc WHERE step < 8 * length(s))),
+        crc_of AS (SELECT s, xor(v, 4294967295::BIGINT) AS crc FROM crc WHERE step = 8 * length(s))"""
+
+
+WORDS_SQL = "len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))"
+
+
+@query(
+    "op11_trie",
+    f"""WITH RECURSIVE {crc32_sql("SELECT DISTINCT conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL")},
+        c AS (SELECT s::BIGINT AS conv_id, crc % 4 AS h FROM crc_of),
+        t AS (SELECT conv_id, turn, {WORDS_SQL} AS words, sha256(strlen(role) || ':' || role || text) AS digest
+              FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+        b AS (SELECT c.conv_id, pos, words, digest FROM c JOIN r ON r.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+              UNION ALL SELECT conv_id, pos, words, digest FROM c JOIN r USING (conv_id) WHERE pos > h),
+        d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth,
+                     sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS path FROM b
+              UNION ALL SELECT conv_id, 0, 0, '', 0, '' FROM c),
+        m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM d),
+        n AS (SELECT path, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path),
+        k AS (SELECT above AS path, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+        f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+        s AS (SELECT m.path, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens
+              FROM f JOIN m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY m.path)
+        SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+        FROM f JOIN s USING (path) LEFT JOIN f AS p ON p.path = f.above""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each with its block's first turns before its own."""
+    return trie.nodes(trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
