@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, decontam, exact, langid, lm, pieces, simhash, suffix, toxicity, trie, urls
+from opsignal.llm import chat, decontam, exact, langid, lm, pieces, repair, simhash, suffix, toxicity, trie, urls
 from opsignal.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,44 @@ WORDS_SQL = "len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))"
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, each with its block's first turns before its own."""
     return trie.nodes(trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+@query(
+    "op13_repair",
+    f"""WITH RECURSIVE n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+        {crc32_sql("SELECT DISTINCT s FROM n")},
+        d AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+                     CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(CASE crc % 20 WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+              FROM n JOIN crc_of USING (s) WHERE crc % 20 <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS k,
+                     left(role, 1) AS r, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tip FROM d),
+        f AS (SELECT *, CASE WHEN tip = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                             WHEN tip NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                     k > 1 AND lag(r) OVER (PARTITION BY conv_id ORDER BY k) || r NOT IN ('su', 'ua', 'au') AS bad FROM o),
+        mv AS (SELECT * FROM (VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')) AS m(s, r, t, forced)),
+        i1 AS (SELECT s, t, chr(10) || forced || ':' AS txt FROM mv WHERE forced IS NOT NULL),
+        ins AS (SELECT DISTINCT s, s AS t, 0 AS c, '' AS a, '' AS txt FROM mv UNION ALL SELECT s, t, 3, 'I', txt FROM i1
+                UNION ALL SELECT x.s, y.t, 6, 'II', x.txt || y.txt FROM i1 x JOIN i1 y ON x.t = y.s),
+        e AS (SELECT conv_id, k, s, s AS t, 4 AS c, 'D' AS a, '' AS txt FROM f, (SELECT DISTINCT s FROM mv)
+              UNION ALL SELECT conv_id, k, s, t, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', chr(10) || forced || ':' || text
+              FROM f, mv WHERE fault IN ('', 'truncated') AND forced IS NOT NULL
+              UNION ALL SELECT conv_id, k, s, t, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text
+              FROM f JOIN mv ON f.r = mv.r WHERE fault IN ('', 'truncated')),
+        w AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS s, {{'c': 0, 'a': '', 'txt': ''}} AS x FROM f
+              UNION ALL SELECT w.conv_id, e.k, e.t, min({{'c': x.c + ins.c + e.c, 'a': x.a || ins.a || e.a, 'txt': x.txt || ins.txt || e.txt}})
+              FROM w JOIN ins ON w.s = ins.s JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.k = w.k + 1 AND e.s = ins.t GROUP BY w.conv_id, e.k, e.t),
+        g AS (SELECT conv_id, max(k) AS k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal
+              FROM f GROUP BY conv_id),
+        z AS (SELECT g.*, min({{'c': x.c + ins.c, 'a': x.a || ins.a, 'txt': x.txt || ins.txt}}) AS x
+              FROM g JOIN w ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.k = w.k JOIN ins ON ins.s = w.s WHERE ins.t IN (0, 3) GROUP BY ALL)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(substr(x.txt, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
