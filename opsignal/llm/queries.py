@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, decontam, exact, langid, lm, pieces, repair, simhash, suffix, toxicity, trie, urls
+from opsignal.llm import chat, decontam, exact, fertility, langid, lm, pieces, repair, simhash, suffix, toxicity, trie, urls
 from opsignal.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,15 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every damaged conversation."""
     rows = table(spark, sf_dir, "conversations")
     return repair.repair(repair.damaged(rows), rows)
+
+
+def vocabularies() -> fertility.Params:
+    import public_tokenizers
+
+    return fertility.Params(piece_model(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_fertility")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether its tokens fit its language's band."""
+    return fertility.judge(table(spark, sf_dir, "documents"), vocabularies())
