@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from opsignal.llm.common import written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SYMBOLS = re.compile(r"[#*$%&|<>]")
+SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SHORT = 20_000
 FIGURES = ("piece_chars", "byte_chars", "fallback", "entropy")
 MEASURED = "doc_id long, lang string, script string, " + ", ".join(f"{c} long" for c in BASE) + ", n_tokens long, " + ", ".join(f"{c} double" for c in FIGURES)
 
@@ -52,13 +54,20 @@ def base_figures(text: str) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     words = WORDS.findall(text)
     lines = [x for x in text.split("\n") if WORDS.search(x)]
-    return len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), len("".join(words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
 def repeated_words(words: list[str], size: int = 3) -> int:
     """Words that lie in a window of `size` words that comes twice or more in the text."""
     if len(words) <= size:
         return 0
+    if len(words) <= SHORT:
+        windows = list(zip(*(words[k:] for k in range(size)), strict=False))
+        if len(set(windows)) == len(windows):
+            return 0
+        times = Counter(windows)
+        at = [k for k, w in enumerate(windows) if times[w] > 1]
+        return len({i for k in at for i in range(k, k + size)})
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
     at = ids[: len(ids) - size + 1]
@@ -73,6 +82,8 @@ def repeated_words(words: list[str], size: int = 3) -> int:
 
 def script(text: str) -> str:
     """The script of most of the text's letters by their Unicode names' first words; `none` without letters."""
+    if text.isascii():
+        return "LATIN" if re.search("[A-Za-z]", text) else "none"
     names: Counter[str] = Counter()
     for c, n in Counter(text).items():
         if c.isalpha():
@@ -131,7 +142,7 @@ class Vocabularies:
     def figures(self, text: str) -> tuple[int, float, float, float, float]:
         """n_tokens, characters per token of both vocabularies, byte-fallback share, entropy."""
         parts = list(blocks(text, self.p))
-        ids = np.concatenate([np.array(x, dtype=np.int64) for x in self.pieces.encode(parts, num_threads=1)])
+        ids = np.frombuffer(b"".join([array("i", self.pieces.encode(x)).tobytes() for x in parts]), dtype=np.int32).astype(np.int64)
         n = len(ids)
         other = sum(len(self.bytes.encode_ordinary(x)) for x in parts)
         return n, len(text) / max(n, 1), len(text) / max(other, 1), float(self.fallback[ids].mean()) if n else 0.0, entropy(ids, self.p.window)

@@ -37,7 +37,7 @@ def plain_figures(text, pieces, other, window=128):
 
 def test_base_counts():
     rng = random.Random(2)
-    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in range(12)] + ["a b c\na b c\n\na b c\n x", "x " * 300, "# $%|<>*&", "a\x0bb\x1fc"]
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(25_000)), *(" ".join(rng.choice("ab") for _ in range(n)) for n in range(12)), "a b c\na b c\n\na b c\n x", "x " * 300, "# $%|<>*&", "a\x0bb\x1fc"]
     for text in texts + EDGES:
         assert fertility.base_figures(text or "") == plain_base(text)
 
