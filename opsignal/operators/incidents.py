@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
 from opsignal.functions.text import any_of
-from opsignal.functions.timecells import SECOND, cell, epoch_us, seconds_between
+from opsignal.functions.timecells import SECOND, cell, epoch_us, from_epoch_us, seconds_between
 from opsignal.operators.joins import asof_join, exists_between, interval_join
 
 
@@ -63,78 +64,216 @@ def fast_classify(
 
 
 # --- sessions and assembly -----------------------------------------------------------------------
-def incident_sessions(alerts: DataFrame, ns: str = "ns", rule: str = "rule", ts: str = "ts", gap_s: int = fv.DEDUP_GAP_S) -> DataFrame:
-    """Alerts of a namespace and rule belong to one incident while less than the gap apart.
+INFRA = ("sre", "observability")
+RUN = ["ns", "_era", "rule", "_c", "_seg"]
 
-    Alerts inside one cell as wide as the gap always share an incident, so alerts are reduced to one
-    row per (namespace, rule, cell) first; a hot key then has at most span/gap rows to order.
-    alerts(ns, rule, ts, alertname, source); a null rule is the rule-less stream of the namespace.
+
+def _keyed(alerts: DataFrame, ns: str, rule: str, ts: str, ident: str, gap_s: int) -> DataFrame:
+    """Alerts with the run that they belong to: (ns, _era, rule, _c, _seg); all alerts of a run share an incident.
+
+    Inside a cell as wide as the gap an incident stays open, so a rule's alerts of one cell are one run. Which incident is the
+    newest can change there only at the first alert of some rule, so alerts without a rule are cut at those.
     """
-    keys = ["ns", "rule"]
+    order = F.col(ident) if ident in alerts.columns else F.xxhash64("alertname", "source")
     rows = alerts.select(
-        F.col(ns).alias("ns"), F.coalesce(F.col(rule), F.lit("")).alias("rule"), F.col(ts).alias("_ts"), "alertname", "source"
-    )
-    infra = F.col("source").isin("sre", "observability")
-    cells = rows.groupBy(*keys, cell("_ts", gap_s).alias("_c")).agg(
-        F.min("_ts").alias("lo"), F.max("_ts").alias("hi"), F.count("*").alias("n"), F.count_if(infra).alias("infra"),
-        F.min(F.struct("_ts", "alertname", "source")).alias("first"),
+        F.coalesce(F.col(ns), F.lit("")).alias("ns"), F.coalesce(F.col(rule), F.lit("")).alias("rule"), F.col(ts).alias("_ts"),
+        F.struct(F.col(ts).alias("ts"), order.alias("id")).alias("_at"), "alertname", "source",
+        F.col("_era") if "_era" in alerts.columns else F.lit(0).cast("bigint").alias("_era"),
+    ).withColumn("_c", cell("_ts", gap_s))
+    ruled, bare = rows.filter("rule <> ''"), rows.filter("rule = ''")
+    firsts = ruled.groupBy("ns", "_era", "_c", "rule").agg(F.min("_at").alias("_first")).groupBy("ns", "_era", "_c").agg(F.collect_list("_first").alias("_firsts"))
+    before = F.size(F.filter("_firsts", lambda f: f < F.col("_at")))
+    cut = bare.join(firsts, ["ns", "_era", "_c"], "left").withColumn("_seg", F.when(F.col("_firsts").isNull(), 0).otherwise(before)).drop("_firsts")
+    return ruled.withColumn("_seg", F.lit(0)).unionByName(cut)
+
+
+def _fold(gap_s: int):
+    """An island's runs in time order: each joins the newest open incident of its rule (of any, without a rule) or opens one."""
+
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("lo", "ascending"), ("lo_id", "ascending")])
+        live: dict[str, list] = {}  # of each rule the one incident that may be open: [opened, id, last alert]
+        opened, ident, of = [], [], []
+        for rule, lo, lo_id, hi in zip(*(t[c].to_pylist() for c in ("rule", "lo", "lo_id", "hi")), strict=True):
+            live = {r: i for r, i in live.items() if lo - i[2] < gap_s * SECOND}
+            name = rule if rule else max(live, key=lambda r: live[r][:2], default="")
+            if name not in live:
+                live[name] = [lo, lo_id, hi]
+            live[name][2] = max(live[name][2], hi)
+            opened.append(live[name][0])
+            ident.append(live[name][1])
+            of.append(name)
+        return t.append_column("opened", pa.array(opened, pa.int64())).append_column("opened_id", pa.array(ident, pa.int64())).append_column("of", pa.array(of, pa.string()))
+
+    return place
+
+
+def placed_runs(keyed: DataFrame, gap_s: int) -> DataFrame:
+    """One row per run of _keyed() with its counts and its incident: incident_id, of (the incident's rule, or none).
+
+    A namespace falls into islands where no alert comes for the gap; an island is folded in one task. It has at most a run
+    per rule and two per opening in each cell, however many alerts there are.
+    """
+    infra = F.coalesce(F.col("source").isin(*INFRA), F.lit(False))
+    runs = keyed.groupBy(*RUN).agg(
+        epoch_us(F.min("_ts")).alias("lo"), F.min("_at")["id"].cast("bigint").alias("lo_id"), epoch_us(F.max("_ts")).alias("hi"),
+        F.count("*").alias("n"), F.count_if(infra).alias("infra"), F.min(F.struct("_at", "alertname", "source")).alias("first"),
     )
-    o = Window.partitionBy(*keys).orderBy("_c")
-    quiet = epoch_us("lo") - epoch_us(F.lag("hi").over(o)) >= gap_s * SECOND
-    cells = cells.withColumn("_new", F.when(quiet, 1).otherwise(0)).withColumn("_s", F.sum("_new").over(o))
-    out = cells.groupBy(*keys, "_s").agg(
-        F.min("lo").alias("opened_at"), F.max("hi").alias("window_end"), F.sum("n").alias("n_alerts"),
-        F.sum("infra").alias("_infra"), F.min("first").alias("_f"),
+    cells = runs.groupBy("ns", "_era", "_c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    o = Window.partitionBy("ns", "_era").orderBy("_c")
+    quiet = F.when(F.col("lo") - F.lag("hi").over(o) >= gap_s * SECOND, 1).otherwise(0)
+    islands = cells.select("ns", "_era", "_c", quiet.alias("quiet")).select("ns", "_era", "_c", F.sum("quiet").over(o).alias("island"))
+    bare = runs.join(islands, ["ns", "_era", "_c"]).select(*RUN, "island", "lo", "lo_id", "hi")
+    schema = bare.schema.simpleString()[len("struct<"):-1] + ",opened:bigint,opened_id:bigint,of:string"
+    where = bare.groupBy("ns", "_era", "island").applyInArrow(_fold(gap_s), schema)
+    ident = F.md5(F.concat_ws("|", "ns", "of", F.col("opened").cast("string")))
+    return runs.join(where.select(*RUN, "of", "opened", "opened_id", ident.alias("incident_id")), RUN)
+
+
+def _sessions(placed: DataFrame) -> DataFrame:
+    infra_bare = F.when(F.col("rule") == "", F.col("infra")).otherwise(0)
+    out = placed.groupBy("incident_id", "ns", F.col("of").alias("rule")).agg(
+        from_epoch_us(F.min("opened")).alias("opened_at"), from_epoch_us(F.max("hi")).alias("window_end"), F.sum("n").alias("n_alerts"),
+        F.sum(F.when(F.col("rule") != "", F.col("n")).otherwise(0)).alias("_ruled"), F.sum(infra_bare).alias("_infra"), F.min("first").alias("_f"),
     )
     # only alerts that are merged into an open incident upgrade it, the first one doesn't
-    first_infra = F.coalesce(F.col("_f.source").isin("sre", "observability"), F.lit(False)).cast("int")
-    merged = F.when((F.col("rule") != "") & (F.col("n_alerts") > 1), 2).when((F.col("rule") == "") & (F.col("_infra") > first_infra), 1).otherwise(0)
-    out = out.withColumn("alert_rank", merged)
-    ident = F.md5(F.concat_ws("|", "ns", "rule", epoch_us("opened_at").cast("string")))
+    first_infra = F.when(F.col("rule") == "", F.coalesce(F.col("_f.source").isin(*INFRA), F.lit(False)).cast("int")).otherwise(0)
+    ruled = F.col("_ruled") > F.when(F.col("rule") != "", 1).otherwise(0)
+    rank = F.when(ruled, 2).when(F.col("_infra") > first_infra, 1).otherwise(0)
     return out.select(
-        ident.alias("incident_id"), *keys, "opened_at", "window_end", "n_alerts", "alert_rank",
+        "incident_id", "ns", "rule", "opened_at", "window_end", "n_alerts", rank.alias("alert_rank"),
         F.col("_f.alertname").alias("alertname"), F.col("_f.source").alias("source"),
     )
 
 
-def assemble_incidents(alerts: DataFrame, signals: DataFrame, window_s: int = fv.INCIDENT_WINDOW_S, spread: int = 4) -> DataFrame:
-    """One row per incident with the signals of the window before it opened, classified.
+def incident_sessions(
+    alerts: DataFrame, ns: str = "ns", rule: str = "rule", ts: str = "ts", gap_s: int = fv.DEDUP_GAP_S, ident: str = "event_id"
+) -> DataFrame:
+    """Incidents of alerts (ns, rule, ts, event_id, alertname, source).
+
+    An alert with a rule joins the open incident of its namespace and rule; one without a rule joins the newest open
+    incident of its namespace, whatever its rule; otherwise it opens one. An incident is open while its last alert is
+    less than the gap ago. Alerts of one instant come in the order of event_id (a hash of name and source, if there is
+    none). No namespace is a namespace of its own.
+    """
+    return _sessions(placed_runs(_keyed(alerts, ns, rule, ts, ident, gap_s), gap_s))
+
+
+def incident_lifecycle(alerts: DataFrame, resolved: DataFrame, gap_s: int = fv.DEDUP_GAP_S) -> DataFrame:
+    """incident_sessions() in which a resolved alert (ns, ts) closes all open incidents of its namespace: what comes later opens anew.
+
+    closed_at, status: of the close, if there was one. A resolved alert comes before the alerts of its instant.
+    """
+    ends = resolved.select(F.coalesce("ns", F.lit("")).alias("ns"), F.col("ts").alias("_end"), epoch_us("ts").alias("_era"))
+    named = alerts.withColumn("ns", F.coalesce("ns", F.lit("")))
+    dated = asof_join(named, ends, ["ns"], "ts", "_end", ["_era"], inclusive=True).withColumn("_era", F.coalesce("_era", F.lit(-(2**63))))
+    sessions = incident_sessions(dated, gap_s=gap_s)
+    return close_incidents(sessions, ends.select("ns", "_end"), "ns", "opened_at", "_end")
+
+
+def spans(times: DataFrame, key: str, width_s: int) -> DataFrame:
+    """key, start, end: the union of [t - width, t) over rows (key, lo, hi), whose times between lo and hi lie less than the width apart."""
+    o = Window.partitionBy(key).orderBy("lo")
+    before = F.max("hi").over(o.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("lo") - width_s * SECOND > before, 1).otherwise(0)
+    marked = times.select(key, "lo", "hi", apart.alias("_new")).select(key, "lo", "hi", F.sum("_new").over(o).alias("_i"))
+    return marked.groupBy(key, "_i").agg((F.min("lo") - width_s * SECOND).alias("start"), F.max("hi").alias("end")).drop("_i")
 
-    signals(ns, ts, kind in match|pattern|anomaly, name, weight, is_novel, security_correlated): all
-    kinds go through one interval join and one aggregation by (incident, kind, name), so the arrays
-    hold distinct names only.
+
+def window_totals(windows: DataFrame, signals: DataFrame, key: str, step_s: int) -> DataFrame:
+    """key, kind, name, total, peak, is_novel, security_correlated of the signals in each window (key, ns, start, end).
+
+    signals(ns, ts, kind, name, weight, is_novel, security_correlated) are summed per (ns, kind, name, cell) first; a window takes its
+    whole cells from these sums and single rows only from the two cells at its edges.
     """
-    sessions = incident_sessions(alerts)
-    opened = sessions.select("incident_id", "ns", "opened_at")
-    sig = signals.select("ns", F.col("ts").alias("signal_ts"), "kind", "name", "weight", "is_novel", "security_correlated")
-    pairs = interval_join(opened, sig, ["ns"], "opened_at", "signal_ts", -window_s, 0, spread)
-    named = pairs.groupBy("incident_id", "kind", "name").agg(
-        F.sum("weight").alias("total"), F.max("weight").alias("peak"), F.max("is_novel").alias("is_novel"),
-        F.max("security_correlated").alias("security_correlated"),
+    step = F.lit(step_s * SECOND)
+    sums = [F.sum("weight").alias("total"), F.max("weight").alias("peak"), F.max("is_novel").alias("is_novel"), F.max("security_correlated").alias("security_correlated")]
+    celled = signals.withColumn("_c", cell("ts", step_s))
+    per_cell = celled.groupBy("ns", "kind", "name", "_c").agg(*sums)
+    first, last = F.ceil(F.col("start") / step).cast("bigint"), F.floor(F.col("end") / step).cast("bigint")
+    whole = windows.filter(first < last).select(key, "ns", F.explode(F.sequence(first, last - 1)).alias("_c")).join(per_cell, ["ns", "_c"])
+    edge = F.array_distinct(F.array(F.floor(F.col("start") / step), last))
+    cut = F.filter(edge.cast("array<bigint>"), lambda c: (c < first) | (c >= last))
+    at = epoch_us("ts")
+    single = windows.select(key, "ns", "start", "end", F.explode(cut).alias("_c")).join(celled, ["ns", "_c"]).filter((at >= F.col("start")) & (at < F.col("end")))
+    rows = whole.select(key, "kind", "name", "total", "peak", "is_novel", "security_correlated").unionByName(
+        single.groupBy(key, "kind", "name").agg(*sums)
+    )
+    return rows.groupBy(key, "kind", "name").agg(
+        F.sum("total").alias("total"), F.max("peak").alias("peak"), F.max("is_novel").alias("is_novel"), F.max("security_correlated").alias("security_correlated")
     )
-    pattern = F.struct(
-        F.col("name").alias("template"), F.col("total").alias("samples_count"), "is_novel", "security_correlated"
+
+
+def names_in_spans(found: DataFrame, signals: DataFrame, key: str, cell_s: int) -> DataFrame:
+    """key, name: which names come in the spans (key, ns, start, end), none shorter than a cell.
+
+    Of each (ns, name, cell) only the first and last time are kept: a span that holds the cell in part reaches over one of
+    its ends, so these two decide.
+    """
+    step = F.lit(cell_s * SECOND)
+    at = epoch_us("ts")
+    seen = signals.groupBy("ns", "name", cell("ts", cell_s).alias("_c")).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    reach = F.sequence(F.floor(F.col("start") / step).cast("bigint"), F.floor((F.col("end") - 1) / step).cast("bigint"))
+    dealt = found.select(key, "ns", "start", "end", F.explode(reach).alias("_c"))
+    return dealt.join(seen, ["ns", "_c"]).filter((F.col("hi") >= F.col("start")) & (F.col("lo") < F.col("end"))).select(key, "name").distinct()
+
+
+def _everywhere(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows, and those that a window without a namespace may hold once more with no namespace; windows(ns, start, end)."""
+    day = 86400
+    span = F.sequence(F.floor(F.col("start") / F.lit(day * SECOND)), F.floor(F.col("end") / F.lit(day * SECOND)))
+    days = windows.filter("ns = ''").select(F.explode(span).alias("_day")).distinct()
+    again = rows.filter("ns <> ''").join(days, cell("ts", day) == F.col("_day"), "left_semi")
+    return rows.unionByName(again.withColumn("ns", F.lit("")))
+
+
+def assemble_incidents(alerts: DataFrame, signals: DataFrame, window_s: int = fv.INCIDENT_WINDOW_S, gap_s: int = fv.DEDUP_GAP_S) -> DataFrame:
+    """One row per incident with the signals of its alerts' windows, classified.
+
+    signals(ns, ts, kind in match|pattern|anomaly, name, weight, is_novel, security_correlated). Patterns, anomalies and the
+    route come from the window before the first alert; match_ids are those of the windows before all its alerts, and a merged
+    alert that has a rule or brings a match makes the incident SOC. Anomalies count in every namespace; an incident without a
+    namespace has the matches and patterns of all. The arrays hold distinct names.
+    """
+    keyed = _keyed(alerts, "ns", "rule", "ts", "event_id", gap_s)
+    placed = placed_runs(keyed, gap_s)
+    sessions = _sessions(placed)
+    step_s = max(1, window_s // 10)
+
+    start = epoch_us("opened_at")
+    opened = sessions.select("incident_id", "ns", (start - window_s * SECOND).alias("start"), start.alias("end"))
+    plain = signals.select(F.coalesce("ns", F.lit("")).alias("ns"), "ts", "kind", "name", "weight", "is_novel", "security_correlated")
+    local, shared = plain.filter("kind <> 'anomaly'"), plain.filter("kind = 'anomaly'").withColumn("ns", F.lit("*"))
+    named = window_totals(opened, _everywhere(local, opened), "incident_id", step_s).unionByName(
+        window_totals(opened.withColumn("ns", F.lit("*")), shared, "incident_id", step_s)
     )
+    pattern = F.struct(F.col("name").alias("template"), F.col("total").alias("samples_count"), "is_novel", "security_correlated")
     anomaly = F.struct(F.col("name").alias("metric"), F.col("peak").alias("deviation_ratio"))
     gathered = named.groupBy("incident_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "match", F.col("name")))).alias("match_ids"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "match", F.col("name")))).alias("first_ids"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "pattern", pattern))).alias("patterns"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "anomaly", anomaly))).alias("anomalies"),
     )
-    rows = sessions.join(gathered, "incident_id", "left")
-    empty = {c: F.coalesce(c, F.array().cast(gathered.schema[c].dataType)) for c in ("match_ids", "patterns", "anomalies")}
-    rows = rows.withColumns(empty)
+    times = keyed.groupBy(*RUN, cell("_ts", window_s).alias("_w")).agg(epoch_us(F.min("_ts")).alias("lo"), epoch_us(F.max("_ts")).alias("hi"))
+    times = times.join(placed.select(*RUN, "incident_id"), RUN)
+    union = spans(times.select("incident_id", "lo", "hi"), "incident_id", window_s).join(sessions.select("incident_id", "ns"), "incident_id")
+    matches = _everywhere(local.filter("kind = 'match'").select("ns", "ts", "name"), union)
+    all_ids = names_in_spans(union, matches, "incident_id", step_s).groupBy("incident_id").agg(F.array_sort(F.collect_list("name")).alias("match_ids"))
+
+    rows = sessions.join(gathered, "incident_id", "left").join(all_ids, "incident_id", "left")
+    kinds = {c: gathered.schema[c].dataType for c in ("first_ids", "patterns", "anomalies")} | {"match_ids": all_ids.schema["match_ids"].dataType}
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in kinds.items()})
     named_alert = F.array(F.struct(
         F.col("alertname").alias("template"), F.lit(1.0).alias("samples_count"), F.lit(False).alias("is_novel"),
         F.lit(False).alias("security_correlated"),
-    )).cast(gathered.schema["patterns"].dataType)
+    )).cast(kinds["patterns"])
     rows = rows.withColumns({
         "patterns": F.when((F.size("patterns") == 0) & F.col("alertname").isNotNull(), named_alert).otherwise(F.col("patterns")),
         "rules": F.when(F.col("rule") != "", F.array("rule")).otherwise(F.array().cast("array<string>")),
     })
-    done = fast_classify(rows, "rules", "match_ids", "patterns", "anomalies", "source")
-    final = domain_name(F.greatest(domain_rank(F.col("domain")), F.col("alert_rank")))
-    return done.withColumn("domain", final).drop("alert_rank")
+    done = fast_classify(rows, "rules", "first_ids", "patterns", "anomalies", "source")
+    merged = F.when(F.size("match_ids") > 0, 2).otherwise(F.col("alert_rank"))
+    return done.withColumn("domain", domain_name(F.greatest(domain_rank(F.col("domain")), merged))).drop("alert_rank", "first_ids")
 
 
 # --- lifecycle -----------------------------------------------------------------------------------

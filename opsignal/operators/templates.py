@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
 from opsignal.functions.text import mask_variables, pattern_id
+from opsignal.functions.timecells import SECOND, cell, epoch_us, from_epoch_us
 from opsignal.operators.joins import near_event_flag
 
 ANY = "<*>"
@@ -83,3 +84,16 @@ def pattern_label_counts(df: DataFrame, keys: list[str], labels: str) -> DataFra
     lab = F.col(labels)
     name = F.coalesce(F.nullif(lab["pattern"], F.lit("")), lab["detected_level"], F.lit("unknown"))
     return df.groupBy(*keys, name.alias("template")).agg(F.count("*").alias("cnt"))
+
+
+def novel_sightings(sightings: DataFrame, expire_s: int = 30 * 86400) -> DataFrame:
+    """pattern_id, first_seen: when a pattern is seen that isn't known, as it is new or was away for longer than expire_s.
+
+    sightings(pattern_id, ts), by whole seconds. Inside a cell as wide as expire_s a pattern can't be away for longer, so each
+    cell is one row, with its first and last sighting, before the rows of a pattern are ordered.
+    """
+    at = F.floor(epoch_us("ts") / F.lit(SECOND)) * F.lit(SECOND)
+    cells = sightings.groupBy("pattern_id", cell("ts", expire_s).alias("_c")).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    away = F.col("lo") - F.lag("hi").over(Window.partitionBy("pattern_id").orderBy("_c"))
+    fresh = cells.select("pattern_id", "lo", away.alias("away")).filter(F.col("away").isNull() | (F.col("away") > expire_s * SECOND))
+    return fresh.select("pattern_id", from_epoch_us(F.col("lo")).alias("first_seen"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
+from opsignal import shipped_rules
 from opsignal.functions.text import pattern_id
-from opsignal.operators import detect, scan, templates
+from opsignal.operators import detect, rules as compiled_rules, scan, templates
 from opsignal.plans.derived import LOGS, RULE_NAME, SIG, logs, signals
 from opsignal.plans.registry import query
 
@@ -61,6 +63,64 @@ def _(t):
     return matches(t).select("event_id", "ns", "rule_id", "rule_title", "rule_level", "mitre", "log_string")
 
 
+RECORDS = """CASE k % 5 WHEN 0 THEN 'windows-security' WHEN 1 THEN 'windows-system' WHEN 2 THEN 'sysmon' WHEN 3 THEN 'hyperv' END AS log_source,
+  CASE k % 5 WHEN 0 THEN CASE user_id % 4 WHEN 0 THEN 4689 WHEN 1 THEN 4719 WHEN 2 THEN 4698 ELSE 4624 END WHEN 1 THEN 7045 - user_id % 2
+    WHEN 3 THEN CASE user_id % 4 WHEN 0 THEN 18590 WHEN 1 THEN 18570 WHEN 2 THEN 21502 ELSE 1 END END AS event_code,
+  CASE WHEN k % 3 = 0 THEN concat('C:', chr(92), 'Defender', chr(92), 'msmpeng.EXE') ELSE concat('C:', chr(92), 'notepad.exe') END AS process,
+  CASE WHEN event_type = 'click' THEN 'HOST1$' ELSE 'alice' END AS subject,
+  CASE event_type WHEN 'error' THEN 'psexesvc-4' WHEN 'view' THEN 'windefend' WHEN 'click' THEN 'node-otelcol' WHEN 'signup' THEN 'updater' END AS service,
+  CASE WHEN user_id % 2 = 0 THEN concat('C:', chr(92), 'wbem', chr(92), 'WmiPrvSE.exe') ELSE concat('C:', chr(92), 'explorer.exe') END AS parent,
+  CASE user_id % 3 WHEN 0 THEN concat('C:', chr(92), 'CMD.exe') WHEN 1 THEN concat('C:', chr(92), 'powershell.exe') ELSE concat('C:', chr(92), 'calc.exe') END AS image,
+  CASE WHEN k % 5 <> 4 THEN '' WHEN event_type = 'error' AND k < 30 THEN 'Terminal shell in container' WHEN event_type = 'error' AND k < 60
+    THEN concat('Redirect STDOUT/STDIN to Network Connection rport=', 4440 + k % 8, ' x') WHEN event_type = 'error' THEN 'setcap cap_net_admin+ep'
+    WHEN event_type = 'view' AND k < 50 THEN 'xmrig --donate-level 1' WHEN event_type = 'view' THEN 'minerd TCPHandler' ELSE 'xmrig' END AS line,
+  CASE event_type WHEN 'error' THEN 'runtime-security' WHEN 'view' THEN 'application' WHEN 'purchase' THEN 'auth' ELSE 'k8s-audit' END AS event_class"""
+
+
+def records(t):
+    """Windows records and log lines: attributes, fields, line, event_class."""
+    fields = {
+        "EventID": F.col("event_code").cast("string"), "ProcessName": F.col("process"), "SubjectUserName": F.col("subject"), "ServiceName": F.col("service"),
+        "ParentProcessName": F.col("parent"), "Image": F.col("image"),
+    }
+    as_map = lambda m: F.map_filter(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return signals(t).select("*", *[F.expr(c) for c in _split_columns(RECORDS)]).select(
+        "event_id", "ns", as_map({"log.source": F.col("log_source")}).alias("attributes"), as_map(fields).alias("fields"), "line", "event_class"
+    )
+
+
+def _split_columns(text: str) -> list[str]:
+    """The columns of a select list, each of which ends in a name after AS."""
+    return [c.strip().removesuffix(",") for c in re.findall(r".+? AS \w+(?:,|$)", text, re.S)]
+
+
+@query(
+    "shipped_rules_match",
+    f"""WITH {SIG}, f AS (SELECT event_id, ns, k, user_id, event_type, {RECORDS} FROM sig)
+        SELECT event_id, ns, r.rule_id, r.rule_level, r.mitre FROM f, (VALUES ('c2-callback', 'high', 'attack.t1071'), ('container-shell', 'high', 'attack.t1059.004'),
+          ('crypto-miner', 'critical', 'attack.t1496'), ('privilege-escalation', 'high', 'attack.t1548.001'), ('windows_defender_disabled', 'high', 'attack.t1562.001'),
+          ('windows_audit_policy_changed', 'high', 'attack.t1562.002'), ('hyperv_vm_unexpected_shutdown', 'high', ''), ('hyperv_migration_failure', 'medium', ''),
+          ('windows_psexec', 'high', 'attack.t1570'), ('windows_wmi_remote', 'medium', 'attack.t1021.006'), ('windows_scheduled_task_creation', 'medium', 'attack.t1053.005'),
+          ('windows_new_service', 'low', 'attack.t1543.003')) r(rule_id, rule_level, mitre)
+        WHERE CASE r.rule_id
+          WHEN 'c2-callback' THEN event_class = 'runtime-security' AND line LIKE '%Redirect STDOUT/STDIN to Network Connection%' AND (line LIKE '%rport=4444 %' OR line LIKE '%rport=4445 %')
+          WHEN 'container-shell' THEN event_class = 'runtime-security' AND line LIKE '%Terminal shell in container%'
+          WHEN 'crypto-miner' THEN event_class IN ('application', 'auth') AND (line LIKE '%xmrig%' OR line LIKE '%minerd%') AND line NOT LIKE '%TCPHandler%'
+          WHEN 'privilege-escalation' THEN event_class = 'runtime-security' AND line LIKE '%setcap%'
+          WHEN 'windows_defender_disabled' THEN log_source = 'windows-security' AND event_code = 4689 AND process ILIKE '%msmpeng.exe'
+          WHEN 'windows_audit_policy_changed' THEN log_source = 'windows-security' AND event_code = 4719
+          WHEN 'hyperv_vm_unexpected_shutdown' THEN log_source = 'hyperv' AND event_code IN (18590, 18570)
+          WHEN 'hyperv_migration_failure' THEN log_source = 'hyperv' AND event_code = 21502
+          WHEN 'windows_psexec' THEN log_source = 'windows-system' AND event_code = 7045 AND service ILIKE '%psexesvc%'
+          WHEN 'windows_wmi_remote' THEN log_source = 'sysmon' AND parent LIKE '%WmiPrvSE.exe' AND (image ILIKE '%cmd.exe' OR image ILIKE '%powershell.exe')
+          WHEN 'windows_scheduled_task_creation' THEN log_source = 'windows-security' AND event_code = 4698 AND NOT subject LIKE '%$'
+          ELSE log_source = 'windows-system' AND event_code = 7045 AND NOT coalesce(service ILIKE '%otelcol%' OR service ILIKE '%windefend%', false) END""",
+)
+def _(t):
+    found = compiled_rules.match_shipped(records(t), shipped_rules.RULES, shipped_rules.LOG_SOURCES, shipped_rules.FIELD_NAMES, ["event_id", "ns"])
+    return found.select("event_id", "ns", "rule_id", "rule_level", "mitre")
+
+
 SELECTIONS = [
     {"id": "shell-or-root", "title": "t", "level": "high", "tags": [],
      "selections": {
@@ -337,3 +397,14 @@ def _(t):
     )
     counts = templates.pattern_label_counts(signals(t).withColumn("labels", labels), ["ns"], "labels")
     return scan.top_k(counts, [F.col("cnt").desc(), F.col("ns"), F.col("template")], 20)
+
+
+@query(
+    "known_patterns",
+    f"""WITH {SIG}, d AS (SELECT DISTINCT concat('p-', user_id % 50) AS pattern_id, date_trunc('second', ts) AS sec FROM sig WHERE event_type = 'error'),
+        g AS (SELECT *, sec - lag(sec) OVER (PARTITION BY pattern_id ORDER BY sec) AS away FROM d)
+        SELECT pattern_id, sec AS first_seen FROM g WHERE away IS NULL OR away > INTERVAL 4 DAY""",
+)
+def _(t):
+    seen = signals(t).filter("event_type = 'error'").select(F.concat(F.lit("p-"), (F.col("user_id") % 50).cast("string")).alias("pattern_id"), "ts")
+    return templates.novel_sightings(seen, 4 * 86400)

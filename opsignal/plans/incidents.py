@@ -16,14 +16,27 @@ ALERT_RULE = """CASE WHEN k < 30 THEN 'Terminal shell in container' WHEN k < 60
 ALERT_SOURCE = "CASE WHEN k % 3 = 0 THEN 'sre' WHEN k % 3 = 1 THEN 'probe' ELSE 'observability' END"
 WINDOW = 3600
 
-ALERTS = f"""{SIG}, alerts AS (SELECT event_id, ns, ts, coalesce({ALERT_RULE}, '') AS rule, concat('Alert', k % 5) AS alertname, {ALERT_SOURCE} AS source
+ENDS = "event_type = 'view' AND k % 10 = 0"
+
+
+def alerts_sql(era: str = "0") -> str:
+    """Alerts taken one by one in their order; era: number that a closing changes, so that what is before isn't open any more."""
+    return f"""{SIG}, alerts AS (SELECT event_id, ns, ts, coalesce({ALERT_RULE}, '') AS rule, concat('Alert', k % 5) AS alertname, {ALERT_SOURCE} AS source
     FROM sig WHERE event_type = 'error'),
-  flagged AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY ns, rule ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM alerts),
-  numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY ns, rule ORDER BY ts) AS s FROM flagged),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY ns, rule, s ORDER BY ts, alertname, source) AS place FROM numbered),
-  sessions AS (SELECT md5(concat(ns, '|', rule, '|', epoch_us(min(ts)))) AS incident_id, ns, rule, min(ts) AS opened_at, max(ts) AS window_end, count(*) AS n_alerts,
-     arg_min(alertname, ts) AS alertname, arg_min(source, ts) AS source,
-     max(CASE WHEN place = 1 THEN 0 WHEN rule <> '' THEN 2 WHEN source IN ('sre', 'observability') THEN 1 ELSE 0 END) AS alert_rank FROM placed GROUP BY ns, rule, s)"""
+  inline AS (SELECT *, {era} AS era, row_number() OVER (PARTITION BY ns ORDER BY ts, event_id) AS i FROM alerts a),
+  fold AS (SELECT ns, i, [{{'opened': ts, 'oid': event_id, 'rule': rule, 'hi': ts, 'era': era}}] AS live, event_id AS oid FROM inline WHERE i = 1
+    UNION ALL SELECT ns, i, list_append(list_filter(alive, lambda x: x.oid <> coalesce(pick.oid, event_id)),
+        {{'opened': coalesce(pick.opened, ts), 'oid': coalesce(pick.oid, event_id), 'rule': coalesce(pick.rule, rule), 'hi': ts, 'era': era}}), coalesce(pick.oid, event_id)
+    FROM (SELECT *, list_reverse_sort(list_filter(alive, lambda x: rule = '' OR x.rule = rule))[1] AS pick
+      FROM (SELECT a.ns, a.i, a.ts, a.event_id, a.rule, a.era, list_filter(f.live, lambda x: a.era = x.era AND a.ts - x.hi < INTERVAL 30 MINUTE) AS alive
+        FROM fold f JOIN inline a ON a.ns = f.ns AND a.i = f.i + 1))),
+  placed AS (SELECT a.*, f.oid, a.event_id = f.oid AS opens FROM inline a JOIN fold f USING (ns, i)),
+  sessions AS (SELECT md5(concat(ns, '|', max(rule) FILTER (opens), '|', epoch_us(min(ts)))) AS incident_id, ns, max(rule) FILTER (opens) AS rule, min(ts) AS opened_at,
+     max(ts) AS window_end, count(*) AS n_alerts, max(alertname) FILTER (opens) AS alertname, max(source) FILTER (opens) AS source, oid,
+     max(CASE WHEN opens THEN 0 WHEN rule <> '' THEN 2 WHEN source IN ('sre', 'observability') THEN 1 ELSE 0 END) AS alert_rank FROM placed GROUP BY ns, oid)"""
+
+
+ALERTS = alerts_sql()
 
 
 def alerts(t):
@@ -48,29 +61,47 @@ def long_signals(t):
     )
 
 
-@query("incident_sessions", f"WITH {ALERTS} SELECT incident_id, ns, rule, opened_at, window_end, n_alerts, alertname, source FROM sessions")
+@query("incident_sessions", f"WITH RECURSIVE {ALERTS} SELECT incident_id, ns, rule, opened_at, window_end, n_alerts, alertname, source FROM sessions")
 def _(t):
     out = inc.incident_sessions(alerts(t)).drop("alert_rank")
     return out
 
 
+CLOSED = alerts_sql(f"(SELECT count(*) FROM sig e WHERE e.ns = a.ns AND e.ts <= a.ts AND {ENDS})")
+
+
+@query(
+    "incident_lifecycle",
+    f"""WITH RECURSIVE {CLOSED}, r AS (SELECT ns, ts AS closed_at FROM sig WHERE {ENDS})
+        SELECT incident_id, s.ns, rule, opened_at, window_end, n_alerts, closed_at, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'resolved' END AS status
+        FROM sessions s ASOF LEFT JOIN r ON r.ns = s.ns AND r.closed_at > s.opened_at""",
+)
+def _(t):
+    out = inc.incident_lifecycle(alerts(t), signals(t).filter(ENDS).select("ns", "ts"))
+    return out.select("incident_id", "ns", "rule", "opened_at", "window_end", "n_alerts", "closed_at", "status")
+
+
 ASSEMBLED = f"""{ALERTS}, longs AS (SELECT ns, ts,
       CASE event_type WHEN 'signup' THEN 'match' WHEN 'click' THEN 'pattern' ELSE 'anomaly' END AS kind,
       CASE event_type WHEN 'signup' THEN concat('rule-', k % 7) WHEN 'click' THEN concat('tmpl-', k % 11) ELSE concat('metric-', k % 5) END AS name,
       CASE event_type WHEN 'purchase' THEN k / 50.0 ELSE 1.0 END AS weight, event_type = 'click' AND k >= 80 AS novel, event_type = 'click' AND k >= 90 AS near
     FROM sig WHERE (event_type = 'signup' AND k < 50) OR event_type = 'click' OR (event_type = 'purchase' AND k >= 60)),
   per AS (SELECT incident_id, kind, name, sum(weight) AS total, max(weight) AS peak, bool_or(novel) AS novel, bool_or(near) AS near
-    FROM sessions s JOIN longs l ON l.ns = s.ns AND l.ts >= opened_at - INTERVAL 1 HOUR AND l.ts < opened_at GROUP BY ALL),
-  agg AS (SELECT incident_id, string_agg(name, ',' ORDER BY name) FILTER (kind = 'match') AS match_ids,
+    FROM sessions s JOIN longs l ON (l.ns = s.ns OR kind = 'anomaly') AND l.ts >= opened_at - INTERVAL 1 HOUR AND l.ts < opened_at GROUP BY ALL),
+  brought AS (SELECT DISTINCT incident_id, name FROM sessions s JOIN placed p ON p.ns = s.ns AND p.oid = s.oid
+    JOIN longs l ON l.ns = p.ns AND kind = 'match' AND l.ts >= p.ts - INTERVAL 1 HOUR AND l.ts < p.ts),
+  ids AS (SELECT incident_id, string_agg(name, ',' ORDER BY name) AS match_ids FROM brought GROUP BY incident_id),
+  agg AS (SELECT incident_id, bool_or(kind = 'match') AS hit,
       string_agg(name, ',' ORDER BY name) FILTER (kind = 'pattern') AS templates, count(*) FILTER (kind = 'anomaly') AS n_anomalies,
       round(max(peak) FILTER (kind = 'anomaly'), 4)::DOUBLE AS top_anomaly,
       coalesce(bool_or(novel) FILTER (kind = 'pattern'), false) AS novel, coalesce(bool_or(novel AND near) FILTER (kind = 'pattern'), false) AS near FROM per GROUP BY incident_id),
-  j AS (SELECT s.*, coalesce(match_ids, '') AS match_ids, coalesce(templates, alertname) AS templates, coalesce(n_anomalies, 0) AS n_anomalies, top_anomaly,
-      coalesce(novel, false) AS novel, coalesce(near, false) AS near FROM sessions s LEFT JOIN agg USING (incident_id)),
-  c AS (SELECT *, CASE WHEN lower(rule) = 'terminal shell in container' THEN 'SOC/known' WHEN match_ids <> '' THEN 'SOC/structured' WHEN near THEN 'MIXED/escalate'
+  j AS (SELECT s.*, coalesce(match_ids, '') AS match_ids, coalesce(hit, false) AS hit, coalesce(templates, alertname) AS templates, coalesce(n_anomalies, 0) AS n_anomalies,
+      top_anomaly, coalesce(novel, false) AS novel, coalesce(near, false) AS near FROM sessions s LEFT JOIN agg USING (incident_id) LEFT JOIN ids USING (incident_id)),
+  c AS (SELECT *, CASE WHEN lower(rule) = 'terminal shell in container' THEN 'SOC/known' WHEN hit THEN 'SOC/structured' WHEN near THEN 'MIXED/escalate'
       WHEN novel AND rule <> '' THEN 'SOC/novel' WHEN novel THEN 'MIXED/novel' WHEN n_anomalies > 0 AND rule = '' THEN 'SRE/structured'
       WHEN rule <> '' THEN 'SOC/structured' WHEN source IN ('sre', 'observability') THEN 'SRE/structured' ELSE 'MIXED/structured' END AS v FROM j),
-  assembled AS (SELECT *, split_part(v, '/', 2) AS route, CASE WHEN v LIKE 'SOC/%' OR alert_rank = 2 THEN 'SOC' WHEN v LIKE 'SRE/%' OR alert_rank = 1 THEN 'SRE' ELSE 'MIXED' END AS domain FROM c)"""
+  assembled AS (SELECT *, split_part(v, '/', 2) AS route, CASE WHEN v LIKE 'SOC/%' OR alert_rank = 2 OR match_ids <> '' THEN 'SOC' WHEN v LIKE 'SRE/%' OR alert_rank = 1 THEN 'SRE'
+      ELSE 'MIXED' END AS domain FROM c)"""
 
 
 def assembled(t):
@@ -79,7 +110,7 @@ def assembled(t):
 
 @query(
     "assemble_incidents",
-    f"WITH {ASSEMBLED} SELECT incident_id, ns, rule, opened_at, window_end, n_alerts, match_ids, templates, n_anomalies, top_anomaly, domain, route FROM assembled",
+    f"WITH RECURSIVE {ASSEMBLED} SELECT incident_id, ns, rule, opened_at, window_end, n_alerts, match_ids, templates, n_anomalies, top_anomaly, domain, route FROM assembled",
 )
 def _(t):
     names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
@@ -92,7 +123,7 @@ def _(t):
 
 @query(
     "incidents_top_by_domain",
-    f"""WITH {ASSEMBLED} SELECT domain, incident_id, ns, route, n_alerts FROM assembled
+    f"""WITH RECURSIVE {ASSEMBLED} SELECT domain, incident_id, ns, route, n_alerts FROM assembled
         QUALIFY row_number() OVER (PARTITION BY domain ORDER BY n_alerts DESC, opened_at DESC, incident_id) <= 10""",
 )
 def _(t):
@@ -135,7 +166,7 @@ def _(t):
 
 @query(
     "close_incidents",
-    f"""WITH {ALERTS}, r AS (SELECT ns, ts AS closed_at FROM sig WHERE event_type = 'view')
+    f"""WITH RECURSIVE {ALERTS}, r AS (SELECT ns, ts AS closed_at FROM sig WHERE event_type = 'view')
         SELECT incident_id, s.ns, opened_at, closed_at, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'resolved' END AS status
         FROM sessions s ASOF LEFT JOIN r ON r.ns = s.ns AND r.closed_at > s.opened_at""",
 )
@@ -184,7 +215,7 @@ def _(t):
 
 @query(
     "clear_streak",
-    f"""WITH {ALERTS}, polls AS (SELECT incident_id, ns, opened_at, p FROM sessions, generate_series(1, 30) g(p)),
+    f"""WITH RECURSIVE {ALERTS}, polls AS (SELECT incident_id, ns, opened_at, p FROM sessions, generate_series(1, 30) g(p)),
         d AS (SELECT incident_id, p, EXISTS (SELECT 1 FROM sig WHERE sig.ns = polls.ns AND ts > opened_at + INTERVAL 1 MINUTE * (p - 1)
                 AND ts <= opened_at + INTERVAL 1 MINUTE * p) AS dirty FROM polls),
         run AS (SELECT incident_id, p, dirty, sum(CASE WHEN dirty THEN 1 ELSE 0 END) OVER (PARTITION BY incident_id ORDER BY p ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS bad FROM d),
