@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from opsignal.llm.common import written
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHORT = 20_000
@@ -52,12 +52,12 @@ class Params:
 
 def base_figures(text: str) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
-    words = WORDS.findall(text)
-    lines = [x for x in text.split("\n") if WORDS.search(x)]
-    return len(words), len("".join(words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at the six ASCII spaces alone
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def repeated_words(words: list[str], size: int = 3) -> int:
+def repeated_words(words: list[bytes], size: int = 3) -> int:
     """Words that lie in a window of `size` words that comes twice or more in the text."""
     if len(words) <= size:
         return 0
@@ -68,7 +68,7 @@ def repeated_words(words: list[str], size: int = 3) -> int:
         times = Counter(windows)
         at = [k for k, w in enumerate(windows) if times[w] > 1]
         return len({i for k in at for i in range(k, k + size)})
-    number: dict[str, int] = {}
+    number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
     at = ids[: len(ids) - size + 1]
     for k in range(1, size):  # windows of k + 1 words, numbered anew so that the numbers stay small
