@@ -13,6 +13,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,15 +81,25 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
     return int(inside.sum())
 
 
+@lru_cache(maxsize=65_536)
+def script_of(char: str) -> str | None:
+    """The script of a letter by its Unicode name's first word; None for other characters."""
+    if not char.isalpha():
+        return None
+    return "LATIN" if char.isascii() else unicodedata.name(char, "UNNAMED").split(" ")[0].split("-")[0]
+
+
 def script(text: str) -> str:
-    """The script of most of the text's letters by their Unicode names' first words; `none` without letters."""
-    if text.isascii():
-        return "LATIN" if re.search("[A-Za-z]", text) else "none"
-    names: Counter[str] = Counter()
+    """The script of most of the text's letters, of equally many the first by name; `none` without letters."""
+    of = {c: script_of(c) for c in set(text)}
+    names = set(of.values()) - {None}
+    if len(names) < 2:
+        return names.pop() if names else "none"
+    totals: Counter[str] = Counter()
     for c, n in Counter(text).items():
-        if c.isalpha():
-            names["LATIN" if c.isascii() else unicodedata.name(c, "UNNAMED").split(" ")[0].split("-")[0]] += n
-    return min(names, key=lambda k: (-names[k], k)) if names else "none"
+        if of[c] is not None:
+            totals[of[c]] += n
+    return min(totals, key=lambda k: (-totals[k], k))
 
 
 def blocks(text: str, p: Params) -> Iterator[str]:
@@ -115,14 +126,17 @@ def entropy(ids: np.ndarray, window: int) -> float:
     """Mean over about equal windows of the tokens' Shannon entropy, each as a share of the most that its length allows."""
     if len(ids) < 2:
         return 0.0
-    parts = max(1, len(ids) // window)
-    which = np.arange(len(ids), dtype=np.int64) * parts // len(ids)
-    size = np.bincount(which)
-    kinds, counts = np.unique(which * (int(ids.max()) + 1) + ids, return_counts=True)
-    of = kinds // (int(ids.max()) + 1)
-    share = counts / size[of]
-    bits = np.bincount(of, weights=-share * np.log2(share), minlength=parts)
-    return float(np.mean(bits / np.log2(np.maximum(size, 2))))
+    n, parts = len(ids), max(1, len(ids) // window)
+    base = int(ids.max()) + 1
+    key = np.sort(np.arange(n, dtype=np.int64) * parts // n * base + ids)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(start, append=n)
+    more = times > 1  # a token that comes once adds nothing
+    times, of = times[more], key[start[more]] // base
+    size = -(-np.arange(1, parts + 1) * n // parts) + (-np.arange(parts) * n // parts)
+    lost = np.bincount(of, weights=times * np.log2(times), minlength=parts)
+    top = np.log2(np.maximum(size, 2))
+    return float(np.mean((np.log2(size) - lost / size) / top))
 
 
 class Vocabularies:
