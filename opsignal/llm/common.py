@@ -49,10 +49,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """docs with an id for rows without doc_id: a hash of the text, so that they are told apart by their texts."""
+    return docs.withColumn("doc_id", _row_id(docs))
+
+
+def _row_id(docs: DataFrame):
+    return F.coalesce(docs["doc_id"], F.xxhash64(F.lit("no id"), F.coalesce(docs["text"], F.lit(""))))
+
+
 def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs, all columns kept, whose doc_id is (left_semi) or isn't (left_anti) in ids.doc_id; null equals null."""
+    """Rows of docs, all columns kept, whose id is (left_semi) or isn't (left_anti) in ids.doc_id, which are ids of named(docs)."""
     other = ids.select(F.col("doc_id").alias("__other_id")).distinct()
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["__other_id"]), how)
+    return docs.join(other, _row_id(docs) == other["__other_id"], how)
+
+
+def by_bytes(batches, most: int = 4 << 20):
+    """The batches in slices of about `most` bytes, of one row at least."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(b.nbytes, 1))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
 
 
 def session_parallelism(spark: SparkSession) -> int:

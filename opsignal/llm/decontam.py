@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from opsignal.llm.common import by_bytes
 from xxhash import xxh64_intdigest
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -271,7 +273,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
 
         def run(batches, sent=sent):
             items = Items(sent.value, params)
-            for b in batches:
+            for b in by_bytes(batches):
                 ids = b.column(0).to_pylist()
                 found = [(ids[n], *f) for n, own in items.search_all(b.column(1).to_pylist()) for f in own]
                 if found:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsignal.llm.common import written
+from opsignal.llm.common import by_bytes, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -167,7 +167,7 @@ def measured(docs: DataFrame, params: Params) -> DataFrame:
 
     def run(batches):
         v = Vocabularies(params)
-        for b in batches:
+        for b in by_bytes(batches):
             rows = []
             for doc, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = text or ""

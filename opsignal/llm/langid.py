@@ -12,8 +12,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsignal.llm.common import by_bytes
+
+SPARE = 4
 UNDECIDED = "und"
-LEAST = 512
+LEAST = 1024
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -46,26 +49,26 @@ def is_held_out(doc_id, mod: int = 5):
 def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Raw-content dictionaries from rows (doc_id, text, lang) with neither text nor lang null.
 
-    For each language the documents with the smallest hashes of doc_id are read, `candidates` at most, and joined until
-    dictionary_bytes are full; documents that alone are larger than a quarter of it come last. The sample is bounded
-    by languages * candidates documents, of each dictionary_bytes at most. Raises for more than `languages` languages.
+    For each language the rows with the smallest hashes of doc_id come first, rows that alone are larger than a quarter of
+    dictionary_bytes last; of them `candidates` at most are read, and none once the rows before it have SPARE times
+    dictionary_bytes, each cut at dictionary_bytes. So the driver gets languages * (SPARE + 1) * dictionary_bytes at most, whatever
+    the ids: rows without or with the same doc_id are rows like others. Raises for more than `languages` languages.
     """
-    rows = labelled.filter("lang is not null and text is not null and text <> ''")
-    size = F.octet_length("text")
-    order = Window.partitionBy("lang").orderBy("late", "rank", "doc_id")
-    ids = (
-        rows.select("doc_id", "lang", (size > params.dictionary_bytes // 4).alias("late"), F.xxhash64("doc_id").alias("rank"))
-        .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= params.candidates)
-        .select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "at")
-    )
-    if ids.select("of").distinct().count() > params.languages:
-        raise ValueError(f"more than {params.languages} languages")
     part = F.substring("text", 1, params.dictionary_bytes)
-    # at most languages * candidates ids go to all tasks; the number of languages has been checked
-    texts = rows.join(F.broadcast(ids), rows["doc_id"].eqNullSafe(ids["id"]) & (rows["lang"] == ids["of"])).select("of", "at", part.alias("part"))
+    rows = labelled.filter("lang is not null and text is not null and text <> ''").select(
+        F.col("lang").alias("of"), (F.octet_length("text") > params.dictionary_bytes // 4).alias("late"), F.xxhash64("doc_id").alias("rank"),
+        F.xxhash64("text").alias("tie"), part.alias("part"),
+    )
+    order = Window.partitionBy("of").orderBy("late", "rank", "tie")
+    first = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= params.candidates)
+    before = F.sum(F.octet_length("part")).over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    texts = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SPARE * params.dictionary_bytes)
+    found = texts.select("of", "at", "part").limit(params.languages * params.candidates + 1).collect()
     parts: dict[str, list[bytes]] = {}
-    for r in sorted(texts.collect()):
+    for r in sorted(found):
         parts.setdefault(r["of"], []).append(plain(r["part"]))
+    if len(parts) > params.languages:
+        raise ValueError(f"more than {params.languages} languages")
     return Model(params, {lang: b"\n".join(p)[: params.dictionary_bytes] for lang, p in sorted(parts.items())})
 
 
@@ -80,8 +83,8 @@ def pieces(text: str, most: int) -> Iterator[str]:
 
 
 def plain(text: str) -> bytes:
-    """What is compressed: the text's distinct words (letters only, in lower case) in the order they come."""
-    return " ".join(dict.fromkeys(OTHER.split(text.lower()))).encode("utf-8", "surrogatepass")
+    """What is compressed: the whole text in lower case, with one space for each run of other characters than letters."""
+    return " ".join(OTHER.split(text.lower())).encode("utf-8", "surrogatepass")
 
 
 class Judge:
@@ -125,7 +128,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         judge = Judge(model)
-        for b in batches:
+        for b in by_bytes(batches):
             found = [judge(t) for t in b.column(1).to_pylist()]
             columns = [b.column(0), *(pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.float64(), pa.bool_()), strict=True))] if found else None
             if columns:
@@ -134,14 +137,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def rejected(model: Model):
-    """Column function text -> whether the text is rejected; leaves the row where it is."""
-    import pandas as pd
+def clear(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns kept, whose text isn't rejected. Rows pass a few megabytes of text at a time."""
+    text = docs.columns.index("text")
 
-    def run(parts):
+    def run(batches):
         judge = Judge(model)
-        for texts in parts:
-            yield pd.Series([judge(t)[2] for t in texts], dtype=bool)
+        for b in by_bytes(batches):
+            keep = pa.array([not judge(t)[2] for t in b.column(text).to_pylist()], pa.bool_())
+            yield b.filter(keep)
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "boolean")
+    return docs.mapInArrow(run, docs.schema)

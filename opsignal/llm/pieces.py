@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from opsignal.llm.common import by_bytes
+
 SPACE = "▁"
 LETTER = re.compile(r"[^\W\d_²³¹¼½¾]")
 UNIT = re.compile(rf"{SPACE}?(?:[^\W\d_²³¹¼½¾]+|(?:(?![^\W\d_²³¹¼½¾])[^{SPACE}\n])+)|\n|{SPACE}")
@@ -78,6 +80,9 @@ class Pieces:
         self.memo: dict[str, bytes] = {}
         self.most = memo
 
+    def forget(self) -> None:
+        self.memo, self.fits = {}, {}
+
     def merged(self, text: str, steps: list | None = None) -> list[str]:
         """The encoding by its definition: merge the best-scored pair, the leftmost of equals, until none is left.
 
@@ -261,17 +266,19 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     model_file: path that exists on every executor. Null and empty texts have no ids and decode to the empty string.
     A text's own U+2581 is a space to the model and decodes as one. Repeated rows are encoded each; other columns are
-    ignored. No rows give no rows. A narrow map: no shuffle; state is one bounded memo per Python process.
+    ignored. No rows give no rows. A narrow map: no shuffle; a task keeps one bounded memo and forgets it at its end.
     """
 
     def run(batches):
         pieces = load(model_file)
-        for b in batches:
+        pieces.forget()  # of an earlier task in this process
+        for b in by_bytes(batches):
             raw = [pieces.encode_bytes(t or "") for t in b.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
             flat = np.frombuffer(b"".join(raw), dtype=np.int32)
             text = [pieces.decode(flat[s:e].tolist()) for s, e in zip(ends, ends[1:], strict=False)]
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+        pieces.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -11,8 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from opsignal.llm import chat, components, decontam, exact, langid, lm, near, pieces, queries, simhash, suffix, toxicity, urls
-from opsignal.llm.common import with_ids
+from opsignal.llm import chat, components, decontam, exact, langid, lm, pieces, queries, simhash, suffix, toxicity, urls
+from opsignal.llm.common import named, with_ids
 
 EDGES = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "a"), (5, "a"), (None, "a"), (6, "one two"), (7, "é ß 漢字 😀 \x00 ▁ </s>"),
@@ -109,69 +109,6 @@ def test_simhash_empty(documents):
     assert simhash.groups(documents([])).count() == 0
 
 
-# --- near copies ---------------------------------------------------------------------------------
-def shingle_set(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
-
-
-def near_groups(texts):
-    sets, parent = [shingle_set(t) for _, t in texts], list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if sets[a] == sets[b] or 10 * both >= 8 * len(sets[a] | sets[b]):
-                parent = [parent[b] if x == parent[a] else x for x in parent]
-    ids = collections.defaultdict(list)
-    for k, (i, _) in enumerate(texts):
-        if i is not None:
-            ids[parent[k]].append(i)
-    return sorted(((i, min(ids[parent[k]], default=None)) for k, (i, _) in enumerate(texts)), key=str)
-
-
-def planted_copies():
-    """Texts with copies at 0.7 to 0.99, a crowd around one text, and a passage that many texts have."""
-    rng = random.Random(14)
-    text = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(3000)) for _ in range(n)]
-    common, out = text(30), []
-    for i in range(40):
-        body = text(rng.randint(20, 300)) + common * (i % 2)
-        out.append(body)
-        for _ in range(i % 3):
-            copy = list(body)
-            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.randint(1, 6) // 200)):
-                copy[at] = "other"
-            out.append(copy)
-    base = text(200)
-    for k in range(30):
-        copy = list(base)
-        copy[rng.randrange(200)] = f"x{k}"
-        for at in rng.sample(range(200), k % 4):
-            copy[at] = f"y{k}"
-        out.append(copy)
-    rng.shuffle(out)
-    return [(k * 7 % 211, " ".join(w)) for k, w in enumerate(out)]
-
-
-@pytest.mark.parametrize("p", [near.Params(), near.Params(crowd=2, stars=1, part_keys=100, cell_bits=8, pairs_at_once=10)])
-def test_near_copies_lose_no_pair(documents, p):
-    texts = planted_copies()
-    assert rows(near.groups(documents(texts), p)) == near_groups(texts)
-
-
-def test_near_copies_edges(edges, documents):
-    assert rows(near.groups(edges)) == near_groups(EDGES)
-    assert near.groups(documents([])).count() == 0
-
-
-def test_pipeline_removes_near_copies_at_point_eight(spark, documents):
-    import corpus_pipeline as cp
-
-    texts = planted_copies()
-    kept = {r["doc_id"] for r in cp.near_copies(spark, documents(texts), "").collect()}
-    assert kept == {i for i, c in near_groups(texts) if i == c}
-
-
 # --- pieces --------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
@@ -351,8 +288,8 @@ def test_language(spark):
     got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(data, "doc_id long, text string, lang string"), model).collect()}
     assert all(got[i]["lang_pred"] == k and 0 <= got[i]["score"] <= 1 and not got[i]["rejected"] for i, _, k in data)
     assert langid.Judge(model)(None) == langid.Judge(model)("12 !") == ("und", 0.0, True)
-    judged = spark.createDataFrame(data, "doc_id long, text string, lang string").filter(langid.rejected(model)(F.col("text")))
-    assert judged.count() == 0
+    judged = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert langid.clear(judged, model).count() == len(data)
 
 
 def test_language_edges(edges, documents):
@@ -481,7 +418,41 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
 
 
-def test_with_ids_treats_null_as_equal(documents):
-    docs = documents([(1, "a"), (None, "b"), (2, "c")])
-    assert {r["text"] for r in with_ids(docs, documents([(None, ""), (2, "")])).collect()} == {"b", "c"}
-    assert {r["text"] for r in with_ids(docs, documents([(None, "")]), "left_anti").collect()} == {"a", "c"}
+def test_rows_without_id_are_told_apart_by_their_texts(documents):
+    docs = documents([(1, "a"), (None, "b"), (None, "c"), (2, "d"), (2, "e")])
+    ids = {r["text"]: r["doc_id"] for r in named(docs).collect()}
+    assert len(set(ids.values())) == 4 and (ids["a"], ids["d"], ids["e"]) == (1, 2, 2)
+    some = named(docs).filter("text in ('b', 'd')")
+    assert {r["text"] for r in with_ids(docs, some).collect()} == {"b", "d", "e"}
+    assert {r["text"] for r in with_ids(docs, some, "left_anti").collect()} == {"a", "c"}
+
+
+def test_pipeline_decides_row_by_row(spark, documents, tmp_path):
+    """Copies, near copies and leaks go, one of each group stays; clean rows without an id stay beside one that leaks."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefg") + str(rng.randrange(900)) for _ in range(n))
+    item, base, clean = text(40), text(400), [text(60) for _ in range(4)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents([(1, clean[0]), (9, clean[0]), (None, clean[1]), (None, clean[2] + " " + item), (4, base), (5, base + " end"), (6, text(20) + " " + item)])
+    kept = cp.exact_copies(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 4, 5, 6, 9]
+    far = {r["doc_id"]: r["fingerprint"] for r in simhash.groups(docs.filter("doc_id in (4, 5)")).collect()}
+    near = bin(int(far[4], 16) ^ int(far[5], 16)).count("1") <= 2
+    kept = cp.near_copies(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {1, None, 4, 6} | (set() if near else {5}) and near
+    kept = cp.benchmark_leaks(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 9]
+
+
+def test_language_fit_is_bounded_and_survives_odd_tables(spark):
+    """Null and repeated ids, columns named like the operator's own."""
+    rows = [(None if i % 2 else 7, f"wort satz {i} und noch ein wort", "de", 1, 2) for i in range(400)] + [(None, "x", "en", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, at int, of int")
+    p = langid.Params(candidates=5, dictionary_bytes=200)
+    model = langid.fit(docs, p)
+    assert set(model.dictionaries) == {"de", "en"} and all(len(d) <= 200 for d in model.dictionaries.values())
+    assert langid.predict(docs, model).count() == 401 and langid.clear(docs, model).columns == docs.columns
+    with pytest.raises(ValueError):
+        langid.fit(docs, langid.Params(languages=1))
