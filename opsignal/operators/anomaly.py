@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
-from opsignal.functions.timecells import DAY, SECOND, epoch_us
+from opsignal.functions.timecells import DAY, HOUR, SECOND, epoch_us
+from opsignal.operators.ranges import regular_grid
 
 
 def hourly_baseline(df: DataFrame, keys: list[str], ts: str, value: Column) -> DataFrame:
@@ -63,29 +64,33 @@ def _flag_large(rows: DataFrame, keys: list[str], c: float, days: int, min_point
     q = F.percentile("diff", F.array(F.lit(0.25), F.lit(0.75))).over(w)
     rows = rows.filter(F.col("diff").isNotNull()).withColumn("_q", q).withColumn("_n", F.count("diff").over(w) - 1)
     fence = F.col("_q")[1] + c * (F.col("_q")[1] - F.col("_q")[0])
-    return rows.filter((F.col("_n") >= min_points) & (F.col("diff") > fence)).withColumn("fence", fence).drop("_q", "_n")
+    return rows.filter((F.col("_n") >= min_points) & (F.col("diff") > fence) & F.col("value").isNotNull()).withColumn("fence", fence).drop("_q", "_n")
 
 
 def level_shift(
     base: DataFrame, keys: list[str], n: int = 24, c: float = fv.LEVEL_SHIFT_FACTOR, days: int = fv.HISTORY_DAYS,
-    min_points: int = fv.MIN_BASELINE_POINTS,
+    min_points: int = fv.MIN_BASELINE_POINTS, least: int | None = None,
 ) -> DataFrame:
-    """Upward shift: median of the last n points over that of the n before, far outside usual differences."""
+    """Upward shift: median of the last n hours over that of the n before, far outside usual differences.
+
+    The hours between a series' first and last stand on a regular grid, those without a value as nulls; a window with fewer than
+    `least` values (all n by default) gives no difference, and an hour without a value isn't flagged.
+    """
     o = Window.partitionBy(*keys).orderBy("hour_bucket")
     now, before = o.rowsBetween(-(n - 1), 0), o.rowsBetween(-(2 * n - 1), -n)
-    full = F.count("value").over(before) == n
-    diff = F.when(full, F.percentile("value", F.lit(0.5)).over(now) - F.percentile("value", F.lit(0.5)).over(before))
-    return _flag_large(base.withColumn("diff", diff), keys, c, days, min_points)
+    enough = (F.count("value").over(now) >= (least or n)) & (F.count("value").over(before) >= (least or n))
+    diff = F.when(enough, F.percentile("value", F.lit(0.5)).over(now) - F.percentile("value", F.lit(0.5)).over(before))
+    return _flag_large(regular_grid(base, keys, "hour_bucket", HOUR, ["value"]).withColumn("diff", diff), keys, c, days, min_points)
 
 
 def persist_anomaly(
     base: DataFrame, keys: list[str], n: int = 1, c: float = fv.PERSIST_FACTOR, days: int = fv.HISTORY_DAYS,
-    min_points: int = fv.MIN_BASELINE_POINTS,
+    min_points: int = fv.MIN_BASELINE_POINTS, least: int | None = None,
 ) -> DataFrame:
-    """Value far above the median of the n points before it."""
+    """Value far above the median of the n hours before it; grid, nulls and least as in level_shift()."""
     before = Window.partitionBy(*keys).orderBy("hour_bucket").rowsBetween(-n, -1)
-    diff = F.when(F.count("value").over(before) == n, F.col("value") - F.percentile("value", F.lit(0.5)).over(before))
-    return _flag_large(base.withColumn("diff", diff), keys, c, days, min_points)
+    diff = F.when(F.count("value").over(before) >= (least or n), F.col("value") - F.percentile("value", F.lit(0.5)).over(before))
+    return _flag_large(regular_grid(base, keys, "hour_bucket", HOUR, ["value"]).withColumn("diff", diff), keys, c, days, min_points)
 
 
 def deviation_ratio(base: DataFrame, keys: list[str]) -> DataFrame:

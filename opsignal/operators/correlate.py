@@ -96,9 +96,20 @@ def confirm_predictions(fired: DataFrame, incidents: DataFrame, keys: list[str],
     return exists_between(fired, incidents, keys, at, opened, 1 / SECOND, within_s, "confirmed")
 
 
-def best_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Accumulated metric pairs: hits and mean |r| per (keys, a, b, lag)."""
-    return pairs.groupBy(*keys, "a", "b", "lag_s").agg(
-        F.count("*").alias("incident_count"), F.avg(F.abs("r")).alias("avg_r")
-    )
+PAIR = ["a", "b", "lag_s"]
+
+
+def merge_hits(stored: DataFrame | None, batch: DataFrame, keys: list[str], incident: str, ts: str) -> DataFrame:
+    """Hits of metric pairs, one per (keys, a, b, lag_s, incident), the latest by ts: stored ones and those of a batch.
+
+    A batch that is merged again, whole or in part, changes nothing. Rows: keys, a, b, lag_s, r, incident, ts.
+    """
+    columns = [*keys, *PAIR, incident, ts, "r"]
+    rows = batch.select(*columns) if stored is None else stored.select(*columns).unionByName(batch.select(*columns))
+    return rows.groupBy(*keys, *PAIR, incident).agg(F.max(F.struct(ts, "r")).alias("_m")).select(*keys, *PAIR, incident, f"_m.{ts}", "_m.r")
+
 
+def best_pairs(pairs: DataFrame, keys: list[str], ts: str | None = None) -> DataFrame:
+    """Accumulated metric pairs: hits and mean |r| per (keys, a, b, lag); with ts also the latest r and when it was seen."""
+    more = [F.max_by("r", F.struct(ts, "r")).alias("latest_r"), F.max(ts).alias("last_seen")] if ts else []
+    return pairs.groupBy(*keys, *PAIR).agg(F.count("*").alias("incident_count"), F.avg(F.abs("r")).alias("avg_r"), *more)

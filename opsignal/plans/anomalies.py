@@ -43,36 +43,51 @@ def _(t):
     return out.select("metric", "hour_bucket", "value", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"))
 
 
+# the same with holes in two hours of some days, single high hours and a higher level from a day on, so that the shipped fences are passed
+HOLES = "NOT (hour(ts) IN (3, 11) AND day(ts) % 9 = 4)"
+SPIKE = "CASE WHEN hour(ts) = 17 AND day(ts) IN (6, 19) THEN 4000 ELSE 0 END + CASE WHEN ts >= TIMESTAMP '2024-01-16 06:00:00' THEN 2500 ELSE 0 END"
+GRID = f"""{SIG}, base AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS metric, date_trunc('hour', ts)::TIMESTAMP AS hour_bucket,
+    CAST(sum(k) + max({SPIKE}) AS DOUBLE) AS value FROM sig WHERE {HOLES} GROUP BY ALL),
+  ends AS (SELECT metric, min(hour_bucket) AS lo, max(hour_bucket) AS hi FROM base GROUP BY metric),
+  hours AS (SELECT metric, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour_bucket FROM ends),
+  grid AS (SELECT metric, hour_bucket, value FROM hours LEFT JOIN base USING (metric, hour_bucket))"""
+
+
+def holed_base(t):
+    rows = signals(t).filter(HOLES).select(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("metric"), "ts", "k", F.expr(SPIKE.replace("TIMESTAMP", "TIMESTAMP_NTZ")).alias("more"))
+    return anomaly.hourly_baseline(rows, ["metric"], "ts", (F.sum("k") + F.max("more")).cast("double"))
+
+
 def _flagged(diff_cte: str, c: float) -> str:
-    return f"""WITH {BASE}, {diff_cte}, w AS (SELECT *, quantile_cont(diff, 0.25) OVER p AS q1, quantile_cont(diff, 0.75) OVER p AS q3, count(*) OVER p - 1 AS n
+    return f"""WITH {GRID}, {diff_cte}, w AS (SELECT *, quantile_cont(diff, 0.25) OVER p AS q1, quantile_cont(diff, 0.75) OVER p AS q3, count(*) OVER p - 1 AS n
           FROM d WHERE diff IS NOT NULL
           WINDOW p AS (PARTITION BY metric ORDER BY hour_bucket RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW))
-        SELECT metric, hour_bucket, round(diff, 4) AS diff, round(q3 + {c} * (q3 - q1), 4) AS fence FROM w WHERE n >= 10 AND diff > q3 + {c} * (q3 - q1)"""
+        SELECT metric, hour_bucket, round(diff, 4) AS diff, round(q3 + {c} * (q3 - q1), 4) AS fence FROM w
+        WHERE n >= 10 AND diff > q3 + {c} * (q3 - q1) AND value IS NOT NULL"""
 
 
 @query(
     "level_shift",
     _flagged(
-        """d AS (SELECT metric, hour_bucket, CASE WHEN count(*) OVER b = 12 THEN quantile_cont(value, 0.5) OVER a - quantile_cont(value, 0.5) OVER b END AS diff
-             FROM base WINDOW a AS (PARTITION BY metric ORDER BY hour_bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW),
-                              b AS (PARTITION BY metric ORDER BY hour_bucket ROWS BETWEEN 23 PRECEDING AND 12 PRECEDING))""",
-        1.0,
+        """d AS (SELECT metric, hour_bucket, value, CASE WHEN count(value) OVER a = 24 AND count(value) OVER b = 24 THEN quantile_cont(value, 0.5) OVER a - quantile_cont(value, 0.5) OVER b END AS diff
+             FROM grid WINDOW a AS (PARTITION BY metric ORDER BY hour_bucket ROWS BETWEEN 23 PRECEDING AND CURRENT ROW),
+                              b AS (PARTITION BY metric ORDER BY hour_bucket ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING))""",
+        6.0,
     ),
 )
 def _(t):
-    # a narrower window and fence than the default, so that this data has hits
-    out = anomaly.level_shift(base(t), ["metric"], n=12, c=1.0)
+    out = anomaly.level_shift(holed_base(t), ["metric"])
     return out.select("metric", "hour_bucket", F.round("diff", 4).alias("diff"), F.round("fence", 4).alias("fence"))
 
 
 @query(
     "persist_anomaly",
     _flagged(
-        """d AS (SELECT metric, hour_bucket, value - lag(value) OVER (PARTITION BY metric ORDER BY hour_bucket) AS diff FROM base)""", 1.5
+        """d AS (SELECT metric, hour_bucket, value, value - lag(value) OVER (PARTITION BY metric ORDER BY hour_bucket) AS diff FROM grid)""", 3.0
     ),
 )
 def _(t):
-    out = anomaly.persist_anomaly(base(t), ["metric"], c=1.5)
+    out = anomaly.persist_anomaly(holed_base(t), ["metric"])
     return out.select("metric", "hour_bucket", F.round("diff", 4).alias("diff"), F.round("fence", 4).alias("fence"))
 
 
@@ -238,11 +253,16 @@ def _(t):
         w AS (SELECT *, c // 24 AS win, c % 24 AS i FROM g),
         s AS (SELECT a.ns, a.win, a.metric AS a, b.metric AS b, a.i - b.i AS lag, count(*) AS n, corr(a.v, b.v) AS r, stddev_pop(a.v) AS sx, stddev_pop(b.v) AS sy
               FROM w a JOIN w b ON a.ns = b.ns AND a.win = b.win AND a.metric < b.metric AND abs(a.i - b.i) <= 10 GROUP BY ALL),
-        p AS (SELECT ns, a, b, CAST(lag * 3600 AS INTEGER) AS lag_s, round(r, 4) AS r FROM s WHERE n >= 4 AND sx >= 1e-9 AND sy >= 1e-9
+        p AS (SELECT ns, win, a, b, CAST(lag * 3600 AS INTEGER) AS lag_s, round(r, 4) AS r FROM s WHERE n >= 4 AND sx >= 1e-9 AND sy >= 1e-9
               QUALIFY row_number() OVER (PARTITION BY ns, win, a, b ORDER BY round(abs(r), 12) DESC, abs(lag), lag) = 1 AND abs(r) >= 0.7)
-        SELECT a, b, lag_s, count(*) AS incident_count, round(avg(abs(r)), 8) AS avg_r FROM p GROUP BY ALL ORDER BY incident_count DESC, a, b, lag_s LIMIT 10""",
+        SELECT a, b, lag_s, count(*) AS incident_count, round(avg(abs(r)), 8) AS avg_r, arg_max(r, (win, r)) AS latest_r,
+          make_timestamp(max(win)::BIGINT * 86400000000) AS last_seen FROM p GROUP BY ALL ORDER BY incident_count DESC, a, b, lag_s LIMIT 10""",
 )
 def _(t):
     pairs = correlate.lagged_pearson(signals(t), ["ns"], "event_type", "ts", "value", 3600, 86400)
-    stored = correlate.best_pairs(pairs, []).withColumn("avg_r", F.round("avg_r", 8))
+    hits = pairs.withColumn("incident", F.concat_ws("|", "ns", "window_start"))
+    early = F.col("window_start") < F.lit("2024-01-20").cast("timestamp_ntz")
+    # two batches, of which the second gives the first once more
+    stored = correlate.merge_hits(correlate.merge_hits(None, hits.filter(early), [], "incident", "window_start"), hits, [], "incident", "window_start")
+    stored = correlate.best_pairs(stored, [], "window_start").withColumn("avg_r", F.round("avg_r", 8))
     return scan.top_k(stored, [F.col("incident_count").desc(), F.col("a"), F.col("b"), F.col("lag_s")], 10)

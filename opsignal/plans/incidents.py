@@ -347,3 +347,28 @@ def _(t):
 )
 def _(t):
     return routing.repeat_suppress(routed(t).filter("NOT muted"), ["receiver", "group_key", "interval_s", "repeat_s"], "ts", "repeat_s", "interval_s")
+
+
+@query(
+    "notifications",
+    f"""WITH RECURSIVE {ROUTED}, fired AS (SELECT DISTINCT concat_ws('|', receiver, group_key, interval_s, repeat_s) AS g, receiver, group_key, wait_s::BIGINT * 1000000 AS wait,
+            interval_s::BIGINT * 1000000 AS interval_us, repeat_s::BIGINT * 1000000 AS repeat_us, concat('fp', event_id % 7) AS fp, epoch_us(ts) AS us FROM routed WHERE NOT muted),
+        gr AS (SELECT g, any_value(receiver) AS receiver, any_value(group_key) AS group_key, any_value(wait) AS wait, any_value(interval_us) AS step, any_value(repeat_us) AS again,
+            list({{'us': us, 'fp': fp}} ORDER BY us) AS alerts, max(us) AS last FROM fired GROUP BY g),
+        mach AS (SELECT g, -1::BIGINT AS prev, alerts[1].us + wait AS flush, NULL::BIGINT AS sent, []::VARCHAR[] AS told, false AS sends, 0 AS n_new, 0 AS n FROM gr f
+          UNION ALL SELECT g, flush, CASE WHEN len(pend) = 0 THEN later + wait ELSE flush + step END, CASE WHEN len(pend) = 0 THEN NULL WHEN due THEN flush ELSE sent END,
+            CASE WHEN len(pend) = 0 THEN [] ELSE list_distinct(list_concat(told, pend)) END, due, len(fresh)::INTEGER, len(pend)::INTEGER
+          FROM (SELECT *, len(pend) > 0 AND (len(fresh) > 0 OR flush - sent >= again) AS due
+            FROM (SELECT *, list_filter(pend, lambda x: NOT list_contains(told, x)) AS fresh
+              FROM (SELECT m.*, f.wait, f.step, f.again, f.last, list_distinct(list_transform(list_filter(f.alerts, lambda x: x.us > m.prev AND x.us <= m.flush), lambda x: x.fp)) AS pend,
+                  list_min(list_transform(list_filter(f.alerts, lambda x: x.us > m.flush), lambda x: x.us)) AS later FROM mach m JOIN gr f USING (g)))) WHERE flush IS NOT NULL)
+        SELECT receiver, group_key, f.step // 1000000 AS interval_s, f.again // 1000000 AS repeat_s, make_timestamp(m.prev) AS sent_at, n_new, n AS n_alerts,
+          CASE WHEN n_new > 0 THEN 'new' ELSE 'repeat' END AS reason FROM mach m JOIN gr f USING (g) WHERE sends""",
+)
+def _(t):
+    rows = routed(t).filter("NOT muted").withColumn("fp", F.concat(F.lit("fp"), (F.col("event_id") % 7).cast("string")))
+    rows = rows.withColumns({c: F.col(c).cast("bigint") for c in ("wait_s", "interval_s", "repeat_s")})
+    # groups that policies with other times name alike are groups of their own
+    timed = rows.withColumns({"interval": F.col("interval_s"), "repeat": F.col("repeat_s")})
+    out = routing.notifications(timed, ["receiver", "group_key", "interval_s", "repeat_s"], "fp", "ts", "wait_s", "interval", "repeat")
+    return out.select("receiver", "group_key", "interval_s", "repeat_s", "sent_at", "n_new", "n_alerts", "reason")

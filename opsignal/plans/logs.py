@@ -11,7 +11,7 @@ from opsignal.functions.text import first_technique_tag, label, message_text, na
 from opsignal.operators import scan, shape
 from opsignal.plans.derived import INC, LOGS, PRIORITY, REW, RULE_NAME, SIG, incidents, logs, rewards, signals
 from opsignal.plans.registry import query
-from opsignal.sources import payloads
+from opsignal.sources import payloads, sinks
 
 
 def sql_list(values) -> str:
@@ -192,6 +192,41 @@ def _(t):
     return payloads.normalize_logs(raw)
 
 
+BROKEN_LINE = """CASE WHEN k % 10 = 0 THEN left(props, 5) WHEN k % 11 = 0 THEN '  ' WHEN k % 13 = 0 THEN NULL WHEN k % 7 = 0 THEN concat('plain line ', k) ELSE props END"""
+
+
+@query(
+    "ingest_quarantine",
+    f"""WITH {SIG}, r AS (SELECT event_id, {BROKEN_LINE} AS raw FROM (SELECT sig.*, props FROM sig JOIN events USING (event_id)))
+        SELECT event_id, raw, CASE WHEN raw IS NULL OR trim(raw) = '' THEN 'empty' ELSE 'json' END AS fault FROM r
+        WHERE raw IS NULL OR trim(raw) = '' OR (ltrim(raw) LIKE '{{%' AND NOT json_valid(raw))""",
+)
+def _(t):
+    rows = signals(t).select("event_id", "k").join(t.events.select("event_id", "props"), "event_id")
+    return payloads.split_logs(rows.select("event_id", F.lit("h").alias("conn_host"), F.expr(BROKEN_LINE).alias("raw")))[1].drop("conn_host")
+
+
+@query(
+    "month_lifecycle",
+    """SELECT o_orderkey, o_orderdate, o_totalprice + CASE WHEN strftime(o_orderdate, '%Y-%m') = '1996-03' THEN 1000 ELSE 0 END AS o_totalprice FROM orders
+       WHERE o_orderdate >= TIMESTAMP '1995-07-01' AND o_orderdate >= TIMESTAMP '1994-01-15' AND o_orderdate < TIMESTAMP '1997-01-10'""",
+)
+def _(t):
+    """Written by month, expired, one month replaced, rows given again, then a span of months read."""
+    path = sinks.work_folder(t.spark)
+    rows = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    ts, sort = "o_orderdate", ["o_orderkey"]
+    sinks.append_monthly(rows, path, ts, sort)
+    # the last whole month before 1995-07-01 is the last that goes
+    sinks.expire_months(t.spark, path, dt.datetime(1995, 7, 1) + dt.timedelta(days=100), 100)
+    march = rows.filter(F.date_format(ts, "yyyy-MM") == "1996-03").withColumn("o_totalprice", F.col("o_totalprice") + 1000)
+    sinks.replace_months(march, path, ts, sort)
+    late = rows.filter(F.date_format(ts, "yyyy-MM").isin("1995-12", "1996-11"))
+    sinks.latest_months(late, path, "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double", ts, ["o_orderkey"], "o_totalprice", sort)
+    schema = "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double"
+    return sinks.read_months(t.spark, path, schema, dt.datetime(1994, 1, 15), dt.datetime(1997, 1, 10), ts).drop("month")
+
+
 # --- 2.2 log shaping ----------------------------------------------------------------------------
 def _duck_message() -> str:
     body = "json_extract_string(j, '$.body')"

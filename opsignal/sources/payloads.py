@@ -81,11 +81,22 @@ def normalize_deploys(payloads: DataFrame, body: str = "body") -> DataFrame:
     return _shaped_deploys(payloads, body).filter(F.col("source").isNotNull()).drop(body)
 
 
+def parsed_logs(raw: DataFrame, line: str = "raw") -> DataFrame:
+    """raw with _json, its line parsed once, and _fault: null, `empty`, or `json` if the line begins as an object but is none."""
+    c = F.col(line)
+    begins = F.ltrim(c).startswith("{")
+    read = raw.withColumn("_json", F.when(begins, F.try_parse_json(c)))
+    return read.withColumn("_fault", F.when(c.isNull() | (F.trim(c) == ""), "empty").when(begins & F.col("_json").isNull(), "json"))
+
+
 def normalize_logs(raw: DataFrame, line: str = "raw", conn_host: str = "conn_host") -> DataFrame:
     """Container, Windows-channel, audit and syslog lines in one schema with a log_source column."""
+    return _normalized(parsed_logs(raw, line).drop("_fault"), raw.columns, line, conn_host)
+
+
+def _normalized(raw: DataFrame, columns: list[str], line: str, conn_host: str) -> DataFrame:
     c = F.col(line)
     is_json = F.ltrim(c).startswith("{")
-    raw, columns = raw.withColumn("_json", F.when(is_json, F.try_parse_json(c))), raw.columns  # parsed once
 
     def get(path: str):
         return F.try_variant_get("_json", path, "string")
@@ -107,3 +118,10 @@ def normalize_logs(raw: DataFrame, line: str = "raw", conn_host: str = "conn_hos
         fold_severity(F.coalesce(get("$.severity"), F.lit("informational"))).alias("level"),
         F.coalesce(get("$.Message"), get("$.log"), F.when(is_json, c), text, c).alias("message"),
     )
+
+
+def split_logs(raw: DataFrame, line: str = "raw", conn_host: str = "conn_host") -> tuple[DataFrame, DataFrame]:
+    """The normalised rows, and the rows that can't be (quarantine): all columns of raw and their fault."""
+    read = parsed_logs(raw, line)
+    good = _normalized(read.filter("_fault IS NULL").drop("_fault"), raw.columns, line, conn_host)
+    return good, read.filter("_fault IS NOT NULL").select(*raw.columns, F.col("_fault").alias("fault"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsignal.sources.payloads import split_logs
 
 
 def timed(df: DataFrame, ts: str, late: str) -> DataFrame:
@@ -59,3 +60,22 @@ def append_batches(path: str):
         df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
     return write
+
+
+def ingest_batches(path: str, line: str = "raw", conn_host: str = "conn_host"):
+    """foreachBatch writer: normalised rows to path/logs, rows that can't be read to path/quarantine.
+
+    Each batch is parsed once and replaces its own folders, so one that is given again after a failure counts once.
+    """
+    root = path.rstrip("/")
+
+    def write(df: DataFrame, batch: int) -> None:
+        kept = df.persist()
+        try:
+            good, bad = split_logs(kept, line, conn_host)
+            good.write.mode("overwrite").parquet(f"{root}/logs/batch={batch}")
+            bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch}")
+        finally:
+            kept.unpersist()
+
+    return write
