@@ -5,8 +5,8 @@ takes four questions, each asked by blocks of documents and answered by hash par
 
 1. Anchors. Of each window of `least` bytes the `gram`-byte string with the smallest hash is its anchor, so equal windows
    have equal anchors. Only anchors that come up more than once go on.
-2. Segments. The windows that have an anchor make up a segment. A segment that a smaller document has too goes. The
-   first document of a segment whose anchor has other segments goes on with it.
+2. Segments. The windows that have an anchor make up a segment. A segment that a smaller document has too (by two
+   hashes of 64 bits that know nothing of each other) goes. The first document of a segment whose anchor has other segments goes on with it.
 3. Windows. Those of these segments whose (shortened) hash comes up once can't be repeated; the rest of each segment is a
    short string.
 4. Suffixes. The strings of a part's anchors are a collection of short documents. Their suffixes are sorted by inserting
@@ -14,12 +14,14 @@ takes four questions, each asked by blocks of documents and answered by hash par
    the common prefixes of neighbours; both are sequential files in the task's temporary folder. Neighbours that share
    `least` bytes are equal windows, and the smallest doc_id among them decides.
 
-An anchor that comes up very often sends its windows one by one instead, dealt by their own hash, so no group grows with a
-hot passage: equal windows and equal segments of a block are one entry.
+An anchor that comes up very often sends its windows one by one instead, dealt by their own hash. Equal windows, segments and
+strings of a block are one entry, with the smallest document that has them, so no group grows with a hot passage. What a block
+has found out in one step (places, bounds, hashes) is written with its questions and read in the next.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import tempfile
 import uuid
@@ -36,16 +38,18 @@ from opsignal.llm.common import session_parallelism, shared_folder, written
 from opsignal.llm.lm import pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK = "block long, ids array<long>, lengths binary, text binary, anchors binary, n_anchors long"
-ASKED = "block long, part int, keys binary, counts binary, base long, least binary"
+ASKED = "block long, part int, keys binary, counts binary, base long, least binary, checks binary, state binary"
 ANSWER = "block long, step int, part int, counts binary, least binary, n long"
-SENT = "block long, part int, strings binary, lengths binary, docs binary"
+SENT = "block long, part int, strings binary, lengths binary, docs binary, state binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
 OUTSIDE = 256  # symbol of places beyond a document's ends
 SHIFT, LENGTH = np.uint32(7), np.uint32(127)  # a suffix as one number: its owner, then its length
 
 _rng = np.random.RandomState(11)
 SYMBOL = _rng.randint(1, 1 << 62, size=257).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SYMBOL_2 = _rng.randint(1, 1 << 62, size=257).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+FACTOR, FACTOR_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+STATE = -1  # the part of rows that hold a block's own state
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ class Params:
     gram: int = 20
     block_bytes: int = 6 << 20
     part_keys: int = 500_000
-    part_strings: int = 20_000
+    part_strings: int = 5_000
     hot: int = 5_000
     chunk: int = 1 << 18
 
@@ -133,12 +137,31 @@ def hashes_at(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(rows), dtype=np.uint64)
+def row_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row of symbols, of other tables and factors."""
+    one, two = np.zeros(len(rows), dtype=np.uint64), np.zeros(len(rows), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(rows.shape[1]):
-            total = total * FACTOR + SYMBOL[rows[:, k]]
-    return _mixed(total)
+            column = rows[:, k]
+            one = one * FACTOR + SYMBOL[column]
+            two = two * FACTOR_2 + SYMBOL_2[column]
+    return _mixed(one), _mixed(two)
+
+
+def frozen(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays as one compressed string, for thawed()."""
+    head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "big") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values()))
+
+
+def thawed(raw: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    at = 4 + int.from_bytes(raw[:4], "big")
+    out = {}
+    for k, kind, n in json.loads(raw[4:at]):
+        out[k] = np.frombuffer(raw, dtype=kind, count=n, offset=at)
+        at += out[k].nbytes
+    return out
 
 
 class _Open:
@@ -168,9 +191,9 @@ def _schema(**kinds) -> pa.Schema:
 
 
 _BLOCK = _schema(block=pa.int64(), ids=pa.list_(pa.int64()), lengths=pa.binary(), text=pa.binary(), anchors=pa.binary(), n_anchors=pa.int64())
-_ASKED = _schema(block=pa.int64(), part=pa.int32(), keys=pa.binary(), counts=pa.binary(), base=pa.int64(), least=pa.binary())
+_ASKED = _schema(block=pa.int64(), part=pa.int32(), keys=pa.binary(), counts=pa.binary(), base=pa.int64(), least=pa.binary(), checks=pa.binary(), state=pa.binary())
 _ANSWER = _schema(block=pa.int64(), step=pa.int32(), part=pa.int32(), counts=pa.binary(), least=pa.binary(), n=pa.int64())
-_SENT = _schema(block=pa.int64(), part=pa.int32(), strings=pa.binary(), lengths=pa.binary(), docs=pa.binary())
+_SENT = _schema(block=pa.int64(), part=pa.int32(), strings=pa.binary(), lengths=pa.binary(), docs=pa.binary(), state=pa.binary())
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _RESULT = _schema(doc_id=pa.int64(), n_bytes=pa.int64(), spans=_SPANS, kept=pa.binary())
 
@@ -206,32 +229,48 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 class Block:
     """A block and what is known of its anchors so far."""
 
-    def __init__(self, row: dict, p: Params):
+    def __init__(self, row: dict, p: Params, state: bytes | None = None):
         self.p, self.id = p, row["block"]
         self.ids = row["ids"]
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), dtype=np.uint8)
         self.lengths = unpack(row["lengths"]).astype(np.int64)
         self.ends = np.cumsum(self.lengths)
         self.begins = self.ends - self.lengths
+        if state is not None:
+            self.__dict__.update(thawed(state))
+            return
         self.at = unpack_sorted(row["anchors"]).astype(np.int64)
         self.of = np.searchsorted(self.ends, self.at, side="right")
         ids = np.array([i if i is not None else 0 for i in self.ids], dtype=np.int64)
         self.doc = ids[self.of] if len(self.at) else np.zeros(0, dtype=np.int64)
         self.keys = hashes_at(self.text, self.at, p.gram)
 
-    def ask(self, keys: np.ndarray, docs: np.ndarray, parts: int) -> Iterator[dict]:
-        """One row for each part: distinct keys, how often each comes up, its smallest document."""
+    def state(self, *names: str) -> bytes:
+        return frozen({n: getattr(self, n) for n in names})
+
+    def state_row(self, *names: str) -> dict:
+        return {"block": self.id, "part": STATE, "base": 0, "state": self.state(*names)}
+
+    def ask(self, keys: np.ndarray, docs: np.ndarray, parts: int, checks: np.ndarray | None = None) -> Iterator[dict]:
+        """One row for each part: distinct keys (and checks), how often each comes up, its smallest document."""
         if not len(keys):
             return
-        order = np.lexsort((docs, keys))
+        order = np.lexsort((docs, keys) if checks is None else (docs, checks, keys))
         keys, docs = keys[order], docs[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        if checks is not None:
+            checks = checks[order]
+            new[1:] |= checks[1:] != checks[:-1]
+        first = np.flatnonzero(new)
         counts, known, low, base = np.diff(first, append=len(keys)), keys[first], docs[first], int(docs.min())
         cuts = np.searchsorted(_part(known, parts), np.arange(parts + 1))
         for k in range(parts):
             s = slice(cuts[k], cuts[k + 1])
             if cuts[k] < cuts[k + 1]:
-                yield {"block": self.id, "part": k, "keys": pack_sorted(known[s]), "counts": pack(counts[s]), "base": base, "least": pack(low[s] - base)}
+                yield {
+                    "block": self.id, "part": k, "keys": pack_sorted(known[s]), "counts": pack(counts[s]), "base": base, "least": pack(low[s] - base),
+                    "checks": None if checks is None else checks[first][s].tobytes(),
+                }
 
     def learn_anchors(self, rows: list[dict]) -> None:
         """Keeps the anchors that come up more than once, with their segments' hashes."""
@@ -240,12 +279,13 @@ class Block:
         shared = counts > 1
         self.at, self.of, self.doc, self.keys, self.count = self.at[shared], self.of[shared], self.doc[shared], self.keys[shared], counts[shared]
         p, n = self.p, len(self.at)
-        self.first, self.last, self.segment_keys = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.uint64)
+        self.first, self.last = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        self.segment_keys, self.segment_checks = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.uint64)
         for s, base, part in stretches(self.text, self.at, p.span, p.least + p.span, 1 << 18):
             self._segments(s, base, part)
 
     def _segments(self, s: slice, base: int, part: np.ndarray) -> None:
-        """First and last window of each anchor in a stretch of text, and a hash of the bytes from one to the other."""
+        """First and last window of each anchor in a stretch of text, and two hashes of the bytes from one to the other."""
         p, at, begin, end = self.p, self.at[s], self.begins[self.of[s]], self.ends[self.of[s]]
         grams, wide = rolled(SYMBOL[part], p.gram), p.span - 1
         places = at[:, None] + np.arange(-wide, p.span)
@@ -258,15 +298,18 @@ class Block:
         last = np.minimum(np.minimum(at, at + right - wide), end - p.least)
         places = at[:, None] + np.arange(-wide, p.least)
         inside = (places >= first[:, None]) & (places < last[:, None] + p.least)
-        content = row_hash(np.where(inside, part[np.clip(places - base, 0, len(part) - 1)], OUTSIDE))
+        content, self.segment_checks[s] = row_hashes(np.where(inside, part[np.clip(places - base, 0, len(part) - 1)], OUTSIDE))
         self.first[s], self.last[s] = first, last
         with np.errstate(over="ignore"):
             self.segment_keys[s] = _mixed(self.keys[s] * FACTOR + content)
 
     def learn_segments(self, rows: list[dict]) -> None:
         """Which shared anchors' segments go, and the windows of those that go on: anchor and first byte of each."""
-        known, which = np.unique(self.segment_keys, return_inverse=True)
-        if len(known):
+        order = np.lexsort((self.segment_checks, self.segment_keys))
+        keys, checks = self.segment_keys[order], self.segment_checks[order]
+        which = np.empty(len(order), dtype=np.int64)
+        if len(order):
+            which[order] = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
             self.segment_count, low = _joined(rows, "counts")[which], _joined(rows, "least")[which].astype(np.int64)
         else:
             self.segment_count, low = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -281,17 +324,17 @@ class Block:
 
     def ask_windows(self, parts: int, bits: int) -> Iterator[dict]:
         """One row for each part: distinct hashes, shortened to their first bits, and how often each comes up."""
-        known, counts = np.unique(self.window_keys >> np.uint64(64 - bits), return_counts=True)
+        known, which, counts = np.unique(self.window_keys >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        self.which = which.astype(np.int32)
         cuts = np.searchsorted(_part(known << np.uint64(64 - bits), parts), np.arange(parts + 1))
         for k in range(parts):
             s = slice(cuts[k], cuts[k + 1])
             if cuts[k] < cuts[k + 1]:
                 yield {"block": self.id, "part": k, "keys": pack_sorted(known[s]), "counts": pack(np.minimum(counts[s], 2)), "base": 0, "least": None}
 
-    def learn_windows(self, rows: list[dict], bits: int) -> None:
+    def learn_windows(self, rows: list[dict]) -> None:
         """Keeps the windows that may be repeated."""
-        known, which = np.unique(self.window_keys >> np.uint64(64 - bits), return_inverse=True)
-        often = _joined(rows, "counts")[which] > 1 if len(known) else np.zeros(0, dtype=bool)
+        often = _joined(rows, "counts")[self.which] > 1 if len(self.which) else np.zeros(0, dtype=bool)
         self.anchor, self.window, self.window_keys = self.anchor[often], self.window[often], self.window_keys[often]
 
     def outgoing(self, parts: int) -> tuple[np.ndarray, ...]:
@@ -313,22 +356,38 @@ class Block:
         return part[order], start[order], size[order], doc[order]
 
     def send(self, parts: int) -> Iterator[dict]:
+        """One row for each part: its distinct strings, each with its smallest document."""
         part, start, size, doc = self.outgoing(parts)
         raw = self.text.tobytes()
         cuts = np.searchsorted(part, np.arange(parts + 1))
+        # of each string the number of its distinct one, and whether a smaller document of this block has it
+        self.start, self.size, self.string, self.later = start, size, np.empty(len(start), dtype=np.int32), np.zeros(len(start), dtype=bool)
+        base = 0
         for k in np.unique(part).tolist():
             s = slice(cuts[k], cuts[k + 1])
-            strings = b"".join([raw[a : a + n] for a, n in zip(start[s].tolist(), size[s].tolist(), strict=True)])
-            yield {"block": self.id, "part": k, "strings": zstandard.ZstdCompressor(level=3).compress(strings), "lengths": pack(size[s]), "docs": pack(doc[s].view(np.uint64))}
-
-    def result(self, masks: np.ndarray, parts: int) -> pa.Table:
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(start[s].tolist(), size[s].tolist(), strict=True)], dtype=np.int64)
+            low = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(low, which, doc[s])
+            self.string[s], self.later[s] = base + which, doc[s] > low[which]
+            base += len(number)
+            strings = list(number)
+            yield {
+                "block": self.id, "part": k, "strings": zstandard.ZstdCompressor(level=3).compress(b"".join(strings)),
+                "lengths": pack(np.array([len(x) for x in strings], dtype=np.int64)), "docs": pack(low.view(np.uint64)),
+            }
+        self.gone_first, self.gone_last = self.first[self.gone], self.last[self.gone]
+        yield {"block": self.id, "part": STATE, "state": self.state("gone_first", "gone_last", "start", "size", "string", "later")}
+
+    def result(self, masks: np.ndarray) -> pa.Table:
         p, change = self.p, np.zeros(len(self.text) + 1, dtype=np.int32)
-        np.add.at(change, self.first[self.gone], 1)
-        np.add.at(change, self.last[self.gone] + p.least, -1)
+        np.add.at(change, self.gone_first, 1)
+        np.add.at(change, self.gone_last + p.least, -1)
         if len(masks):
-            _, start, _, _ = self.outgoing(parts)
+            own = masks[self.string]
+            own[self.later] = (np.uint64(1) << (self.size[self.later] - p.least + 1).astype(np.uint64)) - np.uint64(1)
             for k in range(p.span):
-                hit = start[(masks >> np.uint64(k)) & np.uint64(1) == 1] + k
+                hit = self.start[(own >> np.uint64(k)) & np.uint64(1) == 1] + k
                 np.add.at(change, hit, 1)
                 np.add.at(change, hit + p.least, -1)
         removed = np.cumsum(change[:-1]) > 0
@@ -360,8 +419,15 @@ def answer(asked: DataFrame, step: int) -> DataFrame:
         rows = t.to_pylist()
         keys = [unpack_sorted(r["keys"]) for r in rows]
         whole = np.concatenate(keys)
-        order = np.argsort(whole, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
+        new = np.ones(len(whole), dtype=bool)
+        if rows[0]["checks"] is not None:
+            checks = np.concatenate([np.frombuffer(r["checks"], dtype=np.uint64) for r in rows])
+            order = np.lexsort((checks, whole))
+            new[1:] = (whole[order][1:] != whole[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+        else:
+            order = np.argsort(whole, kind="stable")
+            new[1:] = whole[order][1:] != whole[order][:-1]
+        first = np.flatnonzero(new)
         which = np.empty(len(whole), dtype=np.int64)
         which[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(whole)))
         counts = np.concatenate([unpack(r["counts"]) for r in rows])[order]
@@ -568,37 +634,57 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
     windows = max(1, math.ceil(shared * p.span / p.part_keys / 2))
     bits = min(64, max(16, (shared * p.span).bit_length() + 6))
 
-    def told(block: pa.Table, answers: pa.Table, last: int) -> Iterator[tuple[Block, list[dict]]]:
-        """Blocks that know the answers up to one, and the rows of the next."""
+    def told(block: pa.Table, answers: pa.Table) -> Iterator[tuple[dict, list[dict], bytes | None]]:
+        """A block's row, what was answered to it last, and its state."""
         rows = answers.to_pylist()
+        state = next((r["counts"] for r in rows if r["part"] == STATE), None)
         for row in block.to_pylist():
-            own, got = Block(row, p), {k: [r for r in rows if r["step"] == k] for k in range(1, 5)}
-            own.learn_anchors(got[1])
-            if last > 1:
-                own.learn_segments(got[2])
-            if last > 2:
-                own.learn_windows(got[3], bits)
-            yield own, got.get(last + 1, [])
+            yield row, [r for r in rows if r["part"] != STATE], state
 
     def ask_segments(block: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([r for own, _ in told(block, answers, 1) for r in own.ask(own.segment_keys, own.doc, some)], schema=_ASKED)
+        out = []
+        for row, got, _ in told(block, answers):
+            own = Block(row, p)
+            own.learn_anchors(got)
+            out += [*own.ask(own.segment_keys, own.doc, some, own.segment_checks), own.state_row("doc", "keys", "count", "first", "last", "segment_keys", "segment_checks")]
+        return pa.Table.from_pylist(out, schema=_ASKED)
 
     def ask_windows(block: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([r for own, _ in told(block, answers, 2) for r in own.ask_windows(windows, bits)], schema=_ASKED)
+        out = []
+        for row, got, state in told(block, answers):
+            own = Block(row, p, state)
+            own.learn_segments(got)
+            out += [*own.ask_windows(windows, bits), own.state_row("doc", "keys", "count", "first", "last", "gone", "anchor", "window", "window_keys", "which")]
+        return pa.Table.from_pylist(out, schema=_ASKED)
 
     def with_blocks(answers: DataFrame, what, schema: str) -> DataFrame:
         return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(what, schema)
 
-    known = first.unionByName(written(answer(with_blocks(first, ask_segments, ASKED), 2), "segments"))
-    known = known.unionByName(written(answer(with_blocks(known, ask_windows, ASKED), 3), "windows"))
+    def states(asked: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("binary").alias("least")
+        return asked.filter(F.col("part") == STATE).select("block", F.lit(0).alias("step"), "part", F.col("state").alias("counts"), none, F.lit(0).cast("bigint").alias("n"))
+
+    def answered(asked: DataFrame, step: int, label: str) -> DataFrame:
+        return written(answer(asked.filter(F.col("part") != STATE), step), label).unionByName(states(asked))
+
+    asked = written(with_blocks(first, ask_segments, ASKED), "segment_questions")
+    asked = written(with_blocks(answered(asked, 2, "segments"), ask_windows, ASKED), "window_questions")
     many = max(1, math.ceil(shared / 3 / p.part_strings))
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([r for own, _ in told(block, answers, 3) for r in own.send(many)], schema=_SENT)
+        out = []
+        for row, got, state in told(block, answers):
+            own = Block(row, p, state)
+            own.learn_windows(got)
+            out += own.send(many)
+        return pa.Table.from_pylist(out, schema=_SENT)
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [own.result(_joined(got, "counts") if got else np.zeros(0, dtype=np.uint64), many) for own, got in told(block, answers, 3)]
+        out = []
+        for row, got, state in told(block, answers):
+            out.append(Block(row, p, state).result(_joined(got, "counts") if got else np.zeros(0, dtype=np.uint64)))
         return pa.concat_tables(out) if out else pa.Table.from_pylist([], schema=_RESULT)
 
-    masks = written(compare(with_blocks(known, send, SENT), p), "suffixes")
-    return with_blocks(known.unionByName(masks), finish, RESULT)
+    sent = written(with_blocks(answered(asked, 3, "windows"), send, SENT), "strings")
+    masks = written(compare(sent.filter(F.col("part") != STATE), p), "suffixes")
+    return with_blocks(masks.unionByName(states(sent)), finish, RESULT)
