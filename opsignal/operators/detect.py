@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opsignal import fixed_values as fv
 from opsignal.functions.text import all_of, any_of, event_hash, first_technique_tag
 from opsignal.functions.timecells import cell, cell_time, timespan_seconds
+from opsignal.operators.ranges import range_sums, step_reduce
 
 
 # --- rules -> columns ----------------------------------------------------------------------------
@@ -74,6 +75,27 @@ def match_rules(df: DataFrame, rules: list[dict], keep: list[str]) -> DataFrame:
     return found.withColumn("mitre", first_technique_tag("rule_tags"))
 
 
+def count_alerts(logs: DataFrame, alerts: list[tuple], labels: str, line: str, ts: str, step_s: int = 60) -> DataFrame:
+    """alert, by (map of the labels counted by), t, n: the alerts whose count over their trailing range is passed at a step that saw a line.
+
+    alerts: as fixed_values.COUNT_ALERTS. All are looked for in one scan; what they find is counted per alert, labels and step
+    before anything is ordered, and every range is a difference of running counts. A label that a line lacks is empty.
+    """
+    lab = lambda n: F.coalesce(F.try_element_at(F.col(labels), F.lit(n)), F.lit(""))
+    hits = []
+    for name, wanted, unwanted, needles, by, _, _ in alerts:
+        where = all_of([*(lab(n).isin(v) for n, v in wanted.items()), *(~lab(n).startswith(v) for n, v in unwanted.items()), *(F.col(line).contains(x) for x in needles)])
+        key = F.to_json(F.struct(*[lab(n).alias(n) for n in by])) if by else F.lit("{}")
+        hits.append(F.when(where, F.struct(F.lit(name).alias("alert"), key.alias("by"))))
+    found = logs.select(ts, F.explode(F.array_compact(F.array(*hits))).alias("_h")).select(ts, "_h.*")
+    steps = step_reduce(found, ["alert", "by"], ts, step_s, [F.count("*").alias("n")])
+    ranges = F.create_map(*[F.lit(x) for a in alerts for x in (a[0], a[5])])
+    limits = F.create_map(*[F.lit(x) for a in alerts for x in (a[0], a[6])])
+    sums = range_sums(steps, ["alert", "by"], ["n"], sorted({a[5] for a in alerts}), step_s)
+    passed = sums.filter((F.col("win") == ranges[F.col("alert")]) & (F.col("n") > limits[F.col("alert")]))
+    return passed.select("alert", F.from_json("by", "map<string,string>").alias("by"), cell_time("step", step_s).alias("t"), "n")
+
+
 def sql_rule(spark: SparkSession, text: str, logs: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     """A rule given as SQL over {logs} with the named parameters :start_ns and :end_ns."""
     return spark.sql(text, args={"start_ns": start_ns, "end_ns": end_ns}, logs=logs)

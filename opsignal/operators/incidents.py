@@ -383,12 +383,15 @@ def breaker_open(failures: DataFrame, keys: list[str], ts: str, unique: str, mor
 
 # --- decision ------------------------------------------------------------------------------------
 def select_rule(
-    incidents: DataFrame, deploys: DataFrame, runbooks: DataFrame, rates: DataFrame, recent_s: int = 1800
+    incidents: DataFrame, deploys: DataFrame, runbooks: DataFrame, rates: DataFrame, recent_s: int = 1800,
+    pods: DataFrame | None = None, events: DataFrame | None = None,
 ) -> DataFrame:
     """Which response rule fits an incident; a decision only, nothing is executed.
 
     incidents(incident_id, ns, domain, opened_at, rules, templates, replicas), deploys(ns, deployed_at),
-    runbooks(domain, template, created_at), rates(rule_name, rate).
+    runbooks(domain, template, created_at), rates(rule_name, rate), pods(ns, pod, reason, seen_at): waiting containers, events(ns, reason,
+    message, seen_at). In a crash loop a sentinel pod that waits in one, or else an event of a failing probe, of the last recent_s
+    seconds chooses the rule.
     """
     t, r = F.col("templates"), F.col("rules")
 
@@ -396,12 +399,18 @@ def select_rule(
         return F.exists(t, lambda x: any_of([(F.lower(x) if lower else x).contains(n) for n in needles]))
 
     rows = exists_between(incidents, deploys, ["ns"], "opened_at", "deployed_at", -recent_s, 0, "_deployed")
+    no_pods = incidents.select("ns", F.col("opened_at").alias("seen_at")).limit(0)
+    waiting = no_pods if pods is None else pods.filter((F.col("reason") == "CrashLoopBackOff") & F.lower("pod").contains("sentinel")).select("ns", "seen_at")
+    told = F.col("reason").isin(fv.PROBE_EVENT_REASONS) & any_of([F.lower("message").contains(m) for m in fv.PROBE_EVENT_MESSAGES])
+    probes = no_pods if events is None else events.filter(told).select("ns", "seen_at")
+    rows = exists_between(rows, waiting, ["ns"], "opened_at", "seen_at", -recent_s, 0, "_sentinel")
+    rows = exists_between(rows, probes, ["ns"], "opened_at", "seen_at", -recent_s, 0, "_probe")
     after_deploy = text("CrashLoop", "ImagePullBackOff", "OOMKill") | text("probe", lower=True)
     chosen = (
         F.when(after_deploy & F.col("_deployed"), "flux_rollback")
         .when(F.exists(r, lambda x: F.lower(x).contains("probe") | F.lower(x).contains("timeout")), "probe_timeout")
         .when(text("OOMKill"), F.when(F.col("replicas") <= 1, "upsize").otherwise("oom_killed"))
-        .when(text("CrashLoop"), "crashloop_config")
+        .when(text("CrashLoop"), F.when(F.col("_sentinel"), "redis_sentinel_heal").when(F.col("_probe"), "probe_timeout").otherwise("crashloop_config"))
         .when(text("ImagePullBackOff"), "image_pull_backoff")
         .when(text("probe", "timeout", lower=True), "probe_timeout")
         .when(

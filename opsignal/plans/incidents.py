@@ -270,10 +270,12 @@ TEMPLATE = """CASE k % 9 WHEN 0 THEN 'CrashLoopBackOff restarting' WHEN 1 THEN '
             CASE WHEN k % 13 = 0 THEN 'Liveness Probe' ELSE 'x' END AS rule FROM sig WHERE event_type = 'error'),
         d AS (SELECT ns, ts AS deployed_at FROM sig WHERE event_type = 'purchase' AND k < 70),
         b AS (SELECT CASE WHEN k < 50 THEN 'SOC' ELSE 'SRE' END AS domain, {TEMPLATE} AS template, min(ts) AS since FROM sig WHERE event_type = 'signup' AND k % 9 IN (2, 7) GROUP BY ALL),
-        e AS (SELECT i.*, EXISTS (SELECT 1 FROM d WHERE d.ns = i.ns AND d.deployed_at <= i.opened_at AND d.deployed_at >= i.opened_at - INTERVAL 30 MINUTE) AS recent, since
+        e AS (SELECT i.*, EXISTS (SELECT 1 FROM d WHERE d.ns = i.ns AND d.deployed_at <= i.opened_at AND d.deployed_at >= i.opened_at - INTERVAL 30 MINUTE) AS recent, since,
+              EXISTS (SELECT 1 FROM sig x WHERE x.event_type = 'view' AND x.k < 20 AND x.ns = i.ns AND x.ts < i.opened_at AND x.ts >= i.opened_at - INTERVAL 30 MINUTE) AS sentinel,
+              EXISTS (SELECT 1 FROM sig x WHERE x.event_type = 'click' AND x.k < 40 AND x.ns = i.ns AND x.ts < i.opened_at AND x.ts >= i.opened_at - INTERVAL 30 MINUTE) AS probe
               FROM i LEFT JOIN b ON b.domain = i.domain AND b.template = i.template),
         c AS (SELECT *, CASE WHEN k % 9 IN (0, 1, 2, 3) AND recent THEN 'flux_rollback' WHEN rule = 'Liveness Probe' THEN 'probe_timeout'
-            WHEN k % 9 = 1 THEN CASE WHEN k % 2 = 1 THEN 'upsize' ELSE 'oom_killed' END WHEN k % 9 = 0 THEN 'crashloop_config' WHEN k % 9 = 2 THEN 'image_pull_backoff'
+            WHEN k % 9 = 1 THEN CASE WHEN k % 2 = 1 THEN 'upsize' ELSE 'oom_killed' END WHEN k % 9 = 0 THEN CASE WHEN sentinel THEN 'redis_sentinel_heal' WHEN probe THEN 'probe_timeout' ELSE 'crashloop_config' END WHEN k % 9 = 2 THEN 'image_pull_backoff'
             WHEN k % 9 IN (3, 7) THEN 'probe_timeout' WHEN k % 9 IN (4, 6) THEN 'cnpg_failover' WHEN k % 9 = 5 THEN 'redis_sentinel_heal' END AS r FROM e),
         l AS (SELECT *, CASE WHEN r IS NOT NULL AND since <= opened_at THEN 'postmortem_learned' ELSE r END AS r2 FROM c)
         SELECT incident_id, ns, CASE WHEN r2 = 'cnpg_failover' THEN 'k8s_self_heal' ELSE r2 END AS selected_rule FROM l""",
@@ -291,7 +293,10 @@ def _(t):
     outcome = F.when(k % 9 == 4, "escalated").otherwise("resolved").alias("outcome")
     rule = F.when(k % 9 == 4, "cnpg_failover").otherwise("upsize").alias("rule_name")
     rates = learn.success_rate(s.select(rule, outcome))
-    return inc.select_rule(opened, deploys, runbooks, rates).select("incident_id", "ns", "selected_rule")
+    pods = s.filter("event_type = 'view'").select("ns", F.when(k < 20, "cache-Sentinel-0").otherwise("web-1").alias("pod"), F.lit("CrashLoopBackOff").alias("reason"), F.col("ts").alias("seen_at"))
+    failing = F.when(k < 40, "Readiness probe failed: 500").otherwise("Started container").alias("message")
+    events = s.filter("event_type = 'click'").select("ns", F.lit("Unhealthy").alias("reason"), failing, F.col("ts").alias("seen_at"))
+    return inc.select_rule(opened, deploys, runbooks, rates, pods=pods, events=events).select("incident_id", "ns", "selected_rule")
 
 
 # --- routing -------------------------------------------------------------------------------------

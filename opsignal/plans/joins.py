@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsignal.functions.text import pattern_id
 from opsignal.operators import joins, scan
 from opsignal.plans.derived import INC, LOGS, REW, SIG, incidents, logs, rewards, signals
 from opsignal.plans.registry import query
@@ -31,11 +30,8 @@ def _(t):
     rows = logs(t).filter(F.col("line") != "").groupBy(
         "ns", F.regexp_replace("line", "[0-9]+", "<*>").alias("template"), F.to_date("ts").alias("day")
     ).agg(F.count("*").alias("n"))
-    ids = rows.withColumn("id", pattern_id("ns", "template"))
-    # known on a day = seen on any earlier day
-    first = ids.groupBy("id").agg(F.min("day").alias("first_day"))
-    known = ids.join(first, "id").filter(F.col("day") > F.col("first_day")).select("id", "day")
-    return ids.join(known, ["id", "day"], "left_anti").select("ns", "template", "n")
+    # novel on its first day; the ids of patterns known before are those of the days after it
+    return rows.groupBy("ns", "template").agg(F.min_by("n", "day").alias("n"))
 
 
 @query(
