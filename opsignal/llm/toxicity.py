@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+
+from opsignal.llm.common import by_bytes, written
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -24,7 +24,8 @@ class Params:
     """sample: most labelled documents that the fit reads; least: documents of the sample that a feature must be in;
     tied: least likelihood ratio (G) of a feature; beginnings: lengths of the word beginnings; shrink: the absolute-value
     penalty; rounds and step: of the descent; split: with two grades only, whether the upper one is split in two at the
-    median of its scores, so that severity has a scale."""
+    median of its scores, so that severity has a scale that no label has; features: most features with a weight, those
+    that are tied most; longest: characters of the longest feature that may have a weight."""
 
     sample: int = 10_000
     least: int = 5
@@ -33,7 +34,9 @@ class Params:
     shrink: float = 1e-5
     rounds: int = 600
     step: float = 0.5
-    split: bool = True
+    split: bool = False
+    features: int = 4096
+    longest: int = 64
 
 
 @dataclass(frozen=True)
@@ -46,11 +49,6 @@ class Model:
     grades: tuple[int, ...]
 
 
-def _hash(feature: str) -> int:
-    h = xxh64_intdigest(feature, seed=0)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def features(text: str | None, p: Params = Params()) -> set[str]:
     """Distinct words (letters only, in lower case) of a whole text, beginnings of longer ones, and the text's length class."""
     words = set(WORD.findall((text or "").lower()))
@@ -60,29 +58,42 @@ def features(text: str | None, p: Params = Params()) -> set[str]:
 
 
 def _sample(docs: DataFrame, grades: DataFrame, p: Params) -> DataFrame:
+    """grade, text of the graded ids with the smallest hashes, one row an id: of rows that repeat it, the shortest text."""
     ids = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample).select(F.col("doc_id").alias("id"), "grade")
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("grade", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # p.sample rows at most
+    order = F.struct(F.octet_length("text"), F.xxhash64("text"))
+    return written(found.groupBy("id", "grade").agg(F.min_by("text", order).alias("text")).select("grade", "text"), "sample")
 
 
-def _hashed(sample: DataFrame, p: Params) -> pa.Table:
+def _tied_features(sample: DataFrame, lowest: int, n: int, n_upper: int, p: Params) -> list[str]:
+    """Features that enough of the sample has and that tell the grades apart (G of their two-by-two table), and length classes."""
+
     def run(batches):
-        for b in batches:
-            words = [list(map(_hash, features(t, p))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], names=["grade", "words"])
+        for b in by_bytes(batches):
+            found = [(f, g > lowest) for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in features(t, p) if len(f) <= p.longest]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([u for _, u in found], pa.bool_())], names=["name", "upper"])
 
-    return sample.mapInArrow(run, "grade int, words array<long>").toArrow()
+    counts = sample.mapInArrow(run, "name string, upper boolean").groupBy("name").agg(F.count("*").alias("have"), F.count_if("upper").alias("up"))
+    have, up, share = F.col("have"), F.col("up"), n_upper / n
+    g = F.lit(0.0)
+    for seen, expected in ((up, have * share), (have - up, have * (1 - share)), (n_upper - up, (n - have) * share), (n - have - (n_upper - up), (n - have) * (1 - share))):
+        g = g + F.when(seen > 0, 2 * seen * F.log(seen / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+    length = F.col("name").startswith("#")
+    chosen = counts.withColumn("g", g).filter(length | ((have >= p.least) & (F.col("g") >= p.tied)))
+    return sorted(r["name"] for r in chosen.orderBy(length.desc(), F.desc("g"), "name").limit(p.features).select("name").collect())
 
 
-def _names(sample: DataFrame, p: Params, hashes: set[int]) -> dict[int, str]:
-    """The features of the sample that have these hashes."""
+def _coded(sample: DataFrame, names: list[str], p: Params) -> pa.Table:
+    """grade and the numbers of its features, for each row of the sample: p.sample times p.features numbers at most."""
 
     def run(batches):
-        for b in batches:
-            found = sorted({f for t in b.column(1).to_pylist() for f in features(t, p) if _hash(f) in hashes})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["name"])
+        number = {f: k for k, f in enumerate(names)}
+        for b in by_bytes(batches):
+            rows = [sorted(number[f] for f in features(t, p) & number.keys()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "words"])
 
-    return {_hash(r["name"]): r["name"] for r in sample.mapInArrow(run, "name string").distinct().collect()}
+    return sample.mapInArrow(run, "grade int, words array<int>").toArrow()
 
 
 def descend(rows: list[np.ndarray], level: np.ndarray, steps: int, p: Params, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,47 +140,32 @@ def fit(docs: DataFrame, grades: DataFrame, params: Params = Params()) -> Model:
 
     docs: doc_id, text; grades: doc_id, grade (int, 0 lowest; null grades are left out, of several the highest counts).
     Only grades that the sample has get thresholds. With fewer than two grades the model has none and gives every text
-    the one grade, or 0. The driver gets the hashes of the sample's features, nothing that grows with the input.
+    the one grade, or 0. The sample's features are counted by Spark; the driver gets the chosen ones and their numbers in
+    each document of the sample, at most params.sample times params.features, however long the texts and whatever the ids.
     """
     sample = _sample(docs, grades, params)
-    got = _hashed(sample, params)
-    grade = got["grade"].to_numpy().astype(np.int64)
-    kinds = np.unique(grade)
+    sizes = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    kinds = sorted(sizes)
     if len(kinds) < 2:
-        return Model(params, {}, (), tuple(int(k) for k in kinds) or (0,))
+        return Model(params, {}, (), tuple(kinds) or (0,))
+    n = sum(sizes.values())
+    names = _tied_features(sample, kinds[0], n, n - sizes[kinds[0]], params)
+    got = _coded(sample, names, params)
     words = got["words"].combine_chunks()
     ends = words.offsets.to_numpy()
-    flat, ends = words.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
-    known, number = np.unique(flat, return_inverse=True)
-    lengths = np.isin(known, np.array([_hash(f"#{k}") for k in range(64)]))
-    tie = tied(number, np.repeat(grade > kinds[0], np.diff(ends)), len(known), (grade > kinds[0]).mean(), len(grade))
-    kept = lengths | ((np.bincount(number, minlength=len(known)) >= params.least) & (tie >= params.tied))
-    cols = np.where(kept, np.cumsum(kept) - 1, -1)[number]
-    rows = [c[c >= 0] for c in np.split(cols, ends[1:-1])]
-    level = np.searchsorted(kinds, grade)
-    w, limits = descend(rows, level, len(kinds) - 1, params, kept.sum())
-    kinds = [int(k) for k in kinds]
+    rows = np.split(words.values.to_numpy()[ends[0] : ends[-1]].astype(np.int64), (ends - ends[0])[1:-1])
+    level = np.searchsorted(kinds, got["grade"].to_numpy().astype(np.int64))
+    w, limits = descend(rows, level, len(kinds) - 1, params, len(names))
     if params.split and len(kinds) == 2:
         z = np.array([w[r].sum() for r in rows])
         upper = z > np.median(z[level == 1])
         if (upper & (level == 1)).any():
             kinds.append(kinds[-1] + 1)
-            w, limits = descend(rows, level + (upper & (level == 1)), 2, params, kept.sum())
-    names = _names(sample, params, set(known[kept][w != 0].tolist()))
-    weights = {names[int(k)]: float(x) for k, x in zip(known[kept], w, strict=True) if x}
+            w, limits = descend(rows, level + (upper & (level == 1)), 2, params, len(names))
+    weights = {f: float(x) for f, x in zip(names, w, strict=True) if x}
     return Model(params, weights, tuple(map(float, limits)), tuple(kinds))
 
 
-def tied(number: np.ndarray, upper: np.ndarray, features: int, share: float, n: int) -> np.ndarray:
-    """G of the two-by-two table of each feature and being above the lowest grade. number, upper: of each occurrence."""
-    have = np.bincount(number, minlength=features).astype(float)
-    up = np.bincount(number, weights=upper, minlength=features)
-    total = np.zeros(features)
-    for seen, expected in ((up, have * share), (have - up, have * (1 - share)), (n * share - up, (n - have) * share), (n - have - (n * share - up), (n - have) * (1 - share))):
-        total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
-    return total
-
-
 class Scorer:
     """Sums of a model's weights. Only words that start as some weighted feature does are looked at closely."""
 
@@ -198,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scorer = Scorer(model)
         limits, grades = np.array(model.thresholds), np.array(model.grades, dtype=float)
-        for b in batches:
+        for b in by_bytes(batches):
             z = np.array([scorer(t) for t in b.column(1).to_pylist()])
             up = 1 / (1 + np.exp(-np.clip(z[:, None] - limits, -40, 40)))
             mass = np.concatenate([np.ones((len(z), 1)), up], axis=1) - np.concatenate([up, np.zeros((len(z), 1))], axis=1)
@@ -212,5 +208,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """doc_id, grade from labels (doc_id, toxic): 0 not toxic, 1 toxic; the fit splits the toxic ones by severity."""
+    """doc_id, grade from labels (doc_id, toxic): 0 not toxic, 1 toxic. Labels of more grades give more thresholds."""
     return labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))

@@ -319,7 +319,7 @@ def test_toxicity(spark, documents):
     calm, bad = [f"word{i}" for i in range(60)], ["idiotic", "awfulness", "scummy"]
     texts = [(i, " ".join(rng.choices(calm, k=25) + (rng.choices(bad, k=1 + i % 3) if i % 5 == 0 else []))) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in texts[:300]] + [(999, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(documents(texts), toxicity.severity_grades(labels))
+    model = toxicity.fit(documents(texts), toxicity.severity_grades(labels), toxicity.Params(split=True))
     got = {r["doc_id"]: r for r in toxicity.score(documents(texts), model).collect()}
     assert [got[i]["toxic"] for i, _ in texts] == [i % 5 == 0 for i, _ in texts]
     assert list(model.thresholds) == sorted(model.thresholds)
@@ -329,6 +329,50 @@ def test_toxicity(spark, documents):
     assert sum(most) / len(most) > sum(least) / len(least)
 
 
+def test_toxicity_learns_the_grades_of_its_labels(spark, documents):
+    rng = random.Random(21)
+    calm, marks = [f"word{i}" for i in range(60)], {1: ["rude", "silly"], 2: ["awful", "vile"], 4: ["hateful", "cruel"]}
+    grade = {i: [0, 0, 0, 1, 2, 4][i % 6] for i in range(600)}
+    texts = [(i, " ".join(rng.choices(calm, k=20) + rng.choices(marks.get(g, ["fine"]), k=2))) for i, g in grade.items()]
+    texts += [(3, "short")] * 5 + [(9, "y" * 200_000 + " vile")]  # rows that repeat an id, and one very long word
+    labels = spark.createDataFrame([(i, g) for i, g in grade.items() if i < 500], "doc_id long, grade int")
+    model = toxicity.fit(documents(texts), labels, toxicity.Params(features=50))
+    assert model.grades == (0, 1, 2, 4) and len(model.thresholds) == 3 and list(model.thresholds) == sorted(model.thresholds)
+    assert len(model.weights) <= 50 and max(map(len, model.weights)) <= 64
+    got = {r["doc_id"]: r for r in toxicity.score(documents(texts[:600]), model).collect()}
+    assert sum(got[i]["severity"] == grade[i] for i in range(500, 600)) >= 95
+    toxic = [i for i in range(500, 600) if grade[i]]
+    assert all(got[i]["toxic"] for i in toxic) and all(got[i]["expected_severity"] > 0.5 for i in toxic)
+
+
+def test_descent_reaches_the_least_plain_loss():
+    """No step in any one direction from the descent's end lowers the likelihood, written out grade by grade, by much."""
+    rng = np.random.RandomState(5)
+    rows = [np.flatnonzero(rng.rand(6) < 0.4) for _ in range(300)]
+    truth = np.array([1.5, -1.0, 0.5, 0.0, 2.0, -0.5])
+    level = np.array([int(np.searchsorted([-0.5, 1.5], truth[r].sum() + rng.logistic())) for r in rows])
+
+    def loss(w, limits):
+        total = 0.0
+        for r, g in zip(rows, level, strict=True):
+            up = [1.0, *(1 / (1 + math.exp(-(w[r].sum() - t))) for t in limits), 0.0]
+            total -= math.log(max(up[g] - up[g + 1], 1e-12))
+        return total / len(rows)
+
+    w, limits = toxicity.descend(rows, level, 2, toxicity.Params(shrink=0.0, rounds=3000), 6)
+    best = loss(w, limits)
+    for k in range(6):
+        for d in (-0.05, 0.05):
+            other = w.copy()
+            other[k] += d
+            assert loss(other, limits) > best - 1e-4
+    for k in range(2):
+        for d in (-0.05, 0.05):
+            other = limits.copy()
+            other[k] += d
+            assert loss(w, other) > best - 1e-4
+
+
 def test_toxicity_edges(spark, edges, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(edges, toxicity.severity_grades(none))
