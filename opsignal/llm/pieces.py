@@ -2,7 +2,7 @@
 
 An encoding of a text by merges is the one sequence of pieces in which every two neighbours, merged anew from
 their characters, come out as these two pieces. So a text is covered from the left with the longest piece that fits
-(all matches from one Aho-Corasick pass); a piece that isn't compatible with its left neighbour gives way to the next
+(the longest match at each place, from one Aho-Corasick pass over each word); a piece that isn't compatible with its left neighbour gives way to the next
 shorter one, and a position from which nothing fits is marked in a bitfield and never tried again.
 """
 
@@ -69,11 +69,6 @@ class Pieces:
         for p in self.reached:
             self.find.add_word(p, p)
         self.find.make_automaton()
-        self.longest: dict[str, str] = {}  # of the automaton's paths, also those that end in no piece
-        for p in sorted(self.reached, key=len):
-            for k in range(1, len(p) + 1):
-                self.longest[p[:k]] = p[:k] if p[:k] in self.reached else self.longest[p[: k - 1]]
-        self.widest = max(map(len, self.reached))
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reached), None) for p in self.reached}
         self.chars = frozenset(p for p in self.id if len(p) == 1)
         self.fits: dict[tuple[str, str], bool] = {}
@@ -146,9 +141,12 @@ class Pieces:
 
     def covered(self, text: str) -> list[str]:
         """Pieces of a text whose characters all are pieces, without runs of spaces."""
-        n, fits, shorter, path, longest, out = len(text), self.compatible, self.shorter, self.find.longest_prefix, self.longest, []
+        n, fits, shorter, out = len(text), self.compatible, self.shorter, []
         known, at, failed = self.fits, 0, bytearray(n + 1)
-        p = longest[text[: path(text)]]
+        longest: list[str | None] = [None] * n
+        for end, p in self.find.iter(text):  # one pass; of matches with one start the longer ends later
+            longest[end + 1 - len(p)] = p
+        p = longest[0]
         while at < n:
             while p is not None:
                 if not failed[at + len(p)]:
@@ -159,8 +157,7 @@ class Pieces:
                 out.append(p)
                 at += len(p)
                 if at < n:
-                    rest = text[at : at + self.widest]
-                    p = longest[rest[: path(rest)]]
+                    p = longest[at]
             else:
                 failed[at] = 1
                 p = out.pop()
