@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opsignal import fixed_values as fv
 from opsignal.functions.text import any_of
 from opsignal.functions.timecells import SECOND, cell, epoch_us, from_epoch_us, seconds_between
-from opsignal.operators.joins import asof_join, exists_between, interval_join
+from opsignal.operators.joins import asof_join, exists_between
 
 
 def merge_arrays(df: DataFrame, keys: list[str], cols: list[str], out: str) -> DataFrame:
@@ -317,26 +317,30 @@ def open_counts(incidents: DataFrame, keys: list[str]) -> DataFrame:
 
 def clear_streaks(
     incidents: DataFrame, signals: DataFrame, key: str, ns: str, start: str, ts: str, poll_s: int = fv.VALIDATION_POLL_S,
-    timeout_s: int = fv.VALIDATION_TIMEOUT_S, need: int = fv.CLEAR_STREAK, spread: int = 4,
+    timeout_s: int = fv.VALIDATION_TIMEOUT_S, need: int = fv.CLEAR_STREAK,
 ) -> DataFrame:
     """Resolved at the first poll that ends `need` clean polls in a row, else escalated at the timeout.
 
-    A signal at s makes the poll dirty whose preceding interval holds it: poll ceil((s - start) / poll).
-    Only the dirty poll numbers are kept, at most timeout/poll per incident.
+    A signal at s makes the poll dirty whose preceding interval holds it: poll ceil((s - start) / poll), for s in (start, start + timeout].
+    Of the signals of a namespace and a slice as long as a poll only the first and the last are kept: all between them lie
+    in the polls of these two. So an incident meets timeout/poll + 1 rows however many signals there are.
     """
-    last = timeout_s // poll_s
-    # signals in (start, start + timeout]
-    one = 1 / SECOND
-    pairs = interval_join(incidents.select(key, ns, start), signals.select(ns, ts), [ns], start, ts, one, timeout_s + one, spread)
-    number = F.ceil((epoch_us(ts) - epoch_us(start)) / F.lit(poll_s * SECOND)).cast("int")
-    dirty = pairs.groupBy(key).agg(F.collect_set(number).alias("_dirty"))
+    last, poll = timeout_s // poll_s, F.lit(poll_s * SECOND)
+    at = epoch_us(ts)
+    slices = signals.groupBy(F.col(ns), cell(ts, poll_s).alias("_c")).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    begin = epoch_us(start)
+    reach = F.sequence(F.floor(begin / poll).cast("bigint"), F.floor((begin + timeout_s * SECOND) / poll).cast("bigint"))
+    met = incidents.select(key, ns, begin.alias("_s"), F.explode(reach).alias("_c")).join(slices, [ns, "_c"])
+    number = lambda c: F.ceil((F.col(c) - F.col("_s")) / poll).cast("int")
+    polls = met.select(key, F.explode(F.array_distinct(F.array(number("_lo"), number("_hi")))).alias("_p")).filter(F.col("_p").between(1, last))
+    dirty = polls.groupBy(key).agg(F.collect_set("_p").alias("_dirty"))
     rows = incidents.join(dirty, key, "left")
     spoiled = F.coalesce("_dirty", F.array().cast("array<int>"))
     ends = F.filter(
         F.sequence(F.lit(need), F.lit(last)), lambda i: ~F.exists(spoiled, lambda d: (d > i - need) & (d <= i))
     )
-    poll = F.try_element_at(ends, F.lit(1))
-    return rows.withColumn("_poll", poll).select(
+    first = F.try_element_at(ends, F.lit(1))
+    return rows.withColumn("_poll", first).select(
         *incidents.columns,
         F.when(F.col("_poll").isNotNull(), "resolved").otherwise("escalated").alias("outcome"),
         F.coalesce("_poll", F.lit(last)).alias("polls"),
