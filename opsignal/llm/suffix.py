@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsignal.llm.common import session_parallelism, shared_folder, written
+from opsignal.llm.common import forget, session_parallelism, shared_folder, written
 from opsignal.llm.lm import pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK = "block long, ids array<long>, lengths binary, text binary, anchors binary, n_anchors long"
@@ -149,9 +149,10 @@ def row_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frozen(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays as one compressed string, for thawed()."""
+    """Arrays as one compressed string, for thawed(); places (int64) as the steps from one to the next."""
     head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "big") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values()))
+    body = [np.diff(a, prepend=0) if a.dtype == np.int64 else np.ascontiguousarray(a) for a in arrays.values()]
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "big") + head + b"".join(a.tobytes() for a in body))
 
 
 def thawed(raw: bytes) -> dict[str, np.ndarray]:
@@ -159,8 +160,9 @@ def thawed(raw: bytes) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "big")
     out = {}
     for k, kind, n in json.loads(raw[4:at]):
-        out[k] = np.frombuffer(raw, dtype=kind, count=n, offset=at)
-        at += out[k].nbytes
+        a = np.frombuffer(raw, dtype=kind, count=n, offset=at)
+        at += a.nbytes
+        out[k] = np.cumsum(a) if a.dtype == np.int64 else a
     return out
 
 
@@ -303,39 +305,58 @@ class Block:
         with np.errstate(over="ignore"):
             self.segment_keys[s] = _mixed(self.keys[s] * FACTOR + content)
 
-    def learn_segments(self, rows: list[dict]) -> None:
-        """Which shared anchors' segments go, and the windows of those that go on: anchor and first byte of each."""
+    def segment_state(self) -> dict:
+        """Of each shared anchor its hash, how often it comes up, its first window, how many more there are, its segment's number."""
         order = np.lexsort((self.segment_checks, self.segment_keys))
         keys, checks = self.segment_keys[order], self.segment_checks[order]
-        which = np.empty(len(order), dtype=np.int64)
+        self.segment = np.empty(len(order), dtype=np.int32)
         if len(order):
-            which[order] = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
-            self.segment_count, low = _joined(rows, "counts")[which], _joined(rows, "least")[which].astype(np.int64)
+            self.segment[order] = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
+        self.count, self.wide = np.minimum(self.count, 1 << 31).astype(np.uint32), (self.last - self.first).astype(np.uint8)
+        return self.state_row("keys", "count", "first", "wide", "segment")
+
+    def learn_segments(self, rows: list[dict]) -> None:
+        """Which shared anchors' segments go, and the windows of those that go on."""
+        if len(self.segment):
+            times, low = _joined(rows, "counts")[self.segment], _joined(rows, "least")[self.segment].astype(np.int64)
         else:
-            self.segment_count, low = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.gone = (self.segment_count > 1) & (low < self.doc)
-        on = np.flatnonzero(~self.gone & (self.segment_count < self.count))
-        n = (self.last - self.first + 1)[on]
-        self.anchor = np.repeat(on, n)
-        self.window = np.repeat(self.first[on], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            times, low = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        gone = (times > 1) & (low < self.documents(self.first))
+        on = ~gone & (times < self.count)
+        self.gone_first, self.gone_wide = self.first[gone], self.wide[gone]
+        self.first, self.wide, self.keys, self.hot = self.first[on], self.wide[on], self.keys[on], self.count[on] > self.p.hot
+        self.spread()
         order = np.argsort(self.window, kind="stable")
         self.window_keys = np.empty(len(order), dtype=np.uint64)
         self.window_keys[order] = hashes_at(self.text, self.window[order], self.p.least)
 
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        ids = np.array([i if i is not None else 0 for i in self.ids], dtype=np.int64)
+        return ids[np.searchsorted(self.ends, places, side="right")] if len(places) else np.zeros(0, dtype=np.int64)
+
+    def spread(self) -> None:
+        """Anchor and first byte of each window of the anchors that go on."""
+        n = self.wide.astype(np.int64) + 1
+        self.anchor = np.repeat(np.arange(len(n)), n)
+        self.window = np.repeat(self.first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
     def ask_windows(self, parts: int, bits: int) -> Iterator[dict]:
-        """One row for each part: distinct hashes, shortened to their first bits, and how often each comes up."""
+        """One row for each part: distinct hashes, shortened to their first bits, and how often each comes up; then the state."""
         known, which, counts = np.unique(self.window_keys >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        self.which = which.astype(np.int32)
         cuts = np.searchsorted(_part(known << np.uint64(64 - bits), parts), np.arange(parts + 1))
         for k in range(parts):
             s = slice(cuts[k], cuts[k + 1])
             if cuts[k] < cuts[k + 1]:
                 yield {"block": self.id, "part": k, "keys": pack_sorted(known[s]), "counts": pack(np.minimum(counts[s], 2)), "base": 0, "least": None}
+        self.which, self.hot_keys = which.astype(np.int32), self.window_keys[self.hot[self.anchor]]
+        yield self.state_row("gone_first", "gone_wide", "first", "wide", "keys", "hot", "which", "hot_keys")
 
     def learn_windows(self, rows: list[dict]) -> None:
         """Keeps the windows that may be repeated."""
+        self.spread()
         often = _joined(rows, "counts")[self.which] > 1 if len(self.which) else np.zeros(0, dtype=bool)
-        self.anchor, self.window, self.window_keys = self.anchor[often], self.window[often], self.window_keys[often]
+        self.hot_keys = self.hot_keys[often[self.hot[self.anchor]]]
+        self.anchor, self.window = self.anchor[often], self.window[often]
 
     def outgoing(self, parts: int) -> tuple[np.ndarray, ...]:
         """What is sent on, in the order of its parts: part, first byte, length, document of each string.
@@ -344,16 +365,15 @@ class Block:
         Whether an anchor is hot depends on its count in all blocks alone, so that all its segments take the same way.
         """
         p = self.p
-        hot = (self.count > p.hot)[self.anchor] if len(self.anchor) else np.zeros(0, dtype=bool)
+        hot = self.hot[self.anchor]
         whole, at = self.anchor[~hot], self.window[~hot]
         head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, dtype=np.int64)
         tail = np.append(head[1:], len(whole)) - 1 if len(whole) else head
-        part = np.concatenate([_part(self.keys[whole[head]], parts), _part(self.window_keys[hot], parts)])
+        part = np.concatenate([_part(self.keys[whole[head]], parts), _part(self.hot_keys, parts)])
         start = np.concatenate([at[head], self.window[hot]])
         size = np.concatenate([at[tail] - at[head], np.zeros(hot.sum(), dtype=np.int64)]) + p.least
-        doc = self.doc[np.concatenate([whole[head], self.anchor[hot]])]
         order = np.argsort(part, kind="stable")
-        return part[order], start[order], size[order], doc[order]
+        return part[order], start[order], size[order], self.documents(start[order])
 
     def send(self, parts: int) -> Iterator[dict]:
         """One row for each part: its distinct strings, each with its smallest document."""
@@ -361,7 +381,7 @@ class Block:
         raw = self.text.tobytes()
         cuts = np.searchsorted(part, np.arange(parts + 1))
         # of each string the number of its distinct one, and whether a smaller document of this block has it
-        self.start, self.size, self.string, self.later = start, size, np.empty(len(start), dtype=np.int32), np.zeros(len(start), dtype=bool)
+        self.start, self.size, self.string, self.later = start, size.astype(np.uint8), np.empty(len(start), dtype=np.int32), np.zeros(len(start), dtype=bool)
         base = 0
         for k in np.unique(part).tolist():
             s = slice(cuts[k], cuts[k + 1])
@@ -376,16 +396,15 @@ class Block:
                 "block": self.id, "part": k, "strings": zstandard.ZstdCompressor(level=3).compress(b"".join(strings)),
                 "lengths": pack(np.array([len(x) for x in strings], dtype=np.int64)), "docs": pack(low.view(np.uint64)),
             }
-        self.gone_first, self.gone_last = self.first[self.gone], self.last[self.gone]
-        yield {"block": self.id, "part": STATE, "state": self.state("gone_first", "gone_last", "start", "size", "string", "later")}
+        yield {"block": self.id, "part": STATE, "state": self.state("gone_first", "gone_wide", "start", "size", "string", "later")}
 
     def result(self, masks: np.ndarray) -> pa.Table:
         p, change = self.p, np.zeros(len(self.text) + 1, dtype=np.int32)
         np.add.at(change, self.gone_first, 1)
-        np.add.at(change, self.gone_last + p.least, -1)
+        np.add.at(change, self.gone_first + self.gone_wide + p.least, -1)
         if len(masks):
             own = masks[self.string]
-            own[self.later] = (np.uint64(1) << (self.size[self.later] - p.least + 1).astype(np.uint64)) - np.uint64(1)
+            own[self.later] = (np.uint64(1) << (self.size[self.later].astype(np.uint64) - np.uint64(p.least - 1))) - np.uint64(1)
             for k in range(p.span):
                 hit = self.start[(own >> np.uint64(k)) & np.uint64(1) == 1] + k
                 np.add.at(change, hit, 1)
@@ -646,7 +665,7 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for row, got, _ in told(block, answers):
             own = Block(row, p)
             own.learn_anchors(got)
-            out += [*own.ask(own.segment_keys, own.doc, some, own.segment_checks), own.state_row("doc", "keys", "count", "first", "last", "segment_keys", "segment_checks")]
+            out += [*own.ask(own.segment_keys, own.doc, some, own.segment_checks), own.segment_state()]
         return pa.Table.from_pylist(out, schema=_ASKED)
 
     def ask_windows(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -654,7 +673,7 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for row, got, state in told(block, answers):
             own = Block(row, p, state)
             own.learn_segments(got)
-            out += [*own.ask_windows(windows, bits), own.state_row("doc", "keys", "count", "first", "last", "gone", "anchor", "window", "window_keys", "which")]
+            out += own.ask_windows(windows, bits)
         return pa.Table.from_pylist(out, schema=_ASKED)
 
     def with_blocks(answers: DataFrame, what, schema: str) -> DataFrame:
@@ -665,10 +684,14 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
         return asked.filter(F.col("part") == STATE).select("block", F.lit(0).alias("step"), "part", F.col("state").alias("counts"), none, F.lit(0).cast("bigint").alias("n"))
 
     def answered(asked: DataFrame, step: int, label: str) -> DataFrame:
-        return written(answer(asked.filter(F.col("part") != STATE), step), label).unionByName(states(asked))
+        return written(answer(asked.filter(F.col("part") != STATE), step), label)
 
     asked = written(with_blocks(first, ask_segments, ASKED), "segment_questions")
-    asked = written(with_blocks(answered(asked, 2, "segments"), ask_windows, ASKED), "window_questions")
+    forget(first)
+    got = answered(asked, 2, "segments")
+    asked_next = written(with_blocks(got.unionByName(states(asked)), ask_windows, ASKED), "window_questions")
+    forget(asked, got)
+    asked, got = asked_next, answered(asked_next, 3, "windows")
     many = max(1, math.ceil(shared / 3 / p.part_strings))
 
     def send(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -685,6 +708,7 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
             out.append(Block(row, p, state).result(_joined(got, "counts") if got else np.zeros(0, dtype=np.uint64)))
         return pa.concat_tables(out) if out else pa.Table.from_pylist([], schema=_RESULT)
 
-    sent = written(with_blocks(answered(asked, 3, "windows"), send, SENT), "strings")
+    sent = written(with_blocks(got.unionByName(states(asked)), send, SENT), "strings")
+    forget(asked, got)
     masks = written(compare(sent.filter(F.col("part") != STATE), p), "suffixes")
     return with_blocks(masks.unionByName(states(sent)), finish, RESULT)
