@@ -65,6 +65,7 @@ def fast_classify(
 
 # --- sessions and assembly -----------------------------------------------------------------------
 INFRA = ("sre", "observability")
+ISLAND_CELLS = 2000
 RUN = ["ns", "_era", "rule", "_c", "_seg"]
 
 
@@ -88,14 +89,15 @@ def _keyed(alerts: DataFrame, ns: str, rule: str, ts: str, ident: str, gap_s: in
 
 
 def _fold(gap_s: int):
-    """An island's runs in time order: each joins the newest open incident of its rule (of any, without a rule) or opens one."""
+    """A namespace's runs in time order: each joins the newest open incident of its rule (of any, without a rule) or opens one."""
 
     def place(t: pa.Table) -> pa.Table:
         t = t.sort_by([("lo", "ascending"), ("lo_id", "ascending")])
         live: dict[str, list] = {}  # of each rule the one incident that may be open: [opened, id, last alert]
-        opened, ident, of = [], [], []
-        for rule, lo, lo_id, hi in zip(*(t[c].to_pylist() for c in ("rule", "lo", "lo_id", "hi")), strict=True):
-            live = {r: i for r, i in live.items() if lo - i[2] < gap_s * SECOND}
+        opened, ident, of, now = [], [], [], None
+        for era, rule, lo, lo_id, hi in zip(*(t[c].to_pylist() for c in ("_era", "rule", "lo", "lo_id", "hi")), strict=True):
+            live = {r: i for r, i in live.items() if lo - i[2] < gap_s * SECOND} if era == now else {}
+            now = era
             name = rule if rule else max(live, key=lambda r: live[r][:2], default="")
             if name not in live:
                 live[name] = [lo, lo_id, hi]
@@ -111,8 +113,8 @@ def _fold(gap_s: int):
 def placed_runs(keyed: DataFrame, gap_s: int) -> DataFrame:
     """One row per run of _keyed() with its counts and its incident: incident_id, of (the incident's rule, or none).
 
-    A namespace falls into islands where no alert comes for the gap; an island is folded in one task. It has at most a run
-    per rule and two per opening in each cell, however many alerts there are.
+    A namespace falls into islands where no alert comes for the gap; whole islands that start within ISLAND_CELLS cells are folded
+    together, in one task. An island has at most a run per rule and two per opening in each cell, however many alerts there are.
     """
     infra = F.coalesce(F.col("source").isin(*INFRA), F.lit(False))
     runs = keyed.groupBy(*RUN).agg(
@@ -120,12 +122,14 @@ def placed_runs(keyed: DataFrame, gap_s: int) -> DataFrame:
         F.count("*").alias("n"), F.count_if(infra).alias("infra"), F.min(F.struct("_at", "alertname", "source")).alias("first"),
     )
     cells = runs.groupBy("ns", "_era", "_c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    o = Window.partitionBy("ns", "_era").orderBy("_c")
-    quiet = F.when(F.col("lo") - F.lag("hi").over(o) >= gap_s * SECOND, 1).otherwise(0)
-    islands = cells.select("ns", "_era", "_c", quiet.alias("quiet")).select("ns", "_era", "_c", F.sum("quiet").over(o).alias("island"))
-    bare = runs.join(islands, ["ns", "_era", "_c"]).select(*RUN, "island", "lo", "lo_id", "hi")
+    o = Window.partitionBy("ns").orderBy("_c", "_era")
+    # where nothing is open any more: after a gap, or a closing
+    starts = F.coalesce((F.col("lo") - F.lag("hi").over(o) >= gap_s * SECOND) | (F.col("_era") != F.lag("_era").over(o)), F.lit(True))
+    numbered = cells.select("ns", "_era", "_c", F.when(starts, F.row_number().over(o)).alias("start"))
+    dealt = numbered.select("ns", "_era", "_c", F.floor(F.max("start").over(o) / ISLAND_CELLS).alias("islands"))
+    bare = runs.join(dealt, ["ns", "_era", "_c"]).select(*RUN, "islands", "lo", "lo_id", "hi")
     schema = bare.schema.simpleString()[len("struct<"):-1] + ",opened:bigint,opened_id:bigint,of:string"
-    where = bare.groupBy("ns", "_era", "island").applyInArrow(_fold(gap_s), schema)
+    where = bare.groupBy("ns", "islands").applyInArrow(_fold(gap_s), schema)
     ident = F.md5(F.concat_ws("|", "ns", "of", F.col("opened").cast("string")))
     return runs.join(where.select(*RUN, "of", "opened", "opened_id", ident.alias("incident_id")), RUN)
 
