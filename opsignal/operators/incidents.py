@@ -240,7 +240,7 @@ def assemble_incidents(alerts: DataFrame, signals: DataFrame, window_s: int = fv
     namespace has the matches and patterns of all. The arrays hold distinct names.
     """
     keyed = _keyed(alerts, "ns", "rule", "ts", "event_id", gap_s)
-    placed = placed_runs(keyed, gap_s)
+    placed = placed_runs(keyed, gap_s).persist()  # a row per run; the fold feeds five joins
     sessions = _sessions(placed)
     step_s = max(1, window_s // 10)
 
