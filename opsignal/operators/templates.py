@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
@@ -13,12 +15,22 @@ from opsignal.operators.joins import near_event_flag
 ANY = "<*>"
 
 
+def _late(cond: Column) -> Column:
+    """cond as a filter on rows of masked_lines that needs the count and time of a line, though every row has them.
+
+    So it stays above the reduction, and each line is masked once; and all readers of the rows need the same columns, so that
+    they share one exchange.
+    """
+    return F.when((F.col("cnt") > 0) | F.col("first_seen").isNull(), cond)
+
+
 def masked_lines(df: DataFrame, keys: list[str], line: str, ts: str) -> DataFrame:
     """Distinct masked lines with their count and first time; the reduction happens before the shuffle."""
     text = F.regexp_replace(F.trim(mask_variables(line)), r"\s+", " ")
-    return df.select(*keys, text.alias("masked"), F.col(ts).alias("_ts")).filter(F.col("masked") != "").groupBy(
-        *keys, "masked"
-    ).agg(F.count("*").alias("cnt"), F.min("_ts").alias("first_seen"))
+    counted = df.select(*keys, text.alias("masked"), F.col(ts).alias("_ts")).groupBy(*keys, "masked").agg(
+        F.count("*").alias("cnt"), F.min("_ts").alias("first_seen")
+    )
+    return counted.filter(_late(F.col("masked") != ""))
 
 
 def mine_templates(
@@ -29,22 +41,25 @@ def mine_templates(
     Lines of a group (keys, token count, first token) differ at some positions. A position becomes
     <*> when it has more than max_values distinct tokens and those are more than max_share of the
     group's distinct lines. Everything is grouped aggregation on distinct lines: order-free, whole
-    lines, nothing sampled. Which positions vary is decided per (group, position) from counts, and
-    the decision comes back as one array per group.
+    lines, nothing sampled. Distinct lines are dealt by group once; tokens are counted where the lines
+    lie, and only in groups of more than max_values lines, as others can't have more values. The open
+    positions come back as one array per group.
     """
-    lines = masked_lines(df, keys, line, ts).withColumn("_tok", F.split("masked", " "))
-    lines = lines.withColumn("_len", F.size("_tok")).withColumn("_head", F.col("_tok")[0])
-    group = [*keys, "_len", "_head"]
-    tokens = lines.select(*group, F.posexplode("_tok").alias("_pos", "_token"))
-    per_token = tokens.groupBy(*group, "_pos", "_token").agg(F.count("*").alias("_lines"))
-    per_pos = per_token.groupBy(*group, "_pos").agg(F.count("*").alias("_values"), F.sum("_lines").alias("_lines"))
-    varies = (F.col("_values") > max_values) & (F.col("_values") > max_share * F.col("_lines"))
-    open_positions = per_pos.filter(varies).groupBy(*group).agg(F.collect_set("_pos").alias("_open"))
-    joined = lines.join(open_positions, group, "left")
-    masked = F.when(F.col("_open").isNull(), F.col("_tok")).otherwise(
-        F.transform("_tok", lambda t, i: F.when(F.array_contains("_open", i), F.lit(ANY)).otherwise(t))
-    )
-    out = joined.groupBy(*keys, F.array_join(masked, " ").alias("template")).agg(
+    words = F.split("masked", " ")
+    # One key that is never null: for others the join adds a filter, and the two sides aren't the same exchange any more.
+    group = F.struct(*keys, F.size(words).alias("_len"), F.substring_index("masked", " ", 1).alias("_head"))
+    lines = masked_lines(df, keys, line, ts).select(group.alias("_g"), "masked", "cnt", "first_seen").repartition("_g")
+    crowded = lines.withColumn("_n", F.count("*").over(Window.partitionBy("_g"))).filter(_late(F.col("_n") > max_values))
+    tokens = crowded.select("_g", "_n", F.posexplode(words).alias("_pos", "_token"))
+    per_pos = tokens.distinct().groupBy("_g", "_n", "_pos").agg(F.count("*").alias("_values"))
+    varies = (F.col("_values") > max_values) & (F.col("_values") > max_share * F.col("_n"))
+    open_positions = per_pos.filter(varies).groupBy("_g").agg(F.collect_set("_pos").alias("_open"))
+    joined = lines.join(open_positions, "_g", "left")
+    opened = F.transform(words, lambda t, i: F.when(F.array_contains("_open", i), F.lit(ANY)).otherwise(t))
+    # groups without a key keep their lines as they are
+    plain = reduce(lambda a, b: a | b, [F.col(f"_g.{k}").isNull() for k in keys], F.col("_open").isNull())
+    template = F.when(plain, F.col("masked")).otherwise(F.array_join(opened, " "))
+    out = joined.groupBy(*[F.col(f"_g.{k}").alias(k) for k in keys], template.alias("template")).agg(
         F.sum("cnt").alias("samples_count"), F.min("first_seen").alias("first_seen")
     )
     return out.withColumn("pattern_id", pattern_id(keys[0], "template"))
