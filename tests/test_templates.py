@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from opsignal.operators import templates
 
 MASKS = [r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", r"\b[0-9a-fA-F]{8,}\b", r"[0-9]+"]
@@ -53,3 +55,17 @@ def test_tokens_are_counted_where_the_lines_lie(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan
     assert not [x for x in plan.splitlines() if "Exchange" in x and "_token" in x]
+
+
+def test_each_line_is_masked_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(line):
+        seen.add(1)
+        return line
+
+    rows = [(f"ns{i % 3}", f"get {i} {chr(97 + i % 26)}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "ns string, line string, ts long").withColumn("line", read("line"))
+    assert templates.mine_templates(df, ["ns"], "line", "ts").count() > 0
+    assert seen.value == len(rows)
