@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsignal import fixed_values as fv
-from opsignal.functions.timecells import SECOND, cell, epoch_us
+from opsignal.functions.timecells import SECOND, cell, epoch_us, from_epoch_us
 from opsignal.operators.joins import exists_between, interval_join
 
 
@@ -50,20 +50,43 @@ def lead_up_features(
     """Slope and peak |z| of each metric before each incident, samples in [t - lookahead, t - gap].
 
     incidents(incident_id, incident_type, keys, opened), samples(keys, metric, ts, value). Samples are
-    averaged on a grid first, so an incident meets at most lookahead/step points per metric.
+    averaged on a grid first, so a window has at most lookahead/step points per metric. Incidents of a key
+    that see the same points share a window: its moments are taken once, so the pairs of windows and points
+    follow the time that the incidents span, not their number. Rows that repeat an incident (id, type and
+    keys) count as one, with the points of all their windows.
     """
+    step, lo, hi = step_s * SECOND, int(-lookahead_s * SECOND), int((-gap_s + 1e-6) * SECOND)
+    up = lambda us: ((us + F.pmod(-us, F.lit(step))) / F.lit(step)).cast("bigint")
+    ends = {"_from": up(epoch_us(opened) + lo), "_to": up(epoch_us(opened) + hi) - 1}
+    seen = incidents.withColumns(ends).filter(F.col("_from") <= F.col("_to"))
     grid = samples.groupBy(*keys, "metric", cell(ts, step_s).alias("_c")).agg(F.avg("value").alias("value"))
-    grid = grid.withColumn("at", F.timestamp_micros(F.col("_c") * step_s * SECOND).cast("timestamp_ntz")).drop("_c")
-    pairs = interval_join(incidents, grid, keys, opened, "at", -lookahead_s, -gap_s + 1e-6)
-    x = (epoch_us("at") - epoch_us(opened)) / F.lit(float(SECOND))
-    per = pairs.groupBy("incident_id", "incident_type", *keys, "metric").agg(
-        F.count("*").alias("n"), F.coalesce(F.regr_slope(F.col("value"), x), F.lit(0.0)).alias("slope"),
-        F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"), F.max("value").alias("_hi"), F.min("value").alias("_lo"),
+    window = [*keys, "_from", "_to"]
+    spans = seen.select(*window).distinct().withColumn("_start", from_epoch_us(F.col("_from") * step))
+    points = interval_join(spans, grid.withColumn("at", from_epoch_us(F.col("_c") * step)), keys, "_start", "at", 0, max(hi - lo, step) / SECOND)
+    x = (F.col("_c") - F.col("_from")).cast("double") * F.lit(float(step_s))
+    y = F.col("value")
+    moments = points.filter(F.col("_c") <= F.col("_to")).groupBy(*window, "metric").agg(
+        F.count("*").alias("n"), F.regr_count(y, x).alias("_m"), F.regr_avgx(y, x).alias("_x"), F.avg(y).alias("_y"), F.max(y).alias("_hi"),
+        F.min(y).alias("_lo"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"), F.regr_syy(y, x).alias("_yy"),
+    )
+    rows = seen.join(moments, window).withColumn("_x", F.col("_x") + (F.col("_from") * step - epoch_us(opened)) / F.lit(float(SECOND)))
+    total = lambda c: F.sum(F.col("_m") * c)
+    still = lambda c: F.max(c) == F.min(c)
+    # moments of one window, plus those of the windows' means where a repeated incident has several
+    between = lambda a, b: F.when(still(a) | still(b), F.lit(0.0)).otherwise(
+        total(F.col(a) * F.col(b)) - F.try_divide(total(F.col(a)) * total(F.col(b)), F.sum("_m"))
+    )
+    per = rows.groupBy("incident_id", "incident_type", *keys, "metric").agg(
+        F.sum("n").alias("n"), F.sum("_m").alias("_m"), F.try_divide(total(F.col("_y")), F.sum("_m")).alias("_mean"),
+        F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), (F.sum("_xx") + between("_x", "_x")).alias("_xx"),
+        (F.sum("_xy") + between("_x", "_y")).alias("_xy"), (F.sum("_yy") + between("_y", "_y")).alias("_yy"),
     )
     far = F.greatest(F.col("_hi") - F.col("_mean"), F.col("_mean") - F.col("_lo"))
+    sd = F.sqrt(F.greatest(F.try_divide(F.col("_yy"), F.col("_m") - 1), F.lit(0.0)))
+    slope = F.coalesce(F.try_divide(F.col("_xy"), F.col("_xx")), F.lit(0.0))
     # spread below rounding noise counts as constant
-    peak = F.when(F.col("_sd") > 1e-9, far / F.when(F.col("_sd") > 1e-9, F.col("_sd")))
-    return per.filter(F.col("n") >= 3).withColumn("peak_z", peak).drop("_mean", "_sd", "_hi", "_lo")
+    peak = F.when(F.col("_m") > 1, F.when(sd > 1e-9, far / F.when(sd > 1e-9, sd)))
+    return per.filter(F.col("n") >= 3).select("incident_id", "incident_type", *keys, "metric", "n", slope.alias("slope"), peak.alias("peak_z"))
 
 
 def leading_indicators(features: DataFrame, keys: list[str], min_incidents: int = 3) -> DataFrame:
