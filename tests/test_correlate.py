@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from opsignal.operators import correlate
 
@@ -60,6 +61,15 @@ def features(spark, incs, smps):
     )
 
 
+def test_features_are_those_of_all_points(spark):
+    got = {(r["incident_id"], r["incident_type"], r["ns"], r["metric"]): (r["n"], r["slope"], r["peak_z"]) for r in features(spark, incidents(), samples()).collect()}
+    want = expected(incidents(), samples())
+    assert got.keys() == want.keys() and any(k[3] == "gone" for k in got)
+    for k, (n, slope, z) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(slope, abs=1e-9), k
+        assert got[k][2] == (None if z is None else pytest.approx(z, rel=1e-7)), k
+
+
 def test_pairs_follow_the_windows_not_the_incidents(spark, monkeypatch):
     formed = []
     plain = correlate.interval_join
