@@ -177,20 +177,26 @@ def incident_text(
     )
 
 
-def tfidf(df: DataFrame, key: str, text: str, spread: int = 16) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: str, spread: int = 22) -> DataFrame:
     """L2-normalised tf-idf weights in long form (key, term, weight), exact terms, whole texts.
 
-    idf = ln((N + 1) / (df + 1)). Words everyone uses are the hot keys of the join on term: the idf
-    side is copied to `spread` salts and the counts are scattered over them.
+    idf = ln((N + 1) / (df + 1)). Texts are dealt by key once, in parts of 8 million characters; their terms are counted, weighted and
+    normalised where they lie. A term is common if it comes up for more than 1 / 2^spread as many keys as
+    all texts have characters, so common terms have at most 2^spread characters in all, however large
+    the vocabulary; their idf goes to all tasks. Only rows of rare terms travel: to their term, where
+    they are counted, and back to their key.
     """
-    words = df.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("term")).filter(F.col("term") != "")
+    size = df.agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).first()
+    n_docs, chars = size["n"], size["chars"] or 0
+    few, parts = chars >> spread, (chars >> 23) + 1
+    texts = df.select(key, F.lower(F.col(text)).alias("_text")).repartition(parts, key)
+    words = texts.select(key, F.explode(F.split("_text", r"[^\p{L}\p{N}]+")).alias("term")).filter(F.col("term") != "")
     tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n_docs = df.agg(F.count("*")).scalar()
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt")
-    )
-    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
-    weighted = salted.join(idf, ["term", "_salt"]).select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf")
+    common = F.broadcast(tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > few).select("term", idf))
+    rare = tf.join(common, "term", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    both = tf.join(common, "term").select(key, "term", "tf", "idf").unionByName(rare.select(key, "term", "tf", idf).repartition(parts, key))
+    weighted = both.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # one document's distinct terms at a time
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     rows = weighted.withColumn("_len", length).filter(F.col("_len") > 0)
