@@ -8,7 +8,8 @@ Euclidean order and the triangle inequality holds:
    the distance of any query to its k-th neighbour from above;
 3. a query goes only to cells whose lower bound does not exceed that, and cells are cut into blocks
    of bounded size, so one crowded cell becomes many tasks;
-4. a task multiplies one block of queries by one block of corpus vectors and emits k rows per query.
+4. a task multiplies one block of queries by one block of corpus vectors, a tile at a time, and emits k
+   rows per query.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +27,27 @@ from opsignal import fixed_values as fv
 from opsignal.functions.vectors import clamp01, dot, norm
 
 SLACK = 1e-6
+#: What rounding may add to or take from a cosine distance.
+NOISE = 1e-9
 
 
-def _unit(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """(id, v): unit vectors in double precision; zero vectors are left out."""
-    n = norm("v")
-    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn("_n", n)
-    return rows.filter(F.col("_n") > 0).select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(id, v, len): vectors as given and their lengths in double precision; zero vectors are left out."""
+    rows = df.select(F.col(key).alias("id"), F.col(vec).alias("v"))
+    return rows.withColumn("len", norm("v")).filter(F.col("len") > 0)
 
 
-def _distances(vectors: pd.Series, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack(vectors.to_numpy())
-    return x, np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
+def _unit(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Unit vectors in double precision."""
+    v, n = rows.column("v"), rows.column("len")
+    if isinstance(v, pa.ChunkedArray):
+        v = v.combine_chunks()
+    flat = v.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(v), -1).astype(np.float64) / np.asarray(n.to_numpy())[:, None]
+
+
+def _distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2.0 - 2.0 * (unit @ pivots.T), 0.0))
 
 
 def _id_type(df: DataFrame) -> str:
@@ -47,53 +58,76 @@ def _neighbour_schema(q: DataFrame, c: DataFrame) -> str:
     return f"query_id {_id_type(q)}, neighbour_id {_id_type(c)}, distance double"
 
 
-def _nearest(qs: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray | None, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k nearest of a block of corpus vectors for each of a block of queries."""
-    empty = pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []})
-    if not len(qs) or vectors is None or not len(ids):
-        return empty
-    dist = 1.0 - np.stack(qs["v"].to_numpy()) @ vectors.T
-    if exclude_self:
-        dist[qs["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-    asked, found, far = [], [], []
-    for qid, row in zip(qs["id"].to_numpy(), dist):
-        # keep every row tied with the k-th, then order by (distance, id)
-        limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-        cand = np.flatnonzero((row <= limit) & np.isfinite(row))
-        cand = cand[np.lexsort((ids[cand], row[cand]))][:k]
-        asked.append(np.repeat(qid, len(cand)))
-        found.append(ids[cand])
-        far.append(row[cand])
-    return pd.DataFrame({"query_id": np.concatenate(asked), "neighbour_id": np.concatenate(found), "distance": np.concatenate(far)})
+def _coded(asked: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block of queries and one of the corpus as whole numbers in the order of the corpus; an id that it lacks is -1, a null -2."""
+    known = ids.unique().drop_null()
+    known = known.take(pc.array_sort_indices(known))
+    code = lambda x, other: pc.fill_null(pc.index_in(x, value_set=known), other).to_numpy()
+    return code(asked.cast(ids.type), -1), code(ids, -2)
+
+
+def _nearest(asked: np.ndarray, qs: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, ...]:
+    """Query row, corpus row and distance of the k nearest of a block of corpus vectors for each of a block of queries.
+
+    A tile of 256 by 4096 distances is in memory at a time. Products of matrices only say which pairs can be among the k;
+    these are measured pair by pair, so that a distance doesn't depend on the block that a vector lies in.
+    """
+    found = []
+    for at in range(0, len(qs), 256):
+        q, own = qs[at:at + 256], asked[at:at + 256]
+        limit = np.full(len(q), np.inf)
+        row, col, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for start in range(0, len(vectors), 4096):
+            c = vectors[start:start + 4096]
+            dist = 1.0 - q @ c.T
+            if exclude_self:
+                dist[own[:, None] == ids[None, start:start + 4096]] = np.inf
+            if len(c) > k and not np.isfinite(limit).all():
+                limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
+            r, j = np.nonzero((dist <= limit[:, None] + NOISE) & np.isfinite(dist))
+            if not len(r):
+                continue
+            exact = np.concatenate([1.0 - np.einsum("ij,ij->i", q[r[i:i + 65536]], c[j[i:i + 65536]]) for i in range(0, len(r), 65536)])
+            row, col, far = np.concatenate([row, r]), np.concatenate([col, j + start]), np.concatenate([far, exact])
+            order = np.lexsort((ids[col], far, row))
+            row, col, far = row[order], col[order], far[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            limit[row[nth == k - 1]] = far[nth == k - 1]
+            row, col, far = row[nth < k], col[nth < k], far[nth < k]
+        found.append((row + at, col, far))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int = fv.KNN_CANDIDATES, key: str = "id", vec: str = "embedding",
-    exclude_self: bool = True, pivots: int = 16, block: int = 4096,
+    exclude_self: bool = True, pivots: int = 16, block: int | None = None,
 ) -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k corpus rows nearest to each query by cosine distance.
 
     Ties go to the smaller id. With exclude_self a query never meets the corpus row of its own id. The
     queries are the new incidents, the corpus all earlier ones; both are cut into blocks, and a block of
-    queries meets only the cells of the corpus that can hold a neighbour.
+    queries meets only the cells of the corpus that can hold a neighbour. A block has `block` rows, as
+    many as have 4 million numbers if not given: a row is copied once for each block that it meets.
     """
-    q, c = _unit(queries, key, vec), _unit(corpus, key, vec)
+    q, c = _vectors(queries, key, vec), _vectors(corpus, key, vec)
     # A fixed number of pivots; they only shape the cells, never the result.
     first = c.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     out_schema = _neighbour_schema(q, c)
     if not first:
         return queries.sparkSession.createDataFrame([], out_schema + ", rank int")
-    p = np.array([r["v"] for r in first])
+    p = np.array([r["v"] for r in first], dtype=np.float64) / np.array([[r["len"]] for r in first])
     n_cells = len(first)
+    block = block or max(4096, (4 << 20) // p.shape[1])
     pivot_gap = np.sqrt(np.maximum(2.0 - 2.0 * (p @ p.T), 0.0))
 
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if len(pdf):
-                _, d = _distances(pdf["v"], p)
-                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), d=d.min(axis=1))
+    def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if b.num_rows:
+                d = _distances(_unit(b), p)
+                yield b.append_column("cell", pa.array(d.argmin(axis=1), pa.int32())).append_column("d", pa.array(d.min(axis=1)))
 
-    cells = c.mapInPandas(assign, f"id {_id_type(c)}, v array<double>, cell int, d double")
+    fields = lambda df: f"id {_id_type(df)}, v {df.schema['v'].dataType.simpleString()}, len double"
+    cells = c.mapInArrow(assign, f"{fields(c)}, cell int, d double")
     need = k + 1 if exclude_self else k
     extent = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
     nearest = Window.partitionBy("cell").orderBy("d", "id")
@@ -107,41 +141,47 @@ def knn(
     hi = np.array([extent[i]["hi"] if i in extent else 0.0 for i in range(n_cells)])
     corpus_blocks = [max(1, math.ceil(x / block)) for x in n]
 
-    def targets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if not len(pdf):
+    def targets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if not b.num_rows:
                 continue
-            _, d = _distances(pdf["v"], p)
-            upper = np.sort(d[:, near_cell] + near_d, axis=1)
-            upper = upper[:, need - 1] if upper.shape[1] >= need else np.full(len(pdf), np.inf)
-            home = d.argmin(axis=1)
-            gap = pivot_gap[home]
+            d = _distances(_unit(b), p)
+            upper = d[:, near_cell] + near_d
+            upper = np.partition(upper, need - 1, axis=1)[:, need - 1] if upper.shape[1] >= need else np.full(len(d), np.inf)
+            gap = pivot_gap[d.argmin(axis=1)]
             bisector = np.where(gap > 0, (d**2 - d.min(axis=1, keepdims=True) ** 2) / np.where(gap > 0, 2 * gap, 1.0), 0.0)
             lower = np.maximum.reduce([bisector, d - hi, lo - d])
-            rows, cols = np.nonzero((lower <= upper[:, None] + SLACK) & (n > 0))
-            hit = pdf.iloc[rows]
-            yield pd.DataFrame({"id": hit["id"].to_numpy(), "v": hit["v"].to_numpy(), "cell": cols.astype("int32")})
+            hit = (lower <= upper[:, None] + SLACK) & (n > 0)
+            ends = np.concatenate([[0], hit.sum(axis=1).cumsum()])
+            met = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(hit)[1], pa.int32()))
+            yield b.append_column("cells", met)
 
-    routed = q.mapInPandas(targets, f"id {_id_type(q)}, v array<double>, cell int")
+    routed = q.mapInArrow(targets, f"{fields(q)}, cells array<int>").select("id", "v", "len", F.explode("cells").alias("cell"))
     # Few numbers: how many query blocks each cell needs.
-    asked = {r["cell"]: r["n"] for r in q.mapInPandas(
-        lambda parts: (x[["cell"]] for x in targets(parts)), "cell int"
-    ).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    query_blocks = [max(1, math.ceil(asked.get(i, 0) / block)) for i in range(n_cells)]
+    asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    # smaller ones than of the corpus, for more tasks; the copies of a row stay few, as a cell has few corpus blocks
+    query_blocks = [max(1, math.ceil(4 * asked.get(i, 0) / block)) for i in range(n_cells)]
     per_cell = lambda values: F.array(*[F.lit(int(v)) for v in values])[F.col("cell")]
 
     qb = routed.withColumn("qb", F.pmod(F.xxhash64("id"), per_cell(query_blocks)).cast("int")).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), per_cell(corpus_blocks) - 1))
     )
-    cb = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id"), per_cell(corpus_blocks)).cast("int").alias("cb")).withColumn(
+    cb = cells.select("id", "v", "len", "cell", F.pmod(F.xxhash64("id"), per_cell(corpus_blocks)).cast("int").alias("cb")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), per_cell(query_blocks) - 1))
     )
 
-    def nearest_in_block(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(qs, cs["id"].to_numpy(), np.stack(cs["v"].to_numpy()) if len(cs) else None, k, exclude_self)
+    def nearest_in_block(qs: pa.Table, cs: pa.Table) -> pa.Table:
+        row, col, far = [], [], []
+        if qs.num_rows and cs.num_rows:
+            asked_ids, ids = _coded(qs.column("id"), cs.column("id"))
+            row, col, far = _nearest(asked_ids, _unit(qs), ids, _unit(cs), k, exclude_self)
+        return pa.table({
+            "query_id": qs.column("id").take(pa.array(row, pa.int64())), "neighbour_id": cs.column("id").take(pa.array(col, pa.int64())),
+            "distance": pa.array(far, pa.float64()),
+        })
 
     on = ["cell", "cb", "qb"]
-    local = qb.groupBy(*on).cogroup(cb.groupBy(*on)).applyInPandas(nearest_in_block, out_schema)
+    local = qb.groupBy(*on).cogroup(cb.groupBy(*on)).applyInArrow(nearest_in_block, out_schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k)
 

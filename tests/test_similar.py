@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from opsignal.operators import similar
@@ -59,3 +61,62 @@ def test_counts_of_common_terms_stay_with_their_texts(spark):
 
 def test_no_texts_no_weights(spark):
     assert similar.tfidf(spark.createDataFrame([], "k long, body string"), "k", "body").collect() == []
+
+
+# --- nearest neighbours
+VECTOR = "id long, embedding array<float>"
+
+
+def vectors(n, dims=8, seed=6):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dims)).astype(np.float32)
+    v[n // 2:] = v[:n - n // 2] * rng.choice([1.0, 2.0], size=(n - n // 2, 1)).astype(np.float32)  # copies, some of other length
+    return [(i * 7 % n, x.tolist()) for i, x in enumerate(v)]
+
+
+def expected_neighbours(rows, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    out = {}
+    for i, v in zip(ids, x):
+        d = np.where(ids == i, np.inf, np.round(1.0 - x @ v, 9))
+        out[i] = [(ids[j], d[j]) for j in np.lexsort((ids, d))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("block", [None, 40])
+def test_neighbours_are_those_of_a_plain_search_in_any_blocks(spark, block):
+    rows = vectors(300)
+    df = spark.createDataFrame([*rows, (900, [0.0] * 8), (901, None)], VECTOR)
+    got = defaultdict(list)
+    for r in similar.knn(df, df, 4, block=block).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["neighbour_id"], r["distance"]))
+    want = expected_neighbours(rows, 4)
+    assert got.keys() == want.keys()
+    for i, found in want.items():
+        assert [d for _, d in got[i]] == pytest.approx([d for _, d in found], abs=1e-8)
+        # all but the last, which may tie with one that isn't listed
+        assert sorted(a for a, d in got[i] if d < found[-1][1] - 1e-8) == sorted(a for a, d in found if d < found[-1][1] - 1e-8)
+
+
+def test_repeated_ids_and_ids_of_null(spark):
+    v = lambda a: [math.cos(a), math.sin(a)]
+    q = spark.createDataFrame([(1, v(0.0)), (1, v(0.0)), (2, v(0.5)), (None, v(1.1))], VECTOR)
+    c = spark.createDataFrame([(1, v(0.0)), (2, v(0.1)), (2, v(0.1)), (3, v(0.3)), (None, v(1.1))], VECTOR)
+    got = defaultdict(list)
+    for r in similar.knn(q, c, 3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["neighbour_id"])
+    assert got == {1: [2, 2, 2], 2: [3, 1, None], None: [None, 3, 2]}
+
+
+def test_a_task_holds_a_tile_of_distances(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(16384, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    ids = np.arange(16384)
+    tracemalloc.start()
+    row, col, far = similar._nearest(ids[:4096], x[:4096], ids, x, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == 5 * 4096 and (row != col).all() and peak < 64 << 20
