@@ -110,6 +110,14 @@ def test_repeated_ids_and_ids_of_null(spark):
     assert got == {1: [2, 2, 2], 2: [3, 1, None], None: [None, 3, 2]}
 
 
+def test_a_vector_is_copied_once_for_each_block_it_meets(spark):
+    df = spark.createDataFrame(vectors(9000), VECTOR).repartition(4)
+    found = similar.knn(df, df, 2, pivots=1)
+    assert found.count() == 18000
+    found.collect()
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < 60000
+
+
 def test_a_task_holds_a_tile_of_distances(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(16384, 16))
