@@ -29,6 +29,8 @@ from opsignal.functions.vectors import clamp01, dot, norm
 SLACK = 1e-6
 #: What rounding may add to or take from a cosine distance.
 NOISE = 1e-9
+#: So many tasks of a search, if each has as many pairs.
+TASKS, TASK_PAIRS = 128, 1 << 26
 
 
 def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -66,27 +68,47 @@ def _coded(asked: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np
     return code(asked.cast(ids.type), -1), code(ids, -2)
 
 
+def _grid(asked: int, n: int, pairs: int, rows: int) -> tuple[int, int]:
+    """How many blocks the queries and the corpus vectors of a cell are cut into, of `rows` rows at most.
+
+    A query is copied to each block of the corpus, a vector to each of the queries. Of the grids with this cell's share
+    of the tasks it is the one with the fewest copies; the number of tasks doesn't follow the tables, so neither do the copies of a row.
+    """
+    least_q, least_c = max(1, math.ceil(asked / rows)), max(1, math.ceil(n / rows))
+    tasks = min(math.ceil(TASKS * asked * n / max(pairs, 1)), math.ceil(asked * n / TASK_PAIRS))
+    grids = [(max(least_q, math.ceil(tasks / c)), c) for c in range(least_c, max(least_c, tasks) + 1)]
+    return min(grids, key=lambda g: asked * g[1] + n * g[0])
+
+
 def _nearest(asked: np.ndarray, qs: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, ...]:
     """Query row, corpus row and distance of the k nearest of a block of corpus vectors for each of a block of queries.
 
-    A tile of 256 by 4096 distances is in memory at a time. Products of matrices only say which pairs can be among the k;
-    these are measured pair by pair, so that a distance doesn't depend on the block that a vector lies in.
+    A tile of 256 by 4096 distances is in memory at a time. Products of matrices, in single precision, only say which pairs
+    can be among the k; these are measured pair by pair, so that a distance doesn't depend on the block that a vector lies in.
     """
     found = []
+    # double precision where vectors are too much alike for single precision
+    kinds = ((np.float32, NOISE + (vectors.shape[1] + 8) * 2.0**-24), (np.float64, NOISE))
+    many = max(64, 4 * k)
     for at in range(0, len(qs), 256):
         q, own = qs[at:at + 256], asked[at:at + 256]
         limit = np.full(len(q), np.inf)
         row, col, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for start in range(0, len(vectors), 4096):
             c = vectors[start:start + 4096]
-            dist = 1.0 - q @ c.T
-            if exclude_self:
-                dist[own[:, None] == ids[None, start:start + 4096]] = np.inf
-            if len(c) > k and not np.isfinite(limit).all():
-                limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
-            r, j = np.nonzero((dist <= limit[:, None] + NOISE) & np.isfinite(dist))
-            if not len(r):
+            unknown = len(c) > k and not np.isfinite(limit).all()
+            for kind, noise in kinds:
+                dist = kind(1.0) - q.astype(kind, copy=False) @ c.astype(kind, copy=False).T
+                if exclude_self:
+                    dist[own[:, None] == ids[None, start:start + 4096]] = np.inf
+                if unknown:
+                    limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1] + noise)
+                near = np.flatnonzero((dist <= (limit + noise).astype(kind)[:, None]) & (dist < np.inf))
+                if len(near) <= many * len(q):
+                    break
+            if not len(near):
                 continue
+            r, j = np.divmod(near, len(c))
             exact = np.concatenate([1.0 - np.einsum("ij,ij->i", q[r[i:i + 65536]], c[j[i:i + 65536]]) for i in range(0, len(r), 65536)])
             row, col, far = np.concatenate([row, r]), np.concatenate([col, j + start]), np.concatenate([far, exact])
             order = np.lexsort((ids[col], far, row))
@@ -106,8 +128,8 @@ def knn(
 
     Ties go to the smaller id. With exclude_self a query never meets the corpus row of its own id. The
     queries are the new incidents, the corpus all earlier ones; both are cut into blocks, and a block of
-    queries meets only the cells of the corpus that can hold a neighbour. A block has `block` rows, as
-    many as have 4 million numbers if not given: a row is copied once for each block that it meets.
+    queries meets only the cells of the corpus that can hold a neighbour. A block has at most `block` rows, as
+    many as have 8 million numbers if not given: a row is copied once for each block that it meets.
     """
     q, c = _vectors(queries, key, vec), _vectors(corpus, key, vec)
     # A fixed number of pivots; they only shape the cells, never the result.
@@ -117,7 +139,7 @@ def knn(
         return queries.sparkSession.createDataFrame([], out_schema + ", rank int")
     p = np.array([r["v"] for r in first], dtype=np.float64) / np.array([[r["len"]] for r in first])
     n_cells = len(first)
-    block = block or max(4096, (4 << 20) // p.shape[1])
+    block = block or max(4096, (8 << 20) // p.shape[1])
     pivot_gap = np.sqrt(np.maximum(2.0 - 2.0 * (p @ p.T), 0.0))
 
     def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +161,6 @@ def knn(
     n = np.array([extent[i]["n"] if i in extent else 0 for i in range(n_cells)])
     lo = np.array([extent[i]["lo"] if i in extent else 0.0 for i in range(n_cells)])
     hi = np.array([extent[i]["hi"] if i in extent else 0.0 for i in range(n_cells)])
-    corpus_blocks = [max(1, math.ceil(x / block)) for x in n]
 
     def targets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -157,10 +178,10 @@ def knn(
             yield b.append_column("cells", met)
 
     routed = q.mapInArrow(targets, f"{fields(q)}, cells array<int>").select("id", "v", "len", F.explode("cells").alias("cell"))
-    # Few numbers: how many query blocks each cell needs.
+    # Few numbers: how many blocks each cell needs.
     asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    # smaller ones than of the corpus, for more tasks; the copies of a row stay few, as a cell has few corpus blocks
-    query_blocks = [max(1, math.ceil(4 * asked.get(i, 0) / block)) for i in range(n_cells)]
+    load = [(asked.get(i, 0), int(n[i])) for i in range(n_cells)]
+    query_blocks, corpus_blocks = zip(*[_grid(a, x, sum(b * y for b, y in load), block) for a, x in load])
     per_cell = lambda values: F.array(*[F.lit(int(v)) for v in values])[F.col("cell")]
 
     qb = routed.withColumn("qb", F.pmod(F.xxhash64("id"), per_cell(query_blocks)).cast("int")).withColumn(

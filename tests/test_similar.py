@@ -118,6 +118,42 @@ def test_a_vector_is_copied_once_for_each_block_it_meets(spark):
     assert shuffled(found._jdf.queryExecution().executedPlan()) < 60000
 
 
+def test_queries_and_corpus_are_cut_into_as_few_blocks(spark):
+    df = spark.createDataFrame(vectors(3000), VECTOR).repartition(4)
+    found = similar.knn(df, df, 2, pivots=1, block=300)
+    found.collect()
+    # ten copies on either side, two neighbours from each block of the corpus, and what shapes the cells
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < 3000 * (10 + 10 + 2 * 10) + 10000
+
+
+@pytest.mark.parametrize("n", [2000, 10256, 102564, 615384])
+def test_copies_of_a_row_do_not_follow_the_size_of_the_tables(n):
+    cells = [n // 32] * 8 + [3 * n // 32] * 8  # all queries meet all of them
+    grids = [similar._grid(n, c, n * sum(cells), 131072) for c in cells]
+    copies = sum(n * c + x * q for (q, c), x in zip(grids, cells)) / n
+    assert copies <= 16 + 13 and all(n / q <= 131072 and x / c <= 131072 for (q, c), x in zip(grids, cells))
+    assert n < 102564 or sum(q * c for q, c in grids) >= similar.TASKS
+
+
+def test_blocks_of_a_cell_that_nobody_asks_or_that_holds_all():
+    assert similar._grid(0, 500, 0, 100) == (1, 5) and similar._grid(500, 0, 0, 100) == (5, 1)
+    q, c = similar._grid(100000, 100000, 100000**2, 131072)
+    assert q * c >= similar.TASKS and q + c < 24
+
+
+def test_distances_that_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(3)
+    n, dims = 6000, 16
+    a = rng.permutation(n) * 1e-8 + 0.3
+    x = np.zeros((n, dims))
+    x[:, 0] = np.cos(a)
+    x[np.arange(n), 1 + np.arange(n) % 15] = np.sin(a)
+    q = np.eye(dims)[:1]
+    row, col, far = similar._nearest(np.array([-1]), q, np.arange(n), x, 50, True)
+    want = np.lexsort((np.arange(n), 1.0 - x[:, 0]))[:50]
+    assert (row == 0).all() and col.tolist() == want.tolist() and far == pytest.approx(1.0 - x[want, 0], abs=1e-15)
+
+
 def test_a_task_holds_a_tile_of_distances(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(16384, 16))
